@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import best_fit_pack
+from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
 
@@ -16,12 +17,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
