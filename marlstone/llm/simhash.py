@@ -80,32 +80,36 @@ def _cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return home, up
 
 
+def _tree(a_fp: np.ndarray, b_fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places in a, places in b) that connect what lies within the radius: a breadth-first forest. A point leaves the search when it is reached, so a group of n near points costs about n comparisons each way, and no list of all pairs is made."""
+    sides = ((a_fp, _unary(a_fp)), (b_fp, _unary(b_fp)))
+    rest = [np.arange(len(a_fp)), np.arange(len(b_fp))]
+    while len(rest[0]) and len(rest[1]):
+        first, rest[0] = rest[0][0], rest[0][1:]
+        queue = [(0, first)]
+        while queue:
+            side, x = queue.pop()
+            left = rest[1 - side]
+            fp, un = sides[1 - side]
+            near = np.bitwise_count(un[left] ^ sides[side][1][x]) <= radius
+            near[near] = np.bitwise_count(fp[left[near]] ^ sides[side][0][x]) <= radius
+            if near.any():
+                found, rest[1 - side] = left[near], left[~near]
+                yield (np.full(len(found), x), found) if side == 0 else (found, np.full(len(found), x))
+                queue += [(1 - side, y) for y in found.tolist()]
+
+
 def _forest(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Of each row (two blocks of a cell's points): links that connect all that lie within the radius."""
     for batch in batches:
-        us, vs = [], []
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a_node, a_fp, b_node, b_fp in zip(batch["a_node"], batch["a_fp"], batch["b_node"], batch["b_fp"], strict=True):
-            a_fp, b_fp = np.asarray(a_fp, np.int64).view(np.uint64), np.asarray(b_fp, np.int64).view(np.uint64)
-            a_un, b_un = _unary(a_fp), _unary(b_fp)
-            seen: dict[int, int] = {}
-
-            def root(x: int, seen=seen) -> int:
-                while (y := seen.get(x, x)) != x:
-                    seen[x] = seen.get(y, y)
-                    x = y
-                return x
-
-            for k in range(0, len(a_fp), 256):
-                near = np.bitwise_count(a_un[k : k + 256, None] ^ b_un[None]) <= radius
-                i, j = np.nonzero(near)
-                keep = np.bitwise_count(a_fp[k + i] ^ b_fp[j]) <= radius
-                for x, y in zip((k + i[keep]).tolist(), j[keep].tolist(), strict=True):
-                    p, q = root(int(a_node[x])), root(int(b_node[y]))
-                    if p != q:
-                        seen[max(p, q)] = min(p, q)
-                        us.append(max(p, q))
-                        vs.append(min(p, q))
-        yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+            a_node, b_node = np.asarray(a_node, np.int64), np.asarray(b_node, np.int64)
+            for x, y in _tree(np.asarray(a_fp, np.int64).view(np.uint64), np.asarray(b_fp, np.int64).view(np.uint64), radius):
+                us.append(a_node[x])
+                vs.append(b_node[y])
+        links = pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        yield links[links["u"] != links["v"]]
 
 
 def _unary(fp: np.ndarray) -> np.ndarray:
