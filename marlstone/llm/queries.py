@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import best_fit_pack
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_array_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
