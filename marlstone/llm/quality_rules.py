@@ -1,6 +1,6 @@
 """Quality rules: base text rules, then n-gram perplexity within bands of the language.
 
-The model is an interpolated modified Kneser-Ney model of characters (order 5), one for each
+The model is an interpolated modified Kneser-Ney model of characters (order 4), one for each
 language. Spark counts the n-grams of all documents; lower orders take continuation counts. Its
 probabilities are kept as a sorted array of n-gram hashes and one of log probabilities. A document
 whose mean log perplexity lies above the upper or below the lower band of its language is rejected:
@@ -14,17 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-ORDER = 5
+ORDER = 4
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Robust deviations (1.4826 times the median absolute deviation) that bound the bands.
-LOWER_BAND, UPPER_BAND = 5.0, 3.5
+LOWER_BAND, UPPER_BAND = 4.5, 6.0
 #: The bands of a text of n characters are sqrt(1 + SHORT / n) times as wide: the mean of few characters varies more.
 SHORT = 2000
 #: A model of at most so many n-grams (12 bytes each) is sent to all executors; a larger one is joined.
@@ -116,31 +116,33 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities."""
+    """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities. The discounts of each order are common to all languages."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+    ones = None
+    for k, level in levels.items():
+        n = level.agg(F.lit(k).alias("k"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        ones = n if ones is None else ones.unionByName(n)
+    discounts = {r["k"]: _discounts([r["n1"], r["n2"], r["n3"], r["n4"]]) for r in ones.collect()}
     below = None
     for k in range(1, order + 1):
-        grams = levels[k]
-        n = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        spare = [F.least(F.greatest(F.coalesce(F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)), F.lit(0.05)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)]
-        discounts = grams.groupBy("lang").agg(*n).select("lang", *spare)
-        context = F.substring("gram", 1, k - 1)
-        cut_by = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.join(discounts, "lang").select("lang", "gram", "c", context.alias("ctx"), cut_by.alias("d"))
-        total = grams.groupBy("lang", "ctx").agg(F.sum("c").alias("t"), F.sum("d").alias("s"), F.count("*").alias("v"))
-        grams = grams.join(total, ["lang", "ctx"])
-        seen = (F.col("c") - F.col("d")) / F.col("t")
+        d1, d2, d3 = discounts[k]
+        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        context = Window.partitionBy("lang", F.substring("gram", 1, k - 1))
+        grams = levels[k].select("lang", "gram", ((F.col("c") - d) / F.sum("c").over(context)).alias("seen"), (F.sum(d).over(context) / F.sum("c").over(context)).alias("spare"), F.count("*").over(context).alias("v"))
         if below is None:
-            p = seen + F.col("s") / F.col("t") / (F.col("v") + 1)
+            grams = grams.withColumn("p", F.col("seen") + F.col("spare") / (F.col("v") + 1))
         else:
-            grams = grams.withColumn("low", F.substring("gram", 2, k - 1)).join(below, ["lang", "low"])
-            p = seen + F.col("s") / F.col("t") * F.col("p")
-        level = grams.select("lang", "gram", p.alias("p"))
-        below = level.withColumnRenamed("gram", "low")
-    return level.select("lang", "gram", F.log("p").alias("logp"))
+            grams = grams.withColumn("low", F.substring("gram", 2, k - 1)).join(below, ["lang", "low"]).withColumn("p", F.col("seen") + F.col("spare") * F.col("p"))
+        below = grams.select("lang", F.col("gram").alias("low"), "p")
+    return grams.select("lang", "gram", F.log("p").alias("logp"))
+
+
+def _discounts(n: list[int]) -> list[float]:
+    """The three discounts of modified Kneser-Ney from the numbers of n-grams with counts 1 to 4, held within (0, count]."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2, 0.05), float(i)) for i in (1, 2, 3)]
 
 
 def _hashed(model: DataFrame, order: int) -> DataFrame:
