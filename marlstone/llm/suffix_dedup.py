@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .induced_sort import repeated_starts
@@ -104,6 +105,27 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """``df`` with its text compressed, to be shuffled."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield batch.assign(text=[None if t is None else pack(_bytes(t)) for t in batch["text"]])
+
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in df.schema]
+    return df.mapInPandas(of, T.StructType(fields))
+
+
+def _unpacked(texts: pd.Series) -> list[bytes | None]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else unpack(bytes(t)) if len(t) else b"" for t in texts]
+
+
 def text_segments(keyed: DataFrame, length: int) -> DataFrame:
     """(key, text) to the segments of each text: key, start, size, shard, content, again."""
 
@@ -210,12 +232,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                raw = _bytes(text)
+            for raw, spans in zip(_unpacked(batch["text"]), batch["spans"], strict=True):
                 rows += [(s["shard"], s["content"], 0, s["n"], s["shard"], s["content"], s["again"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
             yield pd.DataFrame(rows, columns=_PLACED).astype({"at": "int32"})
 
-    texts = keyed.select("key", "text").join(spans, "key").select("text", "spans")
+    texts = _packed(keyed.select("key", "text")).join(spans, "key").select("text", "spans")
     parts = cut(texts.mapInPandas(pieces, _PLACED_TYPES).groupBy("shard", "content").agg(*[F.first(c).alias(c) for c in _PLACED if c not in ("shard", "content")]).select(_PLACED))
     runs = repeated_runs(parts, length, shard_bytes, sort_bytes).select(F.col("first_shard").alias("shard"), F.col("first_content").alias("content"), "lo", "hi").distinct()
     by_text = open_.join(runs, ["shard", "content"]).select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
@@ -236,8 +257,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
-                raw = _bytes(text)
+            for doc, text, own in zip(batch["doc_id"], _unpacked(batch["text"]), batch["runs"], strict=True):
+                raw = text or b""
                 spans = _merged(own, len(raw)) if own is not None else []
                 kept, at = hashlib.sha256(), 0
                 for lo, hi in spans:
@@ -247,7 +268,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
                 rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    return keyed.select("doc_id", "text", "key").join(runs, "key", "left").select("doc_id", "text", "runs").mapInPandas(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _packed(keyed.select("doc_id", "text", "key")).join(runs, "key", "left").select("doc_id", "text", "runs").mapInPandas(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -257,14 +278,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for text, own in zip(batch["text"], batch["runs"], strict=True):
-                raw, at, left = _bytes(text), 0, []
+            for text, own in zip(_unpacked(batch["text"]), batch["runs"], strict=True):
+                raw, at, left = text or b"", 0, []
                 for lo, hi in _merged(own, len(raw)) if own is not None else []:
                     left.append(raw[at:lo])
                     at = hi
                 texts.append(b"".join([*left, raw[at:]]).decode("utf-8", "ignore") if text is not None else None)
             yield batch.drop(columns="runs").assign(text=texts)
 
-    joined = keyed.join(runs, "key", "left").select(*[keyed[c] for c in docs.columns], "runs")
+    joined = _packed(keyed).join(runs, "key", "left").select(*docs.columns, "runs")
     out = joined.mapInPandas(kept, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
