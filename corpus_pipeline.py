@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.common import fresh_path
+from marlstone.llm.decontaminate import decontaminate
 from marlstone.llm.packing import best_fit_pack
+from marlstone.llm.quality_rules import keep_good
 from marlstone.llm.simhash import drop_near_duplicates
+from marlstone.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the perplexity bands reject go."""
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +22,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur twice are cut out of the texts."""
+    return remove_repeats(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     return best_fit_pack(docs)
 
 
 STAGES = [
+    ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeats),
+    ("benchmark_decontamination", benchmarks),
     ("best_fit_packing", packing),
 ]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .packing import best_fit_pack
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
@@ -26,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 

@@ -220,9 +220,10 @@ def _merged(runs: list, size: int) -> list[tuple[int, int]]:
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, sort_bytes: int = SORT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) to two tables: the rows with the key of their text, and the repeated byte runs by key (runs: array of lo, hi)."""
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    found = text_segments(keyed.select("key", "text"), length)
+    """``docs`` (text and more) to two tables: the rows with the key of their text (__key), and the repeated byte runs by key (__key, __runs: array of lo, hi)."""
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    only = keyed.select(F.col("__key").alias("key"), "text")
+    found = text_segments(only, length)
     shards = cut(found.groupBy("shard").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or("again").alias("again")).where("n > 1 or again").select("shard", (F.col("low") == F.col("high")).alias("alike"), "n").select("shard", F.expr("alike and n > 1").alias("alike")))
     places = cut(found.join(shards, "shard").groupBy("key", "start", "size", "shard", "content", "again", "alike").agg(F.count("*").alias("n")))
     open_ = places.where("not alike")
@@ -236,12 +237,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
                 rows += [(s["shard"], s["content"], 0, s["n"], s["shard"], s["content"], s["again"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
             yield pd.DataFrame(rows, columns=_PLACED).astype({"at": "int32"})
 
-    texts = _packed(keyed.select("key", "text")).join(spans, "key").select("text", "spans")
+    texts = _packed(only).join(spans, "key").select("text", "spans")
     parts = cut(texts.mapInPandas(pieces, _PLACED_TYPES).groupBy("shard", "content").agg(*[F.first(c).alias(c) for c in _PLACED if c not in ("shard", "content")]).select(_PLACED))
     runs = repeated_runs(parts, length, shard_bytes, sort_bytes).select(F.col("first_shard").alias("shard"), F.col("first_content").alias("content"), "lo", "hi").distinct()
     by_text = open_.join(runs, ["shard", "content"]).select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     alike = places.where("alike").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    return keyed, by_text.unionByName(alike).distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return keyed, by_text.unionByName(alike).distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__runs"))
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, sort_bytes: int = SORT_BYTES) -> DataFrame:
@@ -257,7 +258,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch["doc_id"], _unpacked(batch["text"]), batch["runs"], strict=True):
+            for doc, text, own in zip(batch["doc_id"], _unpacked(batch["text"]), batch["__runs"], strict=True):
                 raw = text or b""
                 spans = _merged(own, len(raw)) if own is not None else []
                 kept, at = hashlib.sha256(), 0
@@ -268,7 +269,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
                 rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    return _packed(keyed.select("doc_id", "text", "key")).join(runs, "key", "left").select("doc_id", "text", "runs").mapInPandas(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _packed(keyed.select("doc_id", "text", "__key")).join(runs, "__key", "left").select("doc_id", "text", "__runs").mapInPandas(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -278,14 +279,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for text, own in zip(_unpacked(batch["text"]), batch["runs"], strict=True):
+            for text, own in zip(_unpacked(batch["text"]), batch["__runs"], strict=True):
                 raw, at, left = text or b"", 0, []
                 for lo, hi in _merged(own, len(raw)) if own is not None else []:
                     left.append(raw[at:lo])
                     at = hi
                 texts.append(b"".join([*left, raw[at:]]).decode("utf-8", "ignore") if text is not None else None)
-            yield batch.drop(columns="runs").assign(text=texts)
+            yield batch.drop(columns="__runs").assign(text=texts)
 
-    joined = _packed(keyed).join(runs, "key", "left").select(*docs.columns, "runs")
+    joined = _packed(keyed).join(runs, "__key", "left").select(*docs.columns, "__runs")
     out = joined.mapInPandas(kept, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
