@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import catalogue, layout, neighbours
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = catalogue.QUERIES | neighbours.QUERIES | layout.QUERIES
+ORACLES = catalogue.ORACLES | neighbours.ORACLES | layout.ORACLES
