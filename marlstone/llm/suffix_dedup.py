@@ -179,33 +179,38 @@ def _sort_shards(batches: Iterator[pd.DataFrame], length: int, sort_bytes: int)
         which = owner[begin] if len(begin) else np.zeros(0, np.int64)
         return pd.DataFrame({"shard": [rows[i][0] for i in which], "content": [rows[i][1] for i in which], "lo": own[begin], "hi": own[stop] + length if len(begin) else own[begin]}).astype({"shard": "int64", "content": "int64", "lo": "int32", "hi": "int32"})
 
-    rows, size = [], 0
+    rows, size, group = [], 0, []
     for batch in batches:
-        for shard, content, piece in zip(batch["shard"], batch["content"], batch["piece"], strict=True):
-            if size >= sort_bytes and shard != rows[-1][0]:
-                yield flush(rows)
-                rows, size = [], 0
-            rows.append((shard, content, piece))
-            size += len(piece)
+        for shard, content, again, piece in zip(batch["shard"], batch["content"], batch["again"], batch["piece"], strict=True):
+            if group and shard != group[0][0]:
+                if len(group) > 1 or group[0][3]:
+                    rows += group
+                    size += sum(len(r[2]) for r in group)
+                group = []
+                if size >= sort_bytes:
+                    yield flush(rows)
+                    rows, size = [], 0
+            if not group or content != group[-1][1]:
+                group.append((shard, content, piece, again))
+    if len(group) > 1 or group and group[0][3]:
+        rows += group
     if rows:
         yield flush(rows)
 
 
 def repeated_runs(parts: DataFrame, length: int, shard_bytes: int, sort_bytes: int, seed: int = 1) -> DataFrame:
-    """Segments with their text (_PLACED; n: times it occurs) to runs of repeated bytes: first_shard, first_content, lo, hi (within the first segment)."""
-    same = parts.groupBy("shard", "content").agg(F.sum("n").alias("n"), F.bool_or("again").alias("again"), F.min("piece").alias("piece"))
-    sizes = same.groupBy("shard").agg(F.count("*").alias("k"), F.sum(F.length("piece")).alias("bytes"), F.bool_or("again").alias("open")).where("k > 1 or open").drop("open")
-    judged = cut(same.join(sizes, "shard", "left"))
-    whole = judged.where("n > 1").select("shard", "content", F.lit(0).alias("lo"), F.length("piece").alias("hi"))
-    sortable = judged.where(f"bytes <= {shard_bytes}").select("shard", "content", "piece")
-    sorted_runs = sortable.repartition("shard").sortWithinPartitions("shard").mapInPandas(lambda b: _sort_shards(b, length, sort_bytes), "shard long, content long, lo int, hi int")
-    runs = parts.join(whole.unionByName(sorted_runs), ["shard", "content"]).select("first_shard", "first_content", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    hot = judged.where(f"bytes > {shard_bytes}").select("shard").distinct()
-    if seed <= 8 and hot.limit(1).count():
+    """Segments with their text (_PLACED; n: times it occurs; a row may come twice) to runs of repeated bytes: first_shard, first_content, lo, hi (within the first segment)."""
+    own = parts.groupBy("first_shard", "first_content", "at", "shard", "content").agg(F.max("n").alias("n"), F.bool_or("again").alias("again"), F.max(F.length("piece")).alias("bytes"))
+    judged = cut(own.groupBy("shard", "content").agg(F.sum("n").alias("n"), F.bool_or("again").alias("again"), F.max("bytes").alias("bytes")))
+    whole = judged.where("n > 1").select("shard", "content", F.lit(0).alias("lo"), F.col("bytes").alias("hi"))
+    hot = cut(judged.groupBy("shard").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"), F.bool_or("again").alias("again")).where(f"bytes > {shard_bytes} and (k > 1 or again)").select("shard"))
+    some_hot = seed <= 8 and hot.limit(1).count() > 0  # what eight hashes cannot separate is sorted whole
+    cold = parts.join(hot, "shard", "left_anti") if some_hot else parts
+    sorted_runs = cold.select("shard", "content", "again", "piece").repartition("shard").sortWithinPartitions("shard", "content").mapInPandas(lambda b: _sort_shards(b, length, sort_bytes), "shard long, content long, lo int, hi int")
+    runs = own.join(whole.unionByName(sorted_runs), ["shard", "content"]).select("first_shard", "first_content", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    if some_hot:
         finer = cut(_cut_again(parts.join(hot, "shard", "left_semi"), length, [0, *range(1, seed + 1)]))
         runs = runs.unionByName(repeated_runs(finer, length, shard_bytes, sort_bytes, seed + 1))
-    elif seed > 8:  # what eight hashes cannot separate is sorted whole
-        runs = runs.unionByName(repeated_runs(parts.join(hot, "shard", "left_semi"), length, 1 << 62, sort_bytes, 9)) if hot.limit(1).count() else runs
     return runs
 
 
@@ -238,7 +243,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
             yield pd.DataFrame(rows, columns=_PLACED).astype({"at": "int32"})
 
     texts = _packed(only).join(spans, "key").select("text", "spans")
-    parts = cut(texts.mapInPandas(pieces, _PLACED_TYPES).groupBy("shard", "content").agg(*[F.first(c).alias(c) for c in _PLACED if c not in ("shard", "content")]).select(_PLACED))
+    parts = cut(texts.mapInPandas(pieces, _PLACED_TYPES))
     runs = repeated_runs(parts, length, shard_bytes, sort_bytes).select(F.col("first_shard").alias("shard"), F.col("first_content").alias("content"), "lo", "hi").distinct()
     by_text = open_.join(runs, ["shard", "content"]).select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     alike = places.where("alike").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
