@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, layout, neighbours
+from . import catalogue, layout, neighbours, sensory
 
-QUERIES = catalogue.QUERIES | neighbours.QUERIES | layout.QUERIES
-ORACLES = catalogue.ORACLES | neighbours.ORACLES | layout.ORACLES
+QUERIES = catalogue.QUERIES | neighbours.QUERIES | layout.QUERIES | sensory.QUERIES
+ORACLES = catalogue.ORACLES | neighbours.ORACLES | layout.ORACLES | sensory.ORACLES
