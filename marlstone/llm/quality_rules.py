@@ -119,7 +119,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities. The discounts of each order are common to all languages."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        levels[k] = cut(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
     ones = None
     for k, level in levels.items():
         n = level.agg(F.lit(k).alias("k"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -135,8 +135,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             grams = grams.withColumn("p", F.col("seen") + F.col("spare") / (F.col("v") + 1))
         else:
             grams = grams.withColumn("low", F.substring("gram", 2, k - 1)).join(below, ["lang", "low"]).withColumn("p", F.col("seen") + F.col("spare") * F.col("p"))
-        below = grams.select("lang", F.col("gram").alias("low"), "p")
-    return grams.select("lang", "gram", F.log("p").alias("logp"))
+        # (cut at each order: a plan of all orders at once would weigh on the driver)
+        below = cut(grams.select("lang", F.col("gram").alias("low"), "p"))
+    return below.select("lang", F.col("low").alias("gram"), F.log("p").alias("logp"))
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -192,6 +193,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
     if model.count() <= model_rows:
         arrays = model.toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
         sent = spark.sparkContext.broadcast((arrays["h"].to_numpy().view(np.uint64), arrays["logp"].to_numpy()))
+        del arrays
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
