@@ -29,6 +29,8 @@ LOWER_BAND, UPPER_BAND = 4.5, 6.0
 SHORT = 2000
 #: A model of at most so many n-grams (12 bytes each) is sent to all executors; a larger one is joined.
 MODEL_ROWS = 16_000_000
+#: Statistics of at most so many languages are sent to all executors.
+FEW_LANGUAGES = 10_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 21
 SYMBOLS = "#*$%&|<>"
@@ -225,6 +227,12 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
     return rows.join(totals, "key", "left").drop("key").fillna({"total": 0.0})
 
 
+def _few(by_language: DataFrame) -> DataFrame:
+    """Rows by language, sent to all executors where they are few, so that a common language is not dealt to one task."""
+    by_language = cut(by_language)
+    return F.broadcast(by_language) if by_language.count() <= FEW_LANGUAGES else by_language
+
+
 def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``docs`` (doc_id, text, lang; more columns are ignored) to one row per document.
 
@@ -240,9 +248,9 @@ def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND
     wide = F.when(F.col("n_grams") > 0, F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_grams").cast("double"))))
     scored = scored.withColumn("base_failed", failed).withColumn("wide", wide).withColumn("log_perplexity", F.try_divide(-F.col("total"), F.col("n_grams").cast("double")))
     sound = scored.where(~F.col("base_failed"))
-    middle = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
+    middle = _few(sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid")))
     spread = sound.join(middle, "lang").groupBy("lang", "mid").agg((1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")) / F.col("wide"), 0.5, 10000)).alias("dev"))
-    judged = scored.join(spread, "lang", "left").withColumn("band_low", F.col("mid") - lower * F.col("dev") * F.col("wide")).withColumn("band_high", F.col("mid") + upper * F.col("dev") * F.col("wide"))
+    judged = scored.join(_few(spread), "lang", "left").withColumn("band_low", F.col("mid") - lower * F.col("dev") * F.col("wide")).withColumn("band_high", F.col("mid") + upper * F.col("dev") * F.col("wide"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")
 
