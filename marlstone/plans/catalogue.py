@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import domain
+from ..operators import domain, search
 from .relations import duckdb_sql, spark_sql
 
 #: One text serves Spark and DuckDB where the dialects agree.
@@ -16,7 +16,7 @@ SHARED = {
     "list_page_liked": "SELECT i.id, i.name, l.item_id IS NOT NULL AS is_liked FROM (SELECT id, name FROM @items ORDER BY id LIMIT 100 OFFSET 200) i LEFT JOIN (SELECT item_id FROM @likes WHERE user_id = 7) l ON i.id = l.item_id",
     "fetch_ordered": "SELECT p.pos, i.id, i.name FROM (SELECT 0 AS pos, 77 AS id UNION ALL SELECT 1, 5 UNION ALL SELECT 2, 900000000 UNION ALL SELECT 3, 41) p JOIN @items i ON i.id = p.id ORDER BY p.pos",
     "exists_check": "SELECT count(*) > 0 AS found FROM (SELECT 1 FROM @items WHERE id = 123 LIMIT 1) t",
-    "descriptor_catalog": "SELECT glass, count(*) AS n_items, dense_rank() OVER (ORDER BY glass) AS display_order FROM @items WHERE abv > 0 GROUP BY glass",
+    "descriptor_catalog": "SELECT glass, count(*) AS n_items, CAST(dense_rank() OVER (ORDER BY glass) AS BIGINT) AS display_order FROM @items WHERE abv > 0 GROUP BY glass",
     "base_tags": "SELECT DISTINCT base_tag FROM @items WHERE base_tag IS NOT NULL ORDER BY base_tag",
     "liked_list": "SELECT i.id, i.name, l.created_at FROM @likes l JOIN @items i ON i.id = l.item_id WHERE l.user_id = 7 ORDER BY l.created_at DESC, i.id LIMIT 21",
     "first_n": "SELECT c_custkey AS id, c_name AS name FROM @customer ORDER BY c_custkey LIMIT 10",
@@ -28,7 +28,7 @@ SHARED = {
     "bipartite_edges": "SELECT b.cocktail_id, b.ingredient_id, round(ln(1 + greatest(b.amount * CASE b.unit WHEN 'A' THEN 1.0 WHEN 'N' THEN 30.0 ELSE 5.0 END, 0.1)), 9) AS weight FROM @bridge b JOIN @items i ON i.id = b.ingredient_id",
     "daily_pick": "SELECT id, name FROM @items ORDER BY md5(concat('2024-05-01', CAST(id AS STRING))), id LIMIT 5",
     "axis_category_counts": "SELECT glass AS category, count(*) AS n FROM @items GROUP BY glass",
-    "prompt_stats": "SELECT min(length(name)) AS min_chars, max(length(name)) AS max_chars, round(avg(length(name)), 9) AS mean_chars FROM @items",
+    "prompt_stats": "SELECT CAST(min(length(name)) AS BIGINT) AS min_chars, CAST(max(length(name)) AS BIGINT) AS max_chars, round(avg(length(name)), 9) AS mean_chars FROM @items",
     "cohort_filter": "SELECT w.id FROM (SELECT id FROM @items WHERE id < 700) w LEFT JOIN @v v ON v.id = w.id WHERE v.id IS NULL",
     "pending_batch": "SELECT i.id, i.name FROM @items i LEFT JOIN (SELECT DISTINCT item_id FROM @likes) l ON i.id = l.item_id WHERE i.id >= 100 AND l.item_id IS NULL",
     "selection_errors": "SELECT id, CASE WHEN n > 1 THEN 'duplicate' ELSE 'unknown' END AS problem FROM (SELECT s.id, count(*) AS n, max(i.id) AS known FROM (SELECT 3 AS id UNION ALL SELECT 3 UNION ALL SELECT 8 UNION ALL SELECT 99999999) s LEFT JOIN @items i ON i.id = s.id GROUP BY s.id) t WHERE n > 1 OR known IS NULL",
@@ -41,6 +41,11 @@ SHARED = {
     "verify_after_write": "SELECT count(*) AS n, count_if(embedding IS NULL) AS null_vectors, count_if(embedding IS NOT NULL AND AT(embedding, 64) IS NULL) AS short_vectors FROM @items",
     "nested_sources_flat": "SELECT i.id, count(b.ingredient_id) AS n_links, coalesce(round(sum(b.amount), 6), 0.0) AS amount FROM @items i LEFT JOIN @bridge b ON b.cocktail_id = i.id GROUP BY i.id",
     "profile_rules": "SELECT id, abv, CASE WHEN abv < 5 AND base_tag = 'Brand#1' THEN 'low abv for base' WHEN abv > 45 AND glass = 'ECONOMY' THEN 'high abv for glass' END AS violation FROM @items WHERE (abv < 5 AND base_tag = 'Brand#1') OR (abv > 45 AND glass = 'ECONOMY')",
+    "descriptor_support": "SELECT base_tag AS code, count(*) AS support, count(embedding) AS with_vector FROM @items GROUP BY base_tag",
+    "parse_summary": "SELECT count(*) AS n, count_if(props LIKE '%\"k\"%') AS accepted, count_if(props NOT LIKE '%\"k\"%') AS quarantined, count_if(props IS NULL) AS missing FROM @events",
+    "manifest_audit": "SELECT count(*) - count(DISTINCT id) AS repeated_ids, count_if(id IS NULL) AS null_ids, count_if(name IS NULL OR name = '') AS unnamed, max(id) - min(id) + 1 - count(DISTINCT id) AS gaps FROM @items",
+    "contract_report": "SELECT count_if(y < prev) AS falls, round(max(y), 9) AS highest, round(max(abs(y / x - 1.2)), 9) AS ratio_error FROM (SELECT x, y, lag(y) OVER (ORDER BY x) AS prev FROM (SELECT (id + 1) / 1000.0 AS x, least(1.2 * (id + 1) / 1000.0, pi()) AS y FROM @items WHERE id < 1000) u) t",
+    "response_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count_if(value IS NULL) AS missing FROM @events GROUP BY event_type",
     "name_tiers": "SELECT id, name, tier, score FROM (SELECT id, name, CASE WHEN q = t THEN 4 WHEN t LIKE concat(q, '%') THEN 3 WHEN t LIKE concat('%', q, '%') THEN 2 END AS tier, CASE WHEN q = t THEN 1.0 WHEN t LIKE concat('%', q, '%') THEN round(length(q) * 1.0 / length(t), 9) END AS score FROM (SELECT id, name, 'red' AS q, replace(lower(name), ' ', '') AS t FROM @items) u) w WHERE tier IS NOT NULL ORDER BY tier DESC, score DESC, length(name), id LIMIT 20",
 }
 
@@ -60,4 +65,24 @@ def nested_sources(spark: SparkSession, d: str) -> DataFrame:
     return domain.items(spark, d).select("id", "name").join(links, "id", "left").select("id", "name", F.coalesce("ingredients", none).alias("ingredients"))
 
 
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of name matches with their like counts and whether user 7 likes them, in the order of the search."""
+    names = domain.items(spark, d).groupBy("name").agg(F.min("id").alias("id")).select("id", "name", F.col("name").alias("name_en"))
+    hits = search.search(names, "widget", 10, 2)
+    likes = domain.likes(spark, d).join(F.broadcast(hits.select(F.col("id").alias("item_id"))), "item_id")
+    counts = likes.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("like_count"), F.bool_or(F.col("user_id") == 7).alias("is_liked"))
+    return hits.join(counts, "id", "left").fillna({"like_count": 0, "is_liked": False}).orderBy(F.desc("tier"), F.desc("score"), F.length("name"), "id")
+
+
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct names that share a word, by Jaccard similarity of their words."""
+    names = domain.items(spark, d).select("name").distinct().withColumn("words", F.array_distinct(F.split("name", " ")))
+    words = names.select("name", F.size("words").alias("n"), F.explode("words").alias("word"))
+    other = words.select(F.col("name").alias("other"), F.col("n").alias("m"), "word")
+    shared = words.join(other, "word").where("name < other").groupBy("name", "other", "n", "m").agg(F.count("*").alias("both"))
+    return shared.select("name", "other", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9).alias("similarity"))
+
+
+QUERIES |= {"search_page": search_page, "jaccard_pairs": jaccard_pairs}
+ORACLES["jaccard_pairs"] = "SELECT a.name, b.name AS other, round(len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9)::DOUBLE AS similarity FROM (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM part) a JOIN (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM part) b ON a.name < b.name WHERE len(list_intersect(a.w, b.w)) > 0"
 QUERIES |= {"random_pick": random_pick, "nested_sources": nested_sources}

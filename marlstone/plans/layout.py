@@ -28,7 +28,7 @@ SHARED = {
     "silhouette": "SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM (SELECT src, max(CASE WHEN same THEN m END) AS a, min(CASE WHEN NOT same THEN m END) AS b FROM (SELECT p.src, sb.label, sa.label = sb.label AS same, avg(acos(least(1.0, greatest(-1.0, p.score)))) AS m FROM @cpairs p JOIN @c sa ON sa.id = p.src JOIN @c sb ON sb.id = p.dst GROUP BY 1, 2, 3) u GROUP BY src) t",
     "false_close_all": "SELECT count(*) AS false_close FROM (SELECT c.src, c.dst FROM @cknn c JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score, dst DESC) AS worst, count(*) OVER (PARTITION BY src) AS n FROM @pairs) p ON p.src = c.src AND p.dst = c.dst WHERE p.worst <= floor(p.n / 10)) t",
     "false_close_graph": "SELECT count(*) AS false_close FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score, p.dst DESC) AS worst, count(*) OVER (PARTITION BY p.src) AS n FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) w JOIN @cknn c ON c.src = w.src AND c.dst = w.dst WHERE w.worst <= greatest(1, ceil(w.n / 10))",
-    "borda_rank": "SELECT label, ra + rb + rc AS borda FROM (SELECT label, row_number() OVER (ORDER BY round(ax, 9), label) - 1 AS ra, row_number() OVER (ORDER BY round(ay, 9), label) - 1 AS rb, row_number() OVER (ORDER BY round(az, 9) DESC, label) - 1 AS rc FROM (SELECT label, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM @c GROUP BY label) u) t",
+    "borda_rank": "SELECT label, CAST(ra + rb + rc AS BIGINT) AS borda FROM (SELECT label, row_number() OVER (ORDER BY round(ax, 9), label) - 1 AS ra, row_number() OVER (ORDER BY round(ay, 9), label) - 1 AS rb, row_number() OVER (ORDER BY round(az, 9) DESC, label) - 1 AS rc FROM (SELECT label, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM @c GROUP BY label) u) t",
     "gate_check": "SELECT metric, value, bound, value <= bound AS passed FROM (SELECT 'norm_error' AS metric, round(max(abs(sqrt(x * x + y * y + z * z) - 1)), 9) AS value, 1e-12 AS bound FROM @c UNION ALL SELECT 'mean_norm', round(sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)), 9), 0.4 FROM @c) t",
     "frontier_specs": "SELECT a.a, g.gamma, CASE WHEN a.a + (3.0 - a.a) * g.gamma / 2 > 4.5 THEN 'stretch too steep' END AS rejected FROM (SELECT 1.0 AS a UNION ALL SELECT 1.2 UNION ALL SELECT 1.5) a CROSS JOIN (SELECT 1.5 AS gamma UNION ALL SELECT 2.0 UNION ALL SELECT 3.0 UNION ALL SELECT 4.0) g",
     "relation_recall": "SELECT round(avg(CASE WHEN d.ca IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall FROM (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) u WHERE r <= 3) s LEFT JOIN (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) w WHERE r <= 3) d ON d.ca = s.ca AND d.cb = s.cb",

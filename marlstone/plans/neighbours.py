@@ -26,6 +26,11 @@ SHARED = {
     "within_cluster_recall": "SELECT round(avg(hit), 9) AS recall FROM (SELECT k.src, avg(CASE WHEN c.dst IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM (SELECT * FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score DESC, p.dst) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst AND a.label = b.label) x WHERE r <= 5) k LEFT JOIN (SELECT * FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score DESC, p.dst) AS r FROM @cpairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst AND a.label = b.label) y WHERE r <= 5) c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t",
     "nonedge_sample": "SELECT src, dst, CAST(r AS BIGINT) AS r FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY md5(concat('7', '-', CAST(p.src AS STRING), '-', CAST(p.dst AS STRING))), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 3",
     "ranking_triples": "SELECT k.src AS center, k.dst AS near_id, n.dst AS far_id FROM @knn k JOIN (SELECT src, dst FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY md5(concat('7', '-', CAST(p.src AS STRING), '-', CAST(p.dst AS STRING))), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 2) n ON n.src = k.src",
+    "query_recall": "SELECT round(sum(CASE WHEN k.rank <= 1 AND c.rank <= 1 THEN 1.0 ELSE 0.0 END) / count(DISTINCT k.src), 9) AS recall_1, round(sum(CASE WHEN k.rank <= 3 AND c.rank <= 3 THEN 1.0 ELSE 0.0 END) / (3 * count(DISTINCT k.src)), 9) AS recall_3, round(sum(CASE WHEN c.rank <= 5 THEN 1.0 ELSE 0.0 END) / (5 * count(DISTINCT k.src)), 9) AS recall_5, round(avg(k.score), 6) AS mean_score FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst",
+    "precision_lift": "SELECT round(avg(p), 9) AS precision_at_5, round(avg(p / share), 9) AS lift FROM (SELECT a.label, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS p, max(s.share) AS share FROM @knn k JOIN @v a ON a.id = k.src JOIN @v b ON b.id = k.dst JOIN (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM @v) AS share FROM @v GROUP BY label) s ON s.label = a.label GROUP BY a.label) t",
+    "spot_check": "SELECT CAST(k.rank AS BIGINT) AS rank, k.dst AS in_vectors, c.dst AS in_coordinates, o.src IS NOT NULL AS shared FROM @knn k JOIN @cknn c ON c.src = k.src AND c.rank = k.rank LEFT JOIN @cknn o ON o.src = k.src AND o.dst = k.dst WHERE k.src = 17",
+    "assert_same_ids": "SELECT count_if(a.id IS NULL OR b.id IS NULL) AS mismatched, count(*) AS n FROM @v a FULL JOIN @c b ON a.id = b.id",
+    "layout_gates": "SELECT 'recall_at_5' AS gate, round(avg(hits) / 5, 9) AS value, avg(hits) / 5 >= 0.6 AS passed FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t UNION ALL SELECT 'any_hit', round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9), avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) >= 0.9 FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) u",
     "favor_recommend": "SELECT user_id, id, round(best, 4) AS similarity, CAST(r AS BIGINT) AS r FROM (SELECT user_id, id, best, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 4) DESC, id) AS r FROM (SELECT l.user_id, p.dst AS id, max(p.score) AS best FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id) AS recency FROM @likes WHERE user_id < 50) l JOIN (SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM @pairs) q WHERE rank <= 25) p ON p.src = l.item_id LEFT JOIN @likes o ON o.user_id = l.user_id AND o.item_id = p.dst WHERE l.recency <= 5 AND o.item_id IS NULL GROUP BY l.user_id, p.dst) b) t WHERE r <= 5",
 }
 

@@ -31,15 +31,23 @@ RELATIONS: dict[str, tuple[Builder, str]] = {
 
 _NAME = re.compile(r"@(\w+)")
 _PCT = re.compile(r"PCT\(([^,]+), ([\d.]+)\)")
+#: Numbers with a point are meant as doubles in both dialects, not as decimals.
+_POINT = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])")
+#: count_if has other result types in the two dialects.
+_IF = re.compile(r"count_if\(((?:[^()]|\([^()]*\))*)\)")
 _AT = re.compile(r"AT\((\w+(?:\.\w+)?), (\d+)\)")
 
 
+def _common(text: str) -> str:
+    return _POINT.sub(r"\1e0", _IF.sub(r"count(CASE WHEN \1 THEN 1 END)", text))
+
+
 def spark_sql(text: str) -> Builder:
     """A query text over @relations as a callable. PCT(x, q): the exact interpolated quantile; AT(v, i): the i-th element, from 1."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = sorted(set(_NAME.findall(text)))
-        plain = _AT.sub(lambda m: f"{m[1]}[{int(m[2]) - 1}]", _PCT.sub(r"percentile(\1, \2)", text))
+        plain = _common(_AT.sub(lambda m: f"{m[1]}[{int(m[2]) - 1}]", _PCT.sub(r"percentile(\1, \2)", text)))
         return spark.sql(_NAME.sub(r"{\1}", plain), **{n: RELATIONS[n][0](spark, sf_dir) for n in names})
 
     return run
@@ -59,5 +67,5 @@ def duckdb_sql(text: str) -> str:
 
     for name in _NAME.findall(text):
         need(name)
-    body = _AT.sub(r"\1[\2]", _PCT.sub(r"quantile_cont(\1, \2)", _NAME.sub(r"\1", text)))
+    body = _common(_AT.sub(r"\1[\2]", _PCT.sub(r"quantile_cont(\1, \2)", _NAME.sub(r"\1", text))))
     return ("WITH " + ", ".join(f"{n} AS ({q})" for n, q in needed.items()) + " " if needed else "") + body
