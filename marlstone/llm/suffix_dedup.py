@@ -27,9 +27,9 @@ from .induced_sort import repeated_starts
 LENGTH = 200
 GRAM = 32
 #: A shard of more bytes than this is cut again by other hashes.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Shards are sorted together, up to so many bytes at a time.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 19
 
