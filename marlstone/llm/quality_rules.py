@@ -5,7 +5,9 @@ language. Spark counts the n-grams of all documents; lower orders take continuat
 probabilities are kept as a sorted array of n-gram hashes and one of log probabilities. A document
 whose mean log perplexity lies above the upper or below the lower band of its language is rejected:
 above is noise, below is mechanical repetition. The bands are so many robust deviations from the
-language's median, both over all documents that pass the base rules, and wider for short texts.
+language's median, both over the distinct texts that pass the base rules, and wider for short texts.
+Copies count once, in the model as well, so their number does not move the bands. A language of few
+texts takes at least the deviation of the others, and every language at least MIN_DEVIATION.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ MAX_REPEAT_PERCENT = 30
 LOWER_BAND, UPPER_BAND = 4.5, 6.0
 #: The bands of a text of n characters are sqrt(1 + SHORT / n) times as wide: the mean of few characters varies more.
 SHORT = 2000
+#: A language of fewer distinct sound texts has no deviation of its own to go by.
+FEW_TEXTS = 30
+#: The least robust deviation of a language, in nats a character (the four of sf0.01 have 0.014 to 0.018), and of one of few texts.
+MIN_DEVIATION, FEW_DEVIATION = 0.01, 0.05
 #: A model of at most so many n-grams (12 bytes each) is sent to all executors; a larger one is joined.
 MODEL_ROWS = 16_000_000
 #: Statistics of at most so many languages are sent to all executors.
@@ -180,6 +186,7 @@ def _score_texts(batch: pd.DataFrame, keys: np.ndarray, values: np.ndarray, orde
 def _features(batch: pd.DataFrame) -> pd.DataFrame:
     base = pd.DataFrame([base_features(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
     base.insert(0, "doc_id", batch["doc_id"].to_numpy())
+    base.insert(1, "text_key", batch["text_key"].to_numpy())
     base["lang"] = [x if isinstance(x, str) else "" for x in batch["lang"]]
     base["n_grams"] = [len(t) if t else 0 for t in batch["text"]]
     return base
@@ -192,6 +199,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
     """The features of each document and ``total``, its summed log probability."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    text_key = F.xxhash64("text").alias("text_key")
     if model.count() <= model_rows:
         arrays = model.toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
         sent = spark.sparkContext.broadcast((arrays["h"].to_numpy().view(np.uint64), arrays["logp"].to_numpy()))
@@ -203,7 +211,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
                 out["total"] = _score_texts(batch, *sent.value, order)
                 yield out
 
-        return docs.select("doc_id", "text", "lang").mapInPandas(score, f"doc_id {kind}, {_FIELDS}, total double")
+        return docs.select("doc_id", "text", "lang", text_key).mapInPandas(score, f"doc_id {kind}, text_key long, {_FIELDS}, total double")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,7 +221,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
                     yield pd.DataFrame({"key": batch["key"].iloc[row], "h": h.view(np.int64), "n": n})
 
     key = F.sha2(F.concat_ws("\0", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.select("doc_id", "text", "lang", key.alias("key"))
+    keyed = docs.select("doc_id", "text", "lang", text_key, key.alias("key"))
     parts = keyed.dropDuplicates(["key"]).mapInPandas(grams, "key string, h long, n long")
     totals = parts.join(model, "h").groupBy("key").agg(F.sum(F.col("n") * F.col("logp").cast("double")).alias("total"))
 
@@ -223,7 +231,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
             out["key"] = batch["key"].to_numpy()
             yield out
 
-    rows = keyed.mapInPandas(features, f"doc_id {kind}, {_FIELDS}, key string")
+    rows = keyed.mapInPandas(features, f"doc_id {kind}, text_key long, {_FIELDS}, key string")
     return rows.join(totals, "key", "left").drop("key").fillna({"total": 0.0})
 
 
@@ -242,14 +250,23 @@ def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND
     table gives no rows. The model has ``model_rows`` n-grams at most where it is sent to the executors;
     a larger one is joined to the documents' n-grams instead, with the same result.
     """
-    model = cut(_hashed(kneser_ney(cut(gram_counts(docs, order)), order), order))
+    texts = docs.select("text", "lang").dropDuplicates()
+    model = cut(_hashed(kneser_ney(cut(gram_counts(texts, order)), order), order))
     scored = cut(_scored(docs, model, order, model_rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     wide = F.when(F.col("n_grams") > 0, F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_grams").cast("double"))))
     scored = scored.withColumn("base_failed", failed).withColumn("wide", wide).withColumn("log_perplexity", F.try_divide(-F.col("total"), F.col("n_grams").cast("double")))
-    sound = scored.where(~F.col("base_failed"))
-    middle = _few(sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid")))
-    spread = sound.join(middle, "lang").groupBy("lang", "mid").agg((1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")) / F.col("wide"), 0.5, 10000)).alias("dev"))
+    sound = cut(scored.where(~F.col("base_failed")).select("lang", "text_key", "log_perplexity", "wide").dropDuplicates(["lang", "text_key"]))
+    # (of an even number of texts, the mean of the middle two: with one of them, a pair's other text would lie outside)
+    midpoint = (F.percentile_approx("log_perplexity", 0.5, 10000) - F.percentile_approx(-F.col("log_perplexity"), 0.5, 10000)) / 2
+    middle = _few(sound.groupBy("lang").agg(midpoint.alias("mid"), F.count("*").alias("texts")))
+    off = sound.join(middle, "lang").withColumn("off", F.abs(F.col("log_perplexity") - F.col("mid")) / F.col("wide"))
+    robust = 1.4826 * F.percentile_approx("off", 0.5, 10000)
+    pooled = off.where(F.col("texts") >= FEW_TEXTS).agg(robust.alias("pooled"))
+    spread = off.groupBy("lang", "mid", "texts").agg(robust.alias("own")).crossJoin(F.broadcast(pooled))
+    # (greatest skips nulls: no pooled deviation where all languages have few texts)
+    least = F.when(F.col("texts") < FEW_TEXTS, F.greatest("pooled", F.lit(FEW_DEVIATION))).otherwise(F.lit(MIN_DEVIATION))
+    spread = spread.select("lang", "mid", F.greatest("own", least).alias("dev"))
     judged = scored.join(_few(spread), "lang", "left").withColumn("band_low", F.col("mid") - lower * F.col("dev") * F.col("wide")).withColumn("band_high", F.col("mid") + upper * F.col("dev") * F.col("wide"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")

@@ -179,6 +179,23 @@ def test_quality_rules(spark, small):
     assert sum(clean) / len(clean) > 0.95
 
 
+def test_quality_rules_with_half_a_language_copies(spark, small):
+    from marlstone.llm.quality_rules import quality_rules
+
+    docs = small.select("doc_id", "text", "lang")
+    alone = quality_rules(docs).toPandas().set_index("doc_id")
+    english = {r.doc_id: r.text for r in docs.where("lang = 'en'").collect()}
+    one = next(d for d in sorted(english) if alone.kept[d] and 200 < alone.n_words[d] < 800)
+    copies = spark.createDataFrame([(10_000 + i, english[one], "en") for i in range(2 * len(english))], docs.schema)
+    got = quality_rules(docs.unionByName(copies)).toPandas().set_index("doc_id")
+    assert (got.kept[alone.index] == alone.kept).all() and got.kept[got.index >= 10_000].all()
+    # two sound documents of one language
+    other = max(english, key=lambda d: alone.kept[d] * len(english[d]))
+    pair = spark.createDataFrame([(1, english[one], "xx"), (2, english[other], "xx")], docs.schema)
+    assert [r.kept for r in quality_rules(pair).collect()] == [True, True]
+    assert quality_rules(docs.unionByName(pair.withColumn("doc_id", F.col("doc_id") + 20_000))).where("doc_id > 20000 and kept").count() == 2
+
+
 def test_warc_round_trip_and_bad_archives(spark, tmp_path):
     import gzip
     import io
