@@ -1,6 +1,6 @@
 """Quality rules: base text rules, then n-gram perplexity within bands of the language.
 
-The model is an interpolated modified Kneser-Ney model of characters (order 4), one for each
+The model is an interpolated modified Kneser-Ney model of characters (order 5), one for each
 language. Spark counts the n-grams of all documents; lower orders take continuation counts. Its
 probabilities are kept as a sorted array of n-gram hashes and one of log probabilities. A document
 whose mean log perplexity lies above the upper or below the lower band of its language is rejected:
@@ -16,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-ORDER = 4
+ORDER = 5
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-#: Robust deviations (1.4826 times the median absolute deviation) that bound the bands.
-LOWER_BAND, UPPER_BAND = 4.5, 6.0
+#: Robust deviations (1.4826 times the median absolute deviation) that bound the bands; chosen on sf0.1's labels of even ids (README).
+LOWER_BAND, UPPER_BAND = 4.5, 3.5
 #: The bands of a text of n characters are sqrt(1 + SHORT / n) times as wide: the mean of few characters varies more.
 SHORT = 2000
 #: A language of fewer distinct sound texts has no deviation of its own to go by.
@@ -105,7 +105,7 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], list[s
         yield np.array(at), texts, langs
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def gram_counts(docs: DataFrame, order: int = 4) -> DataFrame:
     """``docs`` (text, lang) to (lang, gram, c): each n-gram of characters of a language and its count in all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,22 +123,23 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.select("text", "lang").mapInPandas(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities. The discounts of each order are common to all languages."""
+def kneser_ney(counts: DataFrame, order: int = 4) -> DataFrame:
+    """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities. Each language and order has its own discounts."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         levels[k] = cut(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
     ones = None
     for k, level in levels.items():
-        n = level.agg(F.lit(k).alias("k"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        n = level.groupBy("lang").agg(F.lit(k).alias("k"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
         ones = n if ones is None else ones.unionByName(n)
-    discounts = {r["k"]: _discounts([r["n1"], r["n2"], r["n3"], r["n4"]]) for r in ones.collect()}
+    discounts = cut(ones.select("lang", "k", *_discounts()))
+    few = discounts.count() <= FEW_LANGUAGES
     below = None
     for k in range(1, order + 1):
-        d1, d2, d3 = discounts[k]
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        own = discounts.where(F.col("k") == k).drop("k")
+        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = Window.partitionBy("lang", F.substring("gram", 1, k - 1))
-        grams = levels[k].select("lang", "gram", ((F.col("c") - d) / F.sum("c").over(context)).alias("seen"), (F.sum(d).over(context) / F.sum("c").over(context)).alias("spare"), F.count("*").over(context).alias("v"))
+        grams = levels[k].join(F.broadcast(own) if few else own, "lang").select("lang", "gram", ((F.col("c") - d) / F.sum("c").over(context)).alias("seen"), (F.sum(d).over(context) / F.sum("c").over(context)).alias("spare"), F.count("*").over(context).alias("v"))
         if below is None:
             grams = grams.withColumn("p", F.col("seen") + F.col("spare") / (F.col("v") + 1))
         else:
@@ -148,10 +149,12 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("lang", F.col("low").alias("gram"), F.log("p").alias("logp"))
 
 
-def _discounts(n: list[int]) -> list[float]:
-    """The three discounts of modified Kneser-Ney from the numbers of n-grams with counts 1 to 4, held within (0, count]."""
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2, 0.05), float(i)) for i in (1, 2, 3)]
+def _discounts() -> list[Column]:
+    """The three discounts of modified Kneser-Ney, d1 to d3, from the numbers n1 to n4 of n-grams with counts 1 to 4, held within (0, count]."""
+    n = {i: F.col(f"n{i}").cast("double") for i in (1, 2, 3, 4)}
+    y = F.when(n[1] > 0, n[1] / (n[1] + 2 * n[2])).otherwise(0.5)
+    raw = {i: F.when(n[i] > 0, i - (i + 1) * y * F.try_divide(n[i + 1], n[i])).otherwise(i / 2) for i in (1, 2, 3)}
+    return [F.least(F.greatest(raw[i], F.lit(0.05)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)]
 
 
 def _hashed(model: DataFrame, order: int) -> DataFrame:
@@ -201,9 +204,11 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     text_key = F.xxhash64("text").alias("text_key")
     if model.count() <= model_rows:
-        arrays = model.toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
-        sent = spark.sparkContext.broadcast((arrays["h"].to_numpy().view(np.uint64), arrays["logp"].to_numpy()))
-        del arrays
+        arrays = model.toArrow()  # (as rows, they would take many times the room on the driver)
+        h = arrays["h"].to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        sent = spark.sparkContext.broadcast((h[by], arrays["logp"].to_numpy()[by]))
+        del arrays, h, by
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

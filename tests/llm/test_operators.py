@@ -196,6 +196,28 @@ def test_quality_rules_with_half_a_language_copies(spark, small):
     assert quality_rules(docs.unionByName(pair.withColumn("doc_id", F.col("doc_id") + 20_000))).where("doc_id > 20000 and kept").count() == 2
 
 
+def test_quality_rules_catch_shuffled_words(spark, small):
+    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text", "lang")
+    odd = labels.where("doc_id % 2 = 1 and quality = 1").toPandas().doc_id.sort_values().tolist()
+    rng, shuffled = random.Random(1), []
+    for r in docs.where(F.col("doc_id").isin(odd[:150])).orderBy("doc_id").collect():
+        ws = r.text.split()
+        rng.shuffle(ws)
+        shuffled.append((1_000_000 + r.doc_id, " ".join(ws), r.lang))
+    got = quality_rules(docs.unionByName(spark.createDataFrame(shuffled, docs.schema))).toPandas().set_index("doc_id")
+    got = got[~got.base_failed]
+    noise = got.kept[got.index >= 1_000_000]
+    assert (~noise).mean() > 0.4 and (~got.kept[got.index.intersection(odd)]).mean() < 0.01
+    # a language's model does not depend on the others
+    counts = gram_counts(small)
+    alone = kneser_ney(counts.where("lang = 'fr'")).toPandas().set_index("gram").logp
+    among = kneser_ney(counts).where("lang = 'fr'").toPandas().set_index("gram").logp
+    assert len(alone) == len(among) and (alone - among).abs().max() < 1e-9
+
+
 def test_warc_round_trip_and_bad_archives(spark, tmp_path):
     import gzip
     import io
