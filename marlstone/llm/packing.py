@@ -28,16 +28,19 @@ _ENCODERS: dict = {}
 
 
 def _encoder(vocabulary: str):
-    """The byte-level BPE of a ranks file, loaded once in a worker. Strings of special tokens are ordinary text."""
+    """The byte-level BPE of a ranks file, loaded once in a worker. The added tokens of the JSON file beside it are split off first."""
     if vocabulary not in _ENCODERS:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(vocabulary.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[vocabulary]
 
 
@@ -60,7 +63,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = array.array("I", encoder.encode_ordinary(text) if text else [])
+                ids = array.array("I", encoder.encode(text, allowed_special="all") if text else [])
                 ids.append(END_ID)
                 raw, n = memoryview(ids).cast("B"), len(ids)
                 start, end, piece = 0, (n - 1) % sequence + 1, 0

@@ -48,6 +48,20 @@ def test_packing_places_every_token(spark):
     assert best_fit_pack(frame(spark, [])).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from marlstone.llm.packing import best_fit_pack
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext|", " \n <|endoftext|>  z"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = best_fit_pack(frame(spark, texts)).toPandas().sort_values("doc_id")
+    for r, text in zip(got.itertuples(), texts, strict=True):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+
+
 def test_simhash_groups_match_brute_force(spark, small):
     import numpy as np
     import xxhash
