@@ -2,11 +2,11 @@
 
 The model is an interpolated modified Kneser-Ney model of characters (order 5), one for each
 language. Spark counts the n-grams of all documents; lower orders take continuation counts. Its
-probabilities are kept as a sorted array of n-gram hashes and one of log probabilities. A document
-whose mean log perplexity lies above the upper or below the lower band of its language is rejected:
-above is noise, below is mechanical repetition. The bands are so many robust deviations from the
-language's median, both over the distinct texts that pass the base rules, and wider for short texts.
-Copies count once, in the model as well, so their number does not move the bands. A language of few
+probabilities are kept as sorted arrays of n-gram hashes with their log probabilities, dealt out by
+range of the hash; texts' n-grams are looked up there, range by range. A document whose mean log
+perplexity lies above the upper or below the lower band of its language is rejected: above is noise,
+below is mechanical repetition. The bands are so many robust deviations from the language's median,
+both over the distinct texts that pass the base rules, and wider for short texts. Copies count once, in the model as well, so their number does not move the bands. A language of few
 texts takes at least the deviation of the others, and every language at least MIN_DEVIATION.
 """
 
@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,11 @@ SHORT = 2000
 FEW_TEXTS = 30
 #: The least robust deviation of a language, in nats a character (the four of sf0.01 have 0.014 to 0.018), and of one of few texts.
 MIN_DEVIATION, FEW_DEVIATION = 0.01, 0.05
-#: A model of at most so many n-grams (12 bytes each) is sent to all executors; a larger one is joined.
-MODEL_ROWS = 16_000_000
 #: Statistics of at most so many languages are sent to all executors.
 FEW_LANGUAGES = 10_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 21
+#: Characters of a chunk of texts, and n-grams of a row group that leaves Python.
+_CHUNK, _ROWS = 1 << 22, 1 << 17
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -89,41 +90,92 @@ def _gram_arrays(texts: list[str], langs: list[str], order: int) -> tuple[np.nda
     return points, h ^ (h >> np.uint64(29)), at
 
 
-def _chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], list[str]]]:
-    """Rows with a text, in runs of about _CHUNK characters: their places in the batch, texts and languages."""
-    at, texts, langs, size = [], [], [], 0
-    for i, (text, lang) in enumerate(zip(batch["text"], batch["lang"], strict=True)):
-        if text:
-            at.append(i)
-            texts.append(text)
-            langs.append(lang if isinstance(lang, str) else "")
-            size += len(text)
-            if size >= _CHUNK:
-                yield np.array(at), texts, langs
-                at, texts, langs, size = [], [], [], 0
-    if at:
-        yield np.array(at), texts, langs
+def _joined_key() -> Column:
+    """32 bytes that tell texts of a language apart (a null text counts as empty, a null lang as the language of no name)."""
+    return F.unhex(F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256))
 
 
-def gram_counts(docs: DataFrame, order: int = 4) -> DataFrame:
-    """``docs`` (text, lang) to (lang, gram, c): each n-gram of characters of a language and its count in all texts."""
+_CHUNK_FIELDS = pa.schema([("key", pa.binary()), ("lang", pa.string()), ("text", pa.string())])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _closed(rows: list[tuple[bytes, str, str]]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _CHUNK_FIELDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK_FIELDS.types, strict=True)], schema=_CHUNK_FIELDS))
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(payload: bytes) -> tuple[list[bytes], list[str], list[str]]:
+    """Keys, languages and texts of a packet or chunk."""
+    with pa.ipc.open_stream(payload) as source:
+        table = source.read_all()
+    return tuple(table[c].to_pylist() for c in ("key", "lang", "text"))
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, lang) to chunks of their distinct non-empty texts: chunk (a number of its own), payload (compressed keys, languages, texts of about _CHUNK characters).
+
+    Texts travel once, in packets of a task's texts for one bucket of keys; copies go within the packet and then within the bucket.
+    """
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, texts, langs in _chunks(batch):
-                points, h, at = _gram_arrays(texts, langs, order)
-                by = np.argsort(h)
-                first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
-                pick = by[first]
-                grams = np.stack([points[at[pick] + k] for k in range(order)], axis=1)
-                owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-                names = np.array(langs, object)[owner[pick]]
-                yield pd.DataFrame({"lang": names, "gram": grams.view(f"<U{order}").ravel().astype(object), "c": np.diff(np.append(first, len(h)))})
+            packets: dict[int, dict[bytes, tuple]] = {}
+            for key, lang, text in zip(batch["key"], batch["lang"], batch["text"], strict=True):
+                key = bytes(key)
+                packets.setdefault(int.from_bytes(key[:4]) % buckets, {})[key] = (key, lang if isinstance(lang, str) else "", text)
+            yield pd.DataFrame({"bucket": list(packets), "payload": [_closed(list(x.values())) for x in packets.values()]}).astype({"bucket": "int32"})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, n = TaskContext.get().partitionId() << 32, 0
+        seen, bucket, rows, size = set(), None, [], 0
+        for batch in batches:
+            for at, payload in zip(batch["bucket"], batch["payload"], strict=True):
+                if at != bucket:
+                    seen, bucket = set(), at
+                for row in zip(*_opened(payload), strict=True):
+                    if row[0] not in seen:
+                        seen.add(row[0])
+                        rows.append(row)
+                        size += len(row[2])
+                        if size >= _CHUNK:
+                            yield pd.DataFrame({"chunk": [base + n], "payload": [_closed(rows)]})
+                            rows, size, n = [], 0, n + 1
+        if rows:
+            yield pd.DataFrame({"chunk": [base + n], "payload": [_closed(rows)]})
+
+    packets = docs.where("text <> ''").select(_joined_key().alias("key"), "lang", "text").mapInPandas(pack, "bucket int, payload binary")
+    return cut(packets.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merge, "chunk long, payload binary"))
+
 
-    return docs.select("text", "lang").mapInPandas(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+def _each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes], list[str], list[str]]]:
+    for batch in batches:
+        for chunk, payload in zip(batch["chunk"], batch["payload"], strict=True):
+            yield chunk, *_opened(payload)
 
 
-def kneser_ney(counts: DataFrame, order: int = 4) -> DataFrame:
+def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
+    """Chunks of texts to (lang, gram, c): each n-gram of characters of a language and its count in all texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, langs, texts in _each_chunk(batches):
+            points, h, at = _gram_arrays(texts, langs, order)
+            by = np.argsort(h)
+            first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
+            pick = by[first]
+            grams = np.stack([points[at[pick] + k] for k in range(order)], axis=1)
+            owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+            names = np.array(langs, object)[owner[pick]]
+            counts = np.diff(np.append(first, len(h)))
+            for k in range(0, len(pick), _ROWS):
+                part = slice(k, k + _ROWS)
+                yield pd.DataFrame({"lang": names[part], "gram": grams[part].view(f"<U{order}").ravel().astype(object), "c": counts[part]})
+
+    return chunks.mapInPandas(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, c) of the highest order to (lang, gram, logp): interpolated modified Kneser-Ney probabilities. Each language and order has its own discounts."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
@@ -157,87 +209,110 @@ def _discounts() -> list[Column]:
     return [F.least(F.greatest(raw[i], F.lit(0.05)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)]
 
 
-def _hashed(model: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, logp) to (h, logp)."""
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                points, h, at = _gram_arrays(["" if g is None else g for g in batch["gram"]], list(batch["lang"]), order)
-                ends = np.cumsum(batch["gram"].map(len).to_numpy()) - 1
-                yield pd.DataFrame({"h": h[ends].view(np.int64), "logp": batch["logp"].to_numpy(np.float32)})
-
-    return model.mapInPandas(of, "h long, logp float")
-
-
-def _score_texts(batch: pd.DataFrame, keys: np.ndarray, values: np.ndarray, order: int) -> np.ndarray:
-    """The summed log probability of each row's text."""
-    total = np.zeros(len(batch))
-    for rows, texts, langs in _chunks(batch):
-        _, h, _ = _gram_arrays(texts, langs, order)
-        by = np.argsort(h)
-        sorted_h = h[by]
-        first = np.flatnonzero(np.concatenate(([True], sorted_h[1:] != sorted_h[:-1])))
-        found = values[np.minimum(np.searchsorted(keys, sorted_h[first]), len(keys) - 1)]
-        each = np.empty(len(h), np.float64)
-        each[by] = np.repeat(found, np.diff(np.append(first, len(h))))
-        starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
-        total[rows] = np.add.reduceat(each, starts)
-    return total
-
+def _ranges(h: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the sorted hashes ``h``: the ranges divide the hashes evenly."""
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    edges = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
+    return [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
-def _features(batch: pd.DataFrame) -> pd.DataFrame:
-    base = pd.DataFrame([base_features(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
-    base.insert(0, "doc_id", batch["doc_id"].to_numpy())
-    base.insert(1, "text_key", batch["text_key"].to_numpy())
-    base["lang"] = [x if isinstance(x, str) else "" for x in batch["lang"]]
-    base["n_grams"] = [len(t) if t else 0 for t in batch["text"]]
-    return base
 
+_ASKED = "range int, chunk long, hashes binary, logps binary"
 
-_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, n_grams long"
 
+def _hash_arrays(model: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(lang, gram, logp) to sorted hash arrays with their log probabilities, by range of the hashes; chunk is null."""
 
-def _scored(docs: DataFrame, model: DataFrame, order: int, model_rows: int) -> DataFrame:
-    """The features of each document and ``total``, its summed log probability."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text_key = F.xxhash64("text").alias("text_key")
-    if model.count() <= model_rows:
-        arrays = model.toArrow()  # (as rows, they would take many times the room on the driver)
-        h = arrays["h"].to_numpy().view(np.uint64)
-        by = np.argsort(h)
-        sent = spark.sparkContext.broadcast((h[by], arrays["logp"].to_numpy()[by]))
-        del arrays, h, by
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                _, h, _ = _gram_arrays(list(batch["gram"]), list(batch["lang"]), order)
+                h = h[np.cumsum(batch["gram"].map(len).to_numpy()) - 1]
+                by = np.argsort(h)
+                h, p = h[by], batch["logp"].to_numpy(np.float32)[by]
+                yield pd.DataFrame([(i, None, h[a:b].tobytes(), p[a:b].tobytes()) for i, a, b in _ranges(h, ranges)], columns=_ASKED_NAMES).astype({"range": "int32", "chunk": "Int64"})
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = _features(batch)
-                out["total"] = _score_texts(batch, *sent.value, order)
-                yield out
+    return model.mapInPandas(of, _ASKED)
 
-        return docs.select("doc_id", "text", "lang", text_key).mapInPandas(score, f"doc_id {kind}, text_key long, {_FIELDS}, total double")
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rows, texts, langs in _chunks(batch):
-                for row, text, lang in zip(rows, texts, langs, strict=True):
-                    h, n = np.unique(_gram_arrays([text], [lang], order)[1], return_counts=True)
-                    yield pd.DataFrame({"key": batch["key"].iloc[row], "h": h.view(np.int64), "n": n})
+_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
 
-    key = F.sha2(F.concat_ws("\0", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.select("doc_id", "text", "lang", text_key, key.alias("key"))
-    parts = keyed.dropDuplicates(["key"]).mapInPandas(grams, "key string, h long, n long")
-    totals = parts.join(model, "h").groupBy("key").agg(F.sum(F.col("n") * F.col("logp").cast("double")).alias("total"))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = _features(batch)
-            out["key"] = batch["key"].to_numpy()
-            yield out
+def _questions(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """The distinct n-gram hashes of each chunk, sorted, by range; logps is null."""
 
-    rows = keyed.mapInPandas(features, f"doc_id {kind}, text_key long, {_FIELDS}, key string")
-    return rows.join(totals, "key", "left").drop("key").fillna({"total": 0.0})
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, _, langs, texts in _each_chunk(batches):
+            h = np.unique(_gram_arrays(texts, langs, order)[1])
+            yield pd.DataFrame([(i, chunk, h[a:b].tobytes(), None) for i, a, b in _ranges(h, ranges)], columns=_ASKED_NAMES).astype({"range": "int32", "chunk": "Int64"})
+
+    return chunks.mapInPandas(of, _ASKED)
+
+
+def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by range, the model's arrays first: each chunk's hashes to their log probabilities. A task holds the arrays of one range."""
+    current, parts, keys, values = None, [], None, None
+    for batch in batches:
+        out = []
+        for at, chunk, hashes, logps in zip(batch["range"], batch["chunk"].isna(), batch["hashes"], batch["logps"], strict=True):
+            if at != current:
+                current, parts, keys = at, [], None
+            if chunk:
+                parts.append((np.frombuffer(hashes, np.uint64), np.frombuffer(logps, np.float32)))
+                out.append(None)
+                continue
+            if keys is None:
+                keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                by = np.argsort(keys)
+                keys, values, parts = keys[by], values[by], []
+            out.append(values[np.searchsorted(keys, np.frombuffer(hashes, np.uint64))].tobytes())
+        batch = batch.assign(logps=out)[["chunk", "range", "logps"]]
+        yield batch[batch["chunk"].notna()]
+
+
+_SCORED = "key binary, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, total double"
+
+
+def _scores(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
+    """Rows by chunk, its payload first and then its answers by range, to the features of each text and ``total``, its summed log probability."""
+
+    def score(payload: bytes, found: list[bytes]) -> pd.DataFrame:
+        keys, langs, texts = _opened(payload)
+        _, h, _ = _gram_arrays(texts, langs, order)
+        by = np.argsort(h)
+        first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
+        each = np.empty(len(h), np.float64)
+        each[by] = np.repeat(np.frombuffer(b"".join(found), np.float32), np.diff(np.append(first, len(h))))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = pd.DataFrame([base_features(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
+        out.insert(0, "key", keys)
+        out.insert(1, "lang", langs)
+        return out.assign(n_grams=lengths, total=np.add.reduceat(each, np.cumsum(lengths) - lengths))
+
+    payload, found = None, []
+    for batch in batches:
+        for text, logps in zip(batch["payload"], batch["logps"], strict=True):
+            if text is None:
+                found.append(logps)
+                continue
+            if payload is not None:
+                yield score(payload, found)
+            payload, found = text, []
+    if payload is not None:
+        yield score(payload, found)
+
+
+def scored_texts(chunks: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """The texts of ``chunks`` with their features and summed log probability, one row each.
+
+    The model's hash arrays are dealt out by range of the hash. The distinct n-grams of each chunk visit them
+    there and come back with their probabilities: neither the driver nor any task holds the whole model.
+    """
+    ranges = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _hash_arrays(model, order, ranges).unionByName(_questions(chunks, order, ranges))
+    # (nulls sort first: the model's arrays before the questions, the payload before the answers)
+    answers = asked.repartition("range").sortWithinPartitions("range", "chunk").mapInPandas(_answers, "chunk long, range int, logps binary")
+    met = chunks.select("chunk", F.lit(None).cast("int").alias("range"), "payload", F.lit(None).cast("binary").alias("logps")).unionByName(answers.withColumn("payload", F.lit(None).cast("binary")))
+    return met.repartition("chunk").sortWithinPartitions("chunk", "range").select("payload", "logps").mapInPandas(lambda b: _scores(b, order), _SCORED)
 
 
 def _few(by_language: DataFrame) -> DataFrame:
@@ -246,22 +321,15 @@ def _few(by_language: DataFrame) -> DataFrame:
     return F.broadcast(by_language) if by_language.count() <= FEW_LANGUAGES else by_language
 
 
-def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text, lang; more columns are ignored) to one row per document.
-
-    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    log_perplexity, band_low, band_high. Null and empty texts have no words, fail the base rules and have
-    a null log_perplexity; a null lang is a language of its own; repeated rows are scored alike; an empty
-    table gives no rows. The model has ``model_rows`` n-grams at most where it is sent to the executors;
-    a larger one is joined to the documents' n-grams instead, with the same result.
-    """
-    texts = docs.select("text", "lang").dropDuplicates()
-    model = cut(_hashed(kneser_ney(cut(gram_counts(texts, order)), order), order))
-    scored = cut(_scored(docs, model, order, model_rows))
+def judged_texts(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
+    """The distinct non-empty texts of ``docs`` with features, bands and verdict, by key."""
+    chunks = text_chunks(docs)
+    model = kneser_ney(cut(gram_counts(chunks, order)), order)
+    scored = cut(scored_texts(chunks, model, order))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    wide = F.when(F.col("n_grams") > 0, F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_grams").cast("double"))))
-    scored = scored.withColumn("base_failed", failed).withColumn("wide", wide).withColumn("log_perplexity", F.try_divide(-F.col("total"), F.col("n_grams").cast("double")))
-    sound = cut(scored.where(~F.col("base_failed")).select("lang", "text_key", "log_perplexity", "wide").dropDuplicates(["lang", "text_key"]))
+    chars = F.col("n_grams").cast("double")
+    scored = scored.withColumn("base_failed", failed).withColumn("wide", F.sqrt(1 + F.lit(float(SHORT)) / chars)).withColumn("log_perplexity", -F.col("total") / chars)
+    sound = scored.where(~F.col("base_failed")).select("lang", "log_perplexity", "wide")
     # (of an even number of texts, the mean of the middle two: with one of them, a pair's other text would lie outside)
     midpoint = (F.percentile_approx("log_perplexity", 0.5, 10000) - F.percentile_approx(-F.col("log_perplexity"), 0.5, 10000)) / 2
     middle = _few(sound.groupBy("lang").agg(midpoint.alias("mid"), F.count("*").alias("texts")))
@@ -274,10 +342,28 @@ def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND
     spread = spread.select("lang", "mid", F.greatest("own", least).alias("dev"))
     judged = scored.join(_few(spread), "lang", "left").withColumn("band_low", F.col("mid") - lower * F.col("dev") * F.col("wide")).withColumn("band_high", F.col("mid") + upper * F.col("dev") * F.col("wide"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")
+    return judged.select("key", *_COUNTS, "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")
+
+
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
+    """``docs`` (doc_id, text, lang; more columns are ignored) to one row per document.
+
+    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    log_perplexity, band_low, band_high. Null and empty texts have no words, fail the base rules and have
+    a null log_perplexity; a null lang and an empty one are one language of their own; repeated rows, also
+    of a null doc_id, are answered alike; an empty table gives no rows.
+    """
+    keyed = docs.select("doc_id", F.when(F.col("text") != "", _joined_key()).alias("key"))
+    judged = judged_texts(docs, order, lower, upper)
+    out = keyed.join(judged, "key", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _COUNTS]
+    return out.select("doc_id", *counts, F.coalesce("base_failed", F.lit(True)).alias("base_failed"), F.coalesce("kept", F.lit(False)).alias("kept"), "log_perplexity", "band_low", "band_high")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that the rules reject. Rows with a null doc_id are rejected."""
-    good = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """The rows of ``docs`` whose text and language the rules keep, whatever their doc_id."""
+    good = judged_texts(docs).where("kept").select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", _joined_key()).join(good, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

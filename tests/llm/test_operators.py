@@ -154,7 +154,7 @@ def test_induced_sort_spills_and_matches():
 
 
 def test_quality_rules(spark, small):
-    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules
+    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules, text_chunks
 
     def base(text):
         words = (text or "").encode().split()
@@ -179,12 +179,8 @@ def test_quality_rules(spark, small):
         r = got.loc[doc]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
         assert r.base_failed == (b[0] < 20 or 100 * b[4] > 30 * b[0]) and (not r.kept or not r.base_failed)
-    joined = quality_rules(docs, model_rows=0).toPandas().set_index("doc_id").sort_index()
-    got = got.sort_index()
-    assert (joined.log_perplexity - got.log_perplexity).abs().max() < 1e-4
-    assert (joined.kept == got.kept).mean() > 0.99
     # the probabilities after a context add up to one less the mass of unseen characters
-    model = kneser_ney(gram_counts(docs)).groupBy("lang", F.substring("gram", 1, 3)).agg(F.sum(F.exp("logp")).alias("mass"))
+    model = kneser_ney(gram_counts(text_chunks(docs))).groupBy("lang", F.substring("gram", 1, 4)).agg(F.sum(F.exp("logp")).alias("mass"))
     low, high = model.agg(F.min("mass"), F.max("mass")).first()
     assert 0 < low and high <= 1 + 1e-9
     assert quality_rules(docs.limit(0)).count() == 0
@@ -193,6 +189,88 @@ def test_quality_rules(spark, small):
     assert sum(clean) / len(clean) > 0.95
 
 
+def plain_perplexities(docs, order=5):
+    """Mean negative log probabilities of (lang, text) by a plain interpolated modified Kneser-Ney model of each language's distinct texts."""
+    import math
+
+    out = {}
+    for lang in {x for x, _ in docs}:
+        texts = sorted({t for x, t in docs if x == lang})
+        grams = {order: Counter()}
+        for t in texts:
+            padded = "\n" * (order - 1) + t
+            grams[order].update(padded[i : i + order] for i in range(len(t)))
+        for k in range(order - 1, 0, -1):
+            grams[k] = Counter(g[1:] for g in grams[k + 1])
+        d, after = {}, {}
+        for k, c in grams.items():
+            n = Counter(c.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+            d[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2, 0.05), i) for i in (1, 2, 3)]
+            after[k] = {}
+            for g, x in c.items():
+                a = after[k].setdefault(g[:-1], [0, 0, 0])
+                a[0] += x
+                a[1] += d[k][min(x, 3)]
+                a[2] += 1
+
+        def p(g, k):
+            total, spare, kinds = after[k][g[:-1]]
+            low = 1 / (kinds + 1) if k == 1 else p(g[1:], k - 1)
+            return (grams[k][g] - d[k][min(grams[k][g], 3)]) / total + spare / total * low
+
+        known = {g: math.log(p(g, order)) for g in grams[order]}
+        for t in texts:
+            padded = "\n" * (order - 1) + t
+            out[lang, t] = -sum(known[padded[i : i + order]] for i in range(len(t))) / len(t)
+    return out
+
+
+def test_quality_rules_match_a_plain_model_and_plain_bands(spark, small):
+    import numpy as np
+
+    from marlstone.llm.quality_rules import FEW_DEVIATION, FEW_TEXTS, LOWER_BAND, MIN_DEVIATION, SHORT, UPPER_BAND, keep_good, quality_rules
+
+    odd = frame(spark, [*ODD, *ODD], [*range(1000, 1000 + len(ODD)), *[None] * len(ODD)]).select(small.columns)
+    docs = small.unionByName(odd)
+    rows = docs.collect()
+    got = quality_rules(docs).toPandas()
+    assert len(got) == len(rows)
+    plain = plain_perplexities({(r.lang or "", r.text) for r in rows if r.text})
+    by_id = {r.doc_id: r for r in got.itertuples() if r.doc_id == r.doc_id}
+    sound, failed = {}, {}
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        mine = by_id[r.doc_id]
+        if r.text:
+            assert abs(mine.log_perplexity - plain[r.lang or "", r.text]) < 1e-5
+            failed[r.lang or "", r.text] = mine.base_failed
+            if not mine.base_failed:
+                sound.setdefault(r.lang or "", {})[r.text] = plain[r.lang or "", r.text]
+        else:
+            assert mine.log_perplexity != mine.log_perplexity and not mine.kept
+    off, mids, own = {}, {}, {}
+    for lang, texts in sound.items():
+        mids[lang] = np.median(list(texts.values()))
+        off[lang] = [abs(x - mids[lang]) / np.sqrt(1 + SHORT / len(t)) for t, x in texts.items()]
+        own[lang] = 1.4826 * sorted(off[lang])[(len(off[lang]) - 1) // 2]
+    pooled = sorted(x for v in off.values() if len(v) >= FEW_TEXTS for x in v)
+    pooled = 1.4826 * pooled[(len(pooled) - 1) // 2] if pooled else 0
+    for r in rows:
+        lang = r.lang or ""
+        if r.doc_id is not None and r.text and lang in mids:
+            dev = max(own[lang], max(pooled, FEW_DEVIATION) if len(off[lang]) < FEW_TEXTS else MIN_DEVIATION)
+            z = (plain[lang, r.text] - mids[lang]) / dev / np.sqrt(1 + SHORT / len(r.text))
+            if min(abs(z + LOWER_BAND), abs(z - UPPER_BAND)) > 1e-3:
+                assert by_id[r.doc_id].kept == (not failed[lang, r.text] and -LOWER_BAND <= z <= UPPER_BAND)
+    # rows go by their text and language: also those of a null or repeated id
+    verdict = {r.text: by_id[r.doc_id].kept for r in rows if r.doc_id is not None and r.doc_id >= 1000}
+    extra = docs.unionByName(docs.limit(5))
+    assert Counter(r.doc_id for r in keep_good(docs).collect()) == Counter(r.doc_id for r in rows if (by_id[r.doc_id].kept if r.doc_id is not None else verdict[r.text]))
+    assert keep_good(extra).count() >= keep_good(docs).count() and keep_good(docs.limit(0)).count() == 0
+
+
 def test_quality_rules_with_half_a_language_copies(spark, small):
     from marlstone.llm.quality_rules import quality_rules
 
@@ -211,7 +289,7 @@ def test_quality_rules_with_half_a_language_copies(spark, small):
 
 
 def test_quality_rules_catch_shuffled_words(spark, small):
-    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules
+    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules, text_chunks
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text", "lang")
@@ -226,7 +304,7 @@ def test_quality_rules_catch_shuffled_words(spark, small):
     noise = got.kept[got.index >= 1_000_000]
     assert (~noise).mean() > 0.4 and (~got.kept[got.index.intersection(odd)]).mean() < 0.01
     # a language's model does not depend on the others
-    counts = gram_counts(small)
+    counts = gram_counts(text_chunks(small))
     alone = kneser_ney(counts.where("lang = 'fr'")).toPandas().set_index("gram").logp
     among = kneser_ney(counts).where("lang = 'fr'").toPandas().set_index("gram").logp
     assert len(alone) == len(among) and (alone - among).abs().max() < 1e-9
