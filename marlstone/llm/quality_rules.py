@@ -2,9 +2,9 @@
 
 The model is an interpolated modified Kneser-Ney model of characters (order 5), one for each
 language. Spark counts the n-grams of all documents; lower orders take continuation counts. Its
-probabilities are kept as sorted arrays of n-gram hashes with their log probabilities, dealt out by
-range of the hash; texts' n-grams are looked up there, range by range. A document whose mean log
-perplexity lies above the upper or below the lower band of its language is rejected: above is noise,
+probabilities are kept as sorted arrays of n-gram hashes with their log probabilities, range-partitioned
+files in the shared folder that the workers map into memory; the driver never holds them. A document
+whose mean log perplexity lies above the upper or below the lower band of its language is rejected: above is noise,
 below is mechanical repetition. The bands are so many robust deviations from the language's median,
 both over the distinct texts that pass the base rules, and wider for short texts. Copies count once, in the model as well, so their number does not move the bands. A language of few
 texts takes at least the deviation of the others, and every language at least MIN_DEVIATION.
@@ -12,16 +12,17 @@ texts takes at least the deviation of the others, and every language at least MI
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_path
 
 ORDER = 5
 MIN_WORDS = 20
@@ -39,7 +40,11 @@ MIN_DEVIATION, FEW_DEVIATION = 0.01, 0.05
 FEW_LANGUAGES = 10_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Characters of a chunk of texts, and n-grams of a row group that leaves Python.
-_CHUNK, _ROWS = 1 << 22, 1 << 17
+_CHUNK, _ROWS = 1 << 21, 1 << 17
+#: N-grams of a model file, and bytes of model files that a worker holds where they cannot be mapped.
+MODEL_ROWS, MODEL_BYTES = 4_000_000, 512 << 20
+#: Bits of the map of repeated texts (2 MB); with more repeated texts than that, more of the others are marked too.
+_BITS = 1 << 24
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -90,89 +95,112 @@ def _gram_arrays(texts: list[str], langs: list[str], order: int) -> tuple[np.nda
     return points, h ^ (h >> np.uint64(29)), at
 
 
-def _joined_key() -> Column:
-    """32 bytes that tell texts of a language apart (a null text counts as empty, a null lang as the language of no name)."""
-    return F.unhex(F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256))
+def _keys() -> list[Column]:
+    """Two 64-bit hashes that together tell texts of a language apart (a null lang is the language of no name)."""
+    lang = F.coalesce("lang", F.lit(""))
+    return [F.xxhash64(lang, "text").alias("k1"), F.xxhash64("text", lang, F.lit(1)).alias("k2")]
 
 
-_CHUNK_FIELDS = pa.schema([("key", pa.binary()), ("lang", pa.string()), ("text", pa.string())])
+def repeated_bits(docs: DataFrame) -> np.ndarray:
+    """A bit map of fixed size: the bit of ``k1`` is set for each text that occurs twice or more (and by chance for some others)."""
+    twice = docs.where("text <> ''").select(_keys()[0]).groupBy("k1").count().where("count > 1")
+    place = F.col("k1").bitwiseAND(F.lit(_BITS - 1))
+    bits = twice.groupBy(F.shiftright(place, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((_BITS >> 15, 1 << 12), np.uint8)
+    for part, piece in bits.collect():  # (at most _BITS / 8 bytes in all)
+        out[part] = np.frombuffer(piece, np.uint8)
+    return out.ravel()
 
 
-def _closed(rows: list[tuple[bytes, str, str]]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _CHUNK_FIELDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK_FIELDS.types, strict=True)], schema=_CHUNK_FIELDS))
-    return sink.getvalue().to_pybytes()
-
+def _marked(bits: np.ndarray, k1: pd.Series) -> np.ndarray:
+    place = k1.to_numpy(np.int64) & np.int64(_BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
-def _opened(payload: bytes) -> tuple[list[bytes], list[str], list[str]]:
-    """Keys, languages and texts of a packet or chunk."""
-    with pa.ipc.open_stream(payload) as source:
-        table = source.read_all()
-    return tuple(table[c].to_pylist() for c in ("key", "lang", "text"))
 
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], list[str]]]:
+    """Rows with a text, in runs of about _CHUNK characters: their places in the batch, texts and languages."""
+    at, texts, langs, size = [], [], [], 0
+    for i, (text, lang) in enumerate(zip(batch["text"], batch["lang"], strict=True)):
+        if text:
+            at.append(i)
+            texts.append(text)
+            langs.append(lang if isinstance(lang, str) else "")
+            size += len(text)
+            if size >= _CHUNK:
+                yield np.array(at), texts, langs
+                at, texts, langs, size = [], [], [], 0
+    if at:
+        yield np.array(at), texts, langs
 
-def text_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, lang) to chunks of their distinct non-empty texts: chunk (a number of its own), payload (compressed keys, languages, texts of about _CHUNK characters).
 
-    Texts travel once, in packets of a task's texts for one bucket of keys; copies go within the packet and then within the bucket.
-    """
+def _once(docs: DataFrame, sent) -> DataFrame:
+    """Of the texts that the bit map marks, each once: (lang, text). They alone are shuffled, in packets of a task's texts for one bucket of keys."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packets: dict[int, dict[bytes, tuple]] = {}
-            for key, lang, text in zip(batch["key"], batch["lang"], batch["text"], strict=True):
-                key = bytes(key)
-                packets.setdefault(int.from_bytes(key[:4]) % buckets, {})[key] = (key, lang if isinstance(lang, str) else "", text)
-            yield pd.DataFrame({"bucket": list(packets), "payload": [_closed(list(x.values())) for x in packets.values()]}).astype({"bucket": "int32"})
+            packets: dict[int, dict] = {}
+            for row in batch[_marked(sent.value, batch["k1"])].itertuples(index=False):
+                packets.setdefault(row.k2 % buckets, {})[row.k1, row.k2] = tuple(row)
+            yield pd.DataFrame({"bucket": list(packets), "packet": [_closed(list(x.values())) for x in packets.values()]}).astype({"bucket": "int32"})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, n = TaskContext.get().partitionId() << 32, 0
-        seen, bucket, rows, size = set(), None, [], 0
+        seen, bucket = set(), None
         for batch in batches:
-            for at, payload in zip(batch["bucket"], batch["payload"], strict=True):
+            for at, packet in zip(batch["bucket"], batch["packet"], strict=True):
                 if at != bucket:
                     seen, bucket = set(), at
-                for row in zip(*_opened(payload), strict=True):
-                    if row[0] not in seen:
-                        seen.add(row[0])
-                        rows.append(row)
-                        size += len(row[2])
-                        if size >= _CHUNK:
-                            yield pd.DataFrame({"chunk": [base + n], "payload": [_closed(rows)]})
-                            rows, size, n = [], 0, n + 1
-        if rows:
-            yield pd.DataFrame({"chunk": [base + n], "payload": [_closed(rows)]})
+                rows = _opened(packet)
+                fresh = [i for i, key in enumerate(zip(rows["k1"], rows["k2"], strict=True)) if key not in seen]
+                seen.update((rows["k1"][i], rows["k2"][i]) for i in fresh)
+                yield rows.iloc[fresh][["lang", "text"]]
 
-    packets = docs.where("text <> ''").select(_joined_key().alias("key"), "lang", "text").mapInPandas(pack, "bucket int, payload binary")
-    return cut(packets.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merge, "chunk long, payload binary"))
+    packets = docs.where("text <> ''").select("lang", "text", *_keys()).mapInPandas(pack, "bucket int, packet binary")
+    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merge, "lang string, text string")
 
 
-def _each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes], list[str], list[str]]]:
-    for batch in batches:
-        for chunk, payload in zip(batch["chunk"], batch["payload"], strict=True):
-            yield chunk, *_opened(payload)
+_PACKET = pa.schema([("lang", pa.string()), ("text", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())])
 
 
-def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """Chunks of texts to (lang, gram, c): each n-gram of characters of a language and its count in all texts."""
+def _closed(rows: list[tuple]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PACKET, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKET.types, strict=True)], schema=_PACKET))
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(packet: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(packet) as source:
+        return source.read_pandas()
+
+
+def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``docs`` (text, lang) to (lang, gram, c): each n-gram of characters of a language and its count in all distinct texts.
+
+    Texts of one copy are counted where they are read; those that may have more are brought together first.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, langs, texts in _each_chunk(batches):
-            points, h, at = _gram_arrays(texts, langs, order)
-            by = np.argsort(h)
-            first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
-            pick = by[first]
-            grams = np.stack([points[at[pick] + k] for k in range(order)], axis=1)
-            owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-            names = np.array(langs, object)[owner[pick]]
-            counts = np.diff(np.append(first, len(h)))
-            for k in range(0, len(pick), _ROWS):
-                part = slice(k, k + _ROWS)
-                yield pd.DataFrame({"lang": names[part], "gram": grams[part].view(f"<U{order}").ravel().astype(object), "c": counts[part]})
-
-    return chunks.mapInPandas(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+        for batch in batches:
+            if "k1" in batch:
+                batch = batch[~_marked(sent.value, batch["k1"])]
+            for _, texts, langs in _chunks(batch):
+                points, h, at = _gram_arrays(texts, langs, order)
+                by = np.argsort(h)
+                first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
+                pick = by[first]
+                grams = np.stack([points[at[pick] + k] for k in range(order)], axis=1)
+                owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+                names = np.array(langs, object)[owner[pick]]
+                counts = np.diff(np.append(first, len(h)))
+                for k in range(0, len(pick), _ROWS):
+                    part = slice(k, k + _ROWS)
+                    yield pd.DataFrame({"lang": names[part], "gram": grams[part].view(f"<U{order}").ravel().astype(object), "c": counts[part]})
+
+    kind = "lang string, gram string, c long"
+    alone = docs.where("text <> ''").select("text", "lang", _keys()[0]).mapInPandas(count, kind)
+    return alone.unionByName(_once(docs, sent).mapInPandas(count, kind)).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -209,110 +237,101 @@ def _discounts() -> list[Column]:
     return [F.least(F.greatest(raw[i], F.lit(0.05)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)]
 
 
-def _ranges(h: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of the sorted hashes ``h``: the ranges divide the hashes evenly."""
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    edges = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
-    return [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-
+def write_model(model: DataFrame, order: int = ORDER, rows: int = MODEL_ROWS) -> list[tuple[int, int, str]]:
+    """(lang, gram, logp) to sorted hash arrays in the shared folder, range-partitioned: files of about ``rows`` n-grams. Returns (least hash, number, path) of each, sorted."""
+    spark = model.sparkSession
+    folder = fresh_path(spark, "kneser-ney")
+    folder = folder if ":" in folder else f"file://{folder}"
 
-_ASKED = "range int, chunk long, hashes binary, logps binary"
-
-
-def _hash_arrays(model: DataFrame, order: int, ranges: int) -> DataFrame:
-    """(lang, gram, logp) to sorted hash arrays with their log probabilities, by range of the hashes; chunk is null."""
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 _, h, _ = _gram_arrays(list(batch["gram"]), list(batch["lang"]), order)
-                h = h[np.cumsum(batch["gram"].map(len).to_numpy()) - 1]
-                by = np.argsort(h)
-                h, p = h[by], batch["logp"].to_numpy(np.float32)[by]
-                yield pd.DataFrame([(i, None, h[a:b].tobytes(), p[a:b].tobytes()) for i, a, b in _ranges(h, ranges)], columns=_ASKED_NAMES).astype({"range": "int32", "chunk": "Int64"})
-
-    return model.mapInPandas(of, _ASKED)
-
-
-_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
-
-
-def _questions(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """The distinct n-gram hashes of each chunk, sorted, by range; logps is null."""
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, _, langs, texts in _each_chunk(batches):
-            h = np.unique(_gram_arrays(texts, langs, order)[1])
-            yield pd.DataFrame([(i, chunk, h[a:b].tobytes(), None) for i, a, b in _ranges(h, ranges)], columns=_ASKED_NAMES).astype({"range": "int32", "chunk": "Int64"})
-
-    return chunks.mapInPandas(of, _ASKED)
-
+                yield pd.DataFrame({"h": h[np.cumsum(batch["gram"].map(len).to_numpy()) - 1].view(np.int64), "logp": batch["logp"].to_numpy(np.float32)})
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        name, least, n = f"{root}/{uuid.uuid4().hex}", None, 0  # (a task that runs again writes files of new names)
+        with store.open_output_stream(f"{name}.h") as keys, store.open_output_stream(f"{name}.p") as values:
+            for batch in batches:
+                if len(batch):
+                    least = int(batch["h"].iloc[0]) if least is None else least
+                    n += len(batch)
+                    keys.write(batch["h"].to_numpy(np.int64).tobytes())
+                    values.write(batch["logp"].to_numpy(np.float32).tobytes())
+        yield pd.DataFrame({"least": [least], "n": [n], "path": [name]}) if n else pd.DataFrame({"least": [], "n": [], "path": []}).astype({"least": "int64", "n": "int64", "path": "object"})
+
+    arrays = cut(model.mapInPandas(hashed, "h long, logp float"))
+    files = max(1, -(-arrays.count() // rows))
+    written = cut(arrays.repartitionByRange(files, "h").sortWithinPartitions("h").mapInPandas(write, "least long, n long, path string"))
+    return sorted((r["least"], r["n"], f"{folder.split(':', 1)[0]}:{r['path']}") for r in written.collect())
+
+
+class _Model:
+    """The arrays of write_model: mapped into memory where the shared folder is mounted, so that a machine's workers share their pages; else read by file, MODEL_BYTES at a time."""
+
+    def __init__(self, files: list[tuple[int, int, str]], folder: str):
+        self.files, self.least, self.held = files, np.array([f[0] for f in files], np.int64), {}
+        self.store = fs.FileSystem.from_uri(folder)[0]
+
+    def _arrays(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.held:
+            _, n, path = self.files[i]
+            path = path.split(":", 1)[1]
+            if isinstance(self.store, fs.LocalFileSystem):
+                self.held[i] = np.memmap(f"{path}.h", np.int64, "r"), np.memmap(f"{path}.p", np.float32, "r")
+            else:
+                while self.held and 12 * (n + sum(self.files[k][1] for k in self.held)) > MODEL_BYTES:
+                    del self.held[next(iter(self.held))]
+                self.held[i] = tuple(np.frombuffer(self.store.open_input_stream(f"{path}.{x}").read(), t) for x, t in (("h", np.int64), ("p", np.float32)))
+        return self.held[i]
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The log probabilities of sorted hashes."""
+        out = np.empty(len(h), np.float32)
+        edges = [0, *np.searchsorted(h, self.least[1:]).tolist(), len(h)]
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if b > a:
+                keys, values = self._arrays(i)
+                out[a:b] = values[np.searchsorted(keys, h[a:b])]
+        return out
+
+
+def _score_texts(batch: pd.DataFrame, model: _Model, order: int) -> np.ndarray:
+    """The summed log probability of each row's text."""
+    total = np.zeros(len(batch))
+    for rows, texts, langs in _chunks(batch):
+        h = _gram_arrays(texts, langs, order)[1].view(np.int64)
+        by = np.argsort(h)
+        first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
+        each = np.empty(len(h), np.float64)
+        each[by] = np.repeat(model.look_up(h[by[first]]), np.diff(np.append(first, len(h))))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        total[rows] = np.add.reduceat(each, np.cumsum(lengths) - lengths)
+    return total
 
-def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by range, the model's arrays first: each chunk's hashes to their log probabilities. A task holds the arrays of one range."""
-    current, parts, keys, values = None, [], None, None
-    for batch in batches:
-        out = []
-        for at, chunk, hashes, logps in zip(batch["range"], batch["chunk"].isna(), batch["hashes"], batch["logps"], strict=True):
-            if at != current:
-                current, parts, keys = at, [], None
-            if chunk:
-                parts.append((np.frombuffer(hashes, np.uint64), np.frombuffer(logps, np.float32)))
-                out.append(None)
-                continue
-            if keys is None:
-                keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-                by = np.argsort(keys)
-                keys, values, parts = keys[by], values[by], []
-            out.append(values[np.searchsorted(keys, np.frombuffer(hashes, np.uint64))].tobytes())
-        batch = batch.assign(logps=out)[["chunk", "range", "logps"]]
-        yield batch[batch["chunk"].notna()]
 
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-_SCORED = "key binary, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, total double"
 
+def scored_rows(docs: DataFrame, files: list[tuple[int, int, str]], order: int = ORDER) -> DataFrame:
+    """``docs`` (doc_id, text, lang) to doc_id, k1, k2, lang, the base features, n_grams and total, the summed log probability. Texts stay where they are read."""
+    folder = fresh_path(docs.sparkSession, "model")
+    folder = folder if ":" in folder else f"file://{folder}"
 
-def _scores(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
-    """Rows by chunk, its payload first and then its answers by range, to the features of each text and ``total``, its summed log probability."""
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _Model(files, folder)
+        for batch in batches:
+            out = pd.DataFrame([base_features(t) for t in batch["text"]], columns=_COUNTS, dtype="int64")
+            for i, c in enumerate(("doc_id", "k1", "k2")):
+                out.insert(i, c, batch[c].to_numpy())
+            out.insert(3, "lang", [x if isinstance(x, str) else "" for x in batch["lang"]])
+            yield out.assign(n_grams=[len(t) if t else 0 for t in batch["text"]], total=_score_texts(batch, model, order))
 
-    def score(payload: bytes, found: list[bytes]) -> pd.DataFrame:
-        keys, langs, texts = _opened(payload)
-        _, h, _ = _gram_arrays(texts, langs, order)
-        by = np.argsort(h)
-        first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
-        each = np.empty(len(h), np.float64)
-        each[by] = np.repeat(np.frombuffer(b"".join(found), np.float32), np.diff(np.append(first, len(h))))
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = pd.DataFrame([base_features(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
-        out.insert(0, "key", keys)
-        out.insert(1, "lang", langs)
-        return out.assign(n_grams=lengths, total=np.add.reduceat(each, np.cumsum(lengths) - lengths))
-
-    payload, found = None, []
-    for batch in batches:
-        for text, logps in zip(batch["payload"], batch["logps"], strict=True):
-            if text is None:
-                found.append(logps)
-                continue
-            if payload is not None:
-                yield score(payload, found)
-            payload, found = text, []
-    if payload is not None:
-        yield score(payload, found)
-
-
-def scored_texts(chunks: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """The texts of ``chunks`` with their features and summed log probability, one row each.
-
-    The model's hash arrays are dealt out by range of the hash. The distinct n-grams of each chunk visit them
-    there and come back with their probabilities: neither the driver nor any task holds the whole model.
-    """
-    ranges = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = _hash_arrays(model, order, ranges).unionByName(_questions(chunks, order, ranges))
-    # (nulls sort first: the model's arrays before the questions, the payload before the answers)
-    answers = asked.repartition("range").sortWithinPartitions("range", "chunk").mapInPandas(_answers, "chunk long, range int, logps binary")
-    met = chunks.select("chunk", F.lit(None).cast("int").alias("range"), "payload", F.lit(None).cast("binary").alias("logps")).unionByName(answers.withColumn("payload", F.lit(None).cast("binary")))
-    return met.repartition("chunk").sortWithinPartitions("chunk", "range").select("payload", "logps").mapInPandas(lambda b: _scores(b, order), _SCORED)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ", ".join(f"{c} long" for c in _COUNTS)
+    return docs.select("doc_id", "text", "lang", *_keys()).mapInPandas(score, f"doc_id {kind}, k1 long, k2 long, lang string, {fields}, n_grams long, total double")
 
 
 def _few(by_language: DataFrame) -> DataFrame:
@@ -321,15 +340,15 @@ def _few(by_language: DataFrame) -> DataFrame:
     return F.broadcast(by_language) if by_language.count() <= FEW_LANGUAGES else by_language
 
 
-def judged_texts(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
-    """The distinct non-empty texts of ``docs`` with features, bands and verdict, by key."""
-    chunks = text_chunks(docs)
-    model = kneser_ney(cut(gram_counts(chunks, order)), order)
-    scored = cut(scored_texts(chunks, model, order))
+def judged_rows(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
+    """Features, bands and verdict of each row of ``docs``, with the keys k1 and k2 of its text and language."""
+    files = write_model(kneser_ney(cut(gram_counts(docs, order)), order), order)
+    scored = cut(scored_rows(docs, files, order))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     chars = F.col("n_grams").cast("double")
-    scored = scored.withColumn("base_failed", failed).withColumn("wide", F.sqrt(1 + F.lit(float(SHORT)) / chars)).withColumn("log_perplexity", -F.col("total") / chars)
-    sound = scored.where(~F.col("base_failed")).select("lang", "log_perplexity", "wide")
+    wide = F.when(F.col("n_grams") > 0, F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), chars)))
+    scored = scored.withColumn("base_failed", failed).withColumn("wide", wide).withColumn("log_perplexity", F.try_divide(-F.col("total"), chars))
+    sound = cut(scored.where(~F.col("base_failed")).groupBy("lang", "k1", "k2").agg(F.max("log_perplexity").alias("log_perplexity"), F.max("wide").alias("wide")))
     # (of an even number of texts, the mean of the middle two: with one of them, a pair's other text would lie outside)
     midpoint = (F.percentile_approx("log_perplexity", 0.5, 10000) - F.percentile_approx(-F.col("log_perplexity"), 0.5, 10000)) / 2
     middle = _few(sound.groupBy("lang").agg(midpoint.alias("mid"), F.count("*").alias("texts")))
@@ -342,10 +361,7 @@ def judged_texts(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND,
     spread = spread.select("lang", "mid", F.greatest("own", least).alias("dev"))
     judged = scored.join(_few(spread), "lang", "left").withColumn("band_low", F.col("mid") - lower * F.col("dev") * F.col("wide")).withColumn("band_high", F.col("mid") + upper * F.col("dev") * F.col("wide"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return judged.select("key", *_COUNTS, "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")
-
-
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", "k1", "k2", *_COUNTS, "base_failed", kept.alias("kept"), "log_perplexity", "band_low", "band_high")
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
@@ -356,14 +372,11 @@ def quality_rules(docs: DataFrame, order: int = ORDER, lower: float = LOWER_BAND
     a null log_perplexity; a null lang and an empty one are one language of their own; repeated rows, also
     of a null doc_id, are answered alike; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.when(F.col("text") != "", _joined_key()).alias("key"))
-    judged = judged_texts(docs, order, lower, upper)
-    out = keyed.join(judged, "key", "left")
-    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _COUNTS]
-    return out.select("doc_id", *counts, F.coalesce("base_failed", F.lit(True)).alias("base_failed"), F.coalesce("kept", F.lit(False)).alias("kept"), "log_perplexity", "band_low", "band_high")
+    return judged_rows(docs, order, lower, upper).drop("k1", "k2")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text and language the rules keep, whatever their doc_id."""
-    good = judged_texts(docs).where("kept").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", _joined_key()).join(good, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = judged_rows(docs).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = _keys()
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(good, ["__k1", "__k2"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

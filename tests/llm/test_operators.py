@@ -154,7 +154,7 @@ def test_induced_sort_spills_and_matches():
 
 
 def test_quality_rules(spark, small):
-    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules, text_chunks
+    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules
 
     def base(text):
         words = (text or "").encode().split()
@@ -180,7 +180,7 @@ def test_quality_rules(spark, small):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
         assert r.base_failed == (b[0] < 20 or 100 * b[4] > 30 * b[0]) and (not r.kept or not r.base_failed)
     # the probabilities after a context add up to one less the mass of unseen characters
-    model = kneser_ney(gram_counts(text_chunks(docs))).groupBy("lang", F.substring("gram", 1, 4)).agg(F.sum(F.exp("logp")).alias("mass"))
+    model = kneser_ney(gram_counts(docs)).groupBy("lang", F.substring("gram", 1, 4)).agg(F.sum(F.exp("logp")).alias("mass"))
     low, high = model.agg(F.min("mass"), F.max("mass")).first()
     assert 0 < low and high <= 1 + 1e-9
     assert quality_rules(docs.limit(0)).count() == 0
@@ -289,7 +289,7 @@ def test_quality_rules_with_half_a_language_copies(spark, small):
 
 
 def test_quality_rules_catch_shuffled_words(spark, small):
-    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules, text_chunks
+    from marlstone.llm.quality_rules import gram_counts, kneser_ney, quality_rules
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text", "lang")
@@ -304,7 +304,7 @@ def test_quality_rules_catch_shuffled_words(spark, small):
     noise = got.kept[got.index >= 1_000_000]
     assert (~noise).mean() > 0.4 and (~got.kept[got.index.intersection(odd)]).mean() < 0.01
     # a language's model does not depend on the others
-    counts = gram_counts(text_chunks(small))
+    counts = gram_counts(small)
     alone = kneser_ney(counts.where("lang = 'fr'")).toPandas().set_index("gram").logp
     among = kneser_ney(counts).where("lang = 'fr'").toPandas().set_index("gram").logp
     assert len(alone) == len(among) and (alone - among).abs().max() < 1e-9
