@@ -4,8 +4,9 @@ Windows of a document as long as a benchmark item get a 64-bit SimHash of their
 Multi-index Hamming blocks find the items: at a distance of up to RADIUS, one of the 8 blocks of 8
 bits differs in at most RADIUS // 8 bits, so an item is entered under all block values that near and
 a window looks up its own 8. Every pair within the radius is met; the weighted Jaccard similarity of
-the shingle multisets then decides. A window can only reach the threshold if it shares a shingle with
-the item, so windows are made where a shared shingle falls on its own place in the item.
+the shingle multisets then decides. A window of n shingles reaches a similarity s with an item of m only
+if s / (1 + s) * (n + m) of its places at least hold a shingle of the item, in whatever order. Places are
+counted by sliding over them, and every window with that many gets its fingerprint.
 """
 
 from __future__ import annotations
@@ -67,28 +68,39 @@ def _few(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _starts(at: Column, n: Column, m: Column, need: Column) -> Column:
+    """Of the sorted places at which a text of n shingles holds one of an item of m: the starts of all windows of m that cover ``need`` of them."""
+    last = F.greatest(n - m, F.lit(0))
+    spans = F.transform(F.sequence(F.lit(0), F.size(at) - need), lambda i: F.struct(F.greatest(F.get(at, i + need - 1) - m + 1, F.lit(0)).alias("lo"), F.least(F.get(at, i), last).alias("hi")))
+    spans = F.filter(spans, lambda x: x["lo"] <= x["hi"])
+    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["lo"], x["hi"]))))
+
+
 def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int, small_rows: int) -> DataFrame:
     """(key, doc_id, text) and (item_id, words) to (key, item_id, start, similarity), with shingles of k words."""
     items = cut(items.select("item_id", shingles(F.col("words"), k).alias("item")).withColumn("m", F.size("item")))
     items = cut(items.withColumn("item_fp", simhash(F.col("item"))))
-    entries = items.select("item_id", "m", F.posexplode("item").alias("offset", "h"))
-    known = cut(entries.groupBy("h").agg(F.collect_set(F.struct("m", "offset")).alias("places")))
+    known = cut(items.select("item_id", "m", F.explode("item").alias("h")).distinct())
     listed = lambda df, *more: df.withColumn("words", words(F.col("text"))).select("key", *more, shingles(F.col("words"), k).alias("own"), F.greatest(F.size("words") - (k - 1), F.lit(0)).alias("n"))
-    # where documents share a shingle with an item, and the window that puts it on its place in the item
+    # the places where documents hold a shingle of an item, and the windows that cover enough of them
     # (outer, as otherwise a filter on the shingles' number is inferred and computes them twice)
     shared = listed(docs).select("key", "n", F.posexplode_outer("own").alias("at", "h")).join(_few(known, small_rows), "h")
-    starts = shared.select("key", "n", "at", F.inline("places")).select("key", "m", F.least(F.greatest(F.col("at") - F.col("offset"), F.lit(0)), F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias("start"))
-    starts = cut(starts.distinct().groupBy("key").agg(F.collect_list(F.struct("m", "start")).alias("starts")))
-    made = listed(docs.join(_few(starts, small_rows), "key"), "starts").select("key", "own", F.inline_outer("starts")).select("key", "m", "start", F.slice("own", F.col("start") + 1, F.col("m")).alias("window"))
-    made = cut(made.withColumn("id", F.xxhash64("m", "window")))
+    places = shared.groupBy("key", "n", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    need = F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.least("n", "m")) - F.lit(1e-9)), F.lit(1)).cast("int")
+    places = cut(places.withColumn("need", need).where("size(at) >= need"))
+    starts = places.select("key", "m", F.explode(_starts(F.col("at"), F.col("n"), F.col("m"), F.col("need"))).alias("start")).distinct()
+    starts = cut(starts.groupBy("key").agg(F.collect_list(F.struct("m", "start")).alias("starts")))
+    windows_of = F.transform("starts", lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), F.slice("own", x["start"] + 1, x["m"]).alias("window")))
+    made = listed(docs.join(_few(starts, small_rows), "key"), "starts").select("key", F.inline_outer(windows_of))
+    made = cut(made.withColumn("id", F.concat(*[F.hex(F.xxhash64("m", "window", F.lit(i))) for i in (0, 1)])))
     windows = cut(made.groupBy("id", "m").agg(F.first("window").alias("window")))
     windows = cut(windows.withColumn("fp", simhash(F.col("window"))))
     # multi-index Hamming blocks
     index_values = F.concat(*[F.transform(_near_values(_block(F.col("item_fp"), i), radius // BLOCKS), _entry(i)) for i in range(BLOCKS)])
     index = items.select("item_id", "m", "item_fp", F.inline(index_values))
     probes = windows.select("id", "m", "fp", F.inline(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])))
-    met = probes.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("id", "item_id").distinct()
-    judged = met.join(windows.select("id", "window"), "id").join(items.select("item_id", "item"), "item_id").withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
+    met = probes.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("id", "m", "item_id").distinct()
+    judged = met.join(windows.select("id", "window"), "id").join(items.select("item_id", "m", "item"), ["item_id", "m"]).withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
     found = judged.where(F.col("similarity") >= similarity).select("id", "item_id", "similarity")
     return made.select("key", "id", "start").join(found, "id").select("key", "item_id", "start", "similarity")
 
@@ -99,9 +111,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; more columns are ignored, whatever their
     names. Null, empty and blank texts of either side match nothing. Items of fewer words than ``shingle``
     are one shingle and must occur word for word. A document shorter than an item is one window. Of equal
-    similarities the first window counts. Repeated rows are reported once; empty tables give no rows.
+    similarities the first window counts. Repeated rows are reported once; of items with one item_id, the
+    best; empty tables give no rows.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    key = F.concat(F.hex(F.xxhash64("doc_id", "text")), F.hex(F.xxhash64("text", "doc_id")))
+    docs = docs.select("doc_id", "text", key.alias("key"))
     items = cut(benchmark.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("k", F.least(F.size("words"), F.lit(shingle))))
     found = None
     for k in sorted(r["k"] for r in items.select("k").distinct().collect()):  # at most ``shingle`` values

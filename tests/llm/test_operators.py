@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import zlib
@@ -44,7 +45,16 @@ def test_packing_places_every_token(spark):
     placed = got.sort_values(["sequence_id", "offset"])
     ends = placed.offset + placed.length
     assert ((placed.offset == 0) | (placed.offset == ends.shift())).all() and ends.max() <= 1024
-    assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 1
+    rooms, best = [], 0  # plain best fit of the pieces, the longest first
+    for n in sorted(got.length, reverse=True):
+        i = bisect.bisect_left(rooms, n)
+        best += i == len(rooms)
+        bisect.insort(rooms, (1024 if i == len(rooms) else rooms.pop(i)) - n)
+    assert got.sequence_id.nunique() <= best + 1
+    for sequence in (1, 2, 7, 40):
+        small = best_fit_pack(frame(spark, ODD), sequence=sequence).toPandas().sort_values(["sequence_id", "offset"])
+        ends = small.offset + small.length
+        assert ((small.offset == 0) | (small.offset == ends.shift())).all() and ends.max() <= sequence and small.length.sum() == got[got.doc_id < len(ODD)].length.sum()
     assert best_fit_pack(frame(spark, [])).count() == 0
 
 
@@ -347,6 +357,15 @@ def test_decontamination_matches_brute_force(spark):
             item[rng.randrange(len(item))] = "changed"
         texts.append(" ".join([*rng.choices(words, k=rng.randint(0, 60)), *item, *rng.choices(words, k=rng.randint(0, 60))]).title())
     texts += ["here is a TINY item indeed", "same " * 7, " ".join(items[0].split()[:-1])]
+    long = [" ".join(rng.choices(words, k=rng.randint(60, 90))) for _ in range(6)]
+    items += [*long, " ".join(rng.choices(words[:4], k=40))]
+    for item in long:  # halves in the other order, a block moved, words put in and left out
+        ws, cut, around = item.split(), rng.randint(20, 40), lambda: rng.choices(words, k=rng.randint(0, 50))
+        block = ws[10:22]
+        for other in (ws[cut:] + ws[:cut], ws[:10] + ws[22:] + block, ws[:30] + ["put", "in"] + ws[30:], ws[:30] + ws[32:], ws[:15] + ws[20:50] + ws[15:20] + ws[50:]):
+            texts.append(" ".join([*around(), *other, *around()]))
+        texts.append(" ".join([*around(), *ws[cut:], *around(), *ws[:cut]]))
+    texts.append(" ".join(rng.choices(words[:4], k=300)))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(frame(spark, texts), bench).collect()}
     want = {}
