@@ -5,28 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/marlstone-shared-{context.applicationId}")
-    return df.checkpoint(eager=True)
 
+#: At most twice so many nodes are treated as hubs, whatever the size of the graph.
+HUBS = 50_000
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) and (a_id, b_id) to (id, component): the smallest id that can be reached. Labels pass along edges and then jump to their label's label, so rounds grow with the logarithm of the longest path."""
-    links = edges.select(F.col("a_id").alias("u"), F.col("b_id").alias("w")).union(edges.select("b_id", "a_id")).distinct()
-    links = _cut(links)
-    labels = _cut(nodes.select("id", F.col("id").alias("component")))
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """Edges with the least neighbour ``m`` of their node u. Nodes of more than ``hub`` edges, few by their definition, are sent to all executors: a hub's edges need not meet in one task."""
+    marked = edges.join(F.broadcast(least.where(F.col("n") > hub).select("u", "m")), "u", "left")
+    rest = marked.where("m is null").drop("m").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.where("m is not null").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+    """Links every larger neighbour of a node to the smallest id among the node and its neighbours."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both, least, hub).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+    """Links a node and its smaller neighbours to the smallest of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) of long ids, in any direction, loops and repeats allowed, to (node, component), by alternating star contractions.
+
+    component is the smallest id that can be reached from node. Nodes without an edge to another
+    node do not appear. Rows with a null end are ignored; no edges give no rows. The number of
+    rounds grows with the logarithm of the component size, and each round ends in a checkpoint.
+    """
+    now = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    before = None
     while True:
-        near = links.join(labels.withColumnRenamed("id", "w"), "w").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        fresh = _cut(lower.join(jump, "component", "left").select("id", F.coalesce("far", "component").alias("component")))
-        changed = fresh.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = fresh
-        if not changed:
-            return labels
+        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if n == 0 or (n, total) == before:
+            break
+        before = (n, total)
+        hub = max(1000, n // HUBS)
+        now = cut(_small_star(_large_star(now, hub), hub))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) and (a_id, b_id) to (id, component): the smallest id that can be reached, itself included."""
+    found = linked(edges.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def edge_audit(neighbours: DataFrame, k: int) -> DataFrame:

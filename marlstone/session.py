@@ -36,3 +36,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir`` (a file or a directory, in any store Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session takes a folder of its own; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"/tmp/marlstone-shared-{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed now and kept in the shared folder: a lost executor costs no recomputation. Spark removes the files once the result is no longer referenced."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
