@@ -1,32 +1,16 @@
-"""Helpers that several operators share: lineage cuts, the shared folder, word splitting."""
+"""Helpers that several operators share: lineage cuts and paths in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACE_BYTES = b" \t\n\x0b\x0c\r"
+from ..session import cut, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"/tmp/marlstone-shared-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+__all__ = ["cut", "fresh_path", "shared_dir"]
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept in the shared folder: a lost executor costs no recomputation. Spark removes the files once the result is no longer referenced."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)

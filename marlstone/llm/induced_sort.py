@@ -144,6 +144,18 @@ def _induce(text: np.ndarray, symbols: int, stars: np.ndarray, star_shared: np.n
     yield np.array([len(text) - 1]), np.zeros(1, np.int16)
 
 
+def _same(text: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the substrings at a and b, of the given sizes, are equal, symbol by symbol."""
+    same = n_a == n_b
+    left, k = np.flatnonzero(same), 0
+    while len(left):
+        alike = text[a[left] + k] == text[b[left] + k]
+        same[left[~alike]] = False
+        k += 1
+        left = left[alike & (n_a[left] > k)]
+    return same
+
+
 def _by_doubling(names: np.ndarray, cap: int) -> np.ndarray:
     """The order of the suffixes of a string of names by their first cap names: where most names differ, ranks are doubled in length."""
     rank, reach, n = names.astype(np.int64), 1, len(names)
@@ -175,13 +187,8 @@ def _sorted_stars(text: np.ndarray, symbols: int, cap: int, memory: int) -> np.n
     found = [places[is_star[places]] for places, _ in _induce(text, symbols, by_symbol, np.zeros(len(stars), np.int16), cap, False, memory)]
     order = np.concatenate(found)[::-1]
     # equal substrings from one S* to the next, both included, get equal names
-    power = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power)))
-    ends = np.append(stars[1:], n - 1)[np.searchsorted(stars, order)] + 1
-    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    undo = np.cumprod(np.full(n, inverse, np.uint64))
-    sign = (sums[ends] - sums[order]) * undo[order]
-    other = (sign[1:] != sign[:-1]) | (np.diff(ends - order) != 0)
+    sizes = np.append(stars[1:], n - 1)[np.searchsorted(stars, order)] + 1 - order
+    other = ~_same(text, order[:-1], sizes[:-1], order[1:], sizes[1:])
     name = np.concatenate(([0], np.cumsum(other)))
     if name[-1] == len(order) - 1:
         return order

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import linked
 from .common import cut
-from .components import connected_components
 
 RADIUS = 3
 SHINGLE = 3
@@ -53,15 +53,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, fp), fp the fingerprint's 64 bits as a signed long."""
+    """``docs`` (doc_id, text) to (doc_id, k1, k2, fp): fp the fingerprint's 64 bits as a signed long, k1 and k2 two hashes that together tell rows apart."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield batch.drop(columns="text").assign(fp=fp.view(np.int64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *row_keys()).mapInPandas(of, f"doc_id {kind}, k1 long, k2 long, fp long")
+
+
+def row_keys() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2")]
 
 
 def unary_counts(fp: Column) -> Column:
@@ -143,23 +147,34 @@ def near_links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     return met.mapInPandas(lambda batches: _forest(batches, radius), "u long, v long")
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, group): a number for each group of linked fingerprints."""
+    marked = cut(fingerprints(docs, shingle))
+    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
+    found = linked(near_links(points.select("node", "fp"), radius))
+    return marked, cut(points.join(found, "node", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` (doc_id, text; more columns are ignored) to (doc_id, fingerprint, component_id), one row per document.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id that
     can be reached. Null and empty texts have fingerprint zero and link like any other; repeated rows
-    stay; rows of a null doc_id get a null component_id unless their fingerprint has another document;
-    an empty table gives no rows. Equal fingerprints are one point, so copies cost nothing.
+    stay; component_id is null where all documents of a group have a null doc_id; an empty table gives
+    no rows. Equal fingerprints are one point, so copies cost nothing.
     """
-    marked = cut(fingerprints(docs, shingle))
-    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = connected_components(near_links(points.where("node is not null"), radius))
-    named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    marked, named = _grouped(docs, shingle, radius)
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "group").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id (of repeated rows with that id, one)."""
-    groups = simhash_groups(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group: that of the smallest doc_id (a null one last), of several with that id the one of the smallest hash, of equal rows one."""
+    marked, named = _grouped(docs, shingle, radius)
+    first = marked.join(named.select("fp", "group"), "fp").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("row"))
+    k1, k2 = row_keys()
+    kept = first.select(F.col("row.k1").alias("__k1"), F.col("row.k2").alias("__k2"))
+    rows = docs.withColumns({"__k1": k1, "__k2": k2}).join(kept, ["__k1", "__k2"], "left_semi")
+    return rows.dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])

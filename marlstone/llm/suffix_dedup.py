@@ -48,11 +48,12 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
 
 def _segments(joined: np.ndarray, ends: np.ndarray, length: int, seeds: list[int]) -> tuple[np.ndarray, ...]:
     """Of texts joined without separators: start, size, shard hash, content hash of each segment, and whether it may repeat itself."""
+    import xxhash
+
     n = len(joined)
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
-    wide = joined.astype(np.uint64) + np.uint64(1)
-    gram = wide
+    gram = joined.astype(np.uint64) + np.uint64(1)
     for step in (1, 2, 4, 8, 16):
         gram = gram[:-step] * _power(step) + gram[step:]
     places = n - length + 1
@@ -82,10 +83,8 @@ def _segments(joined: np.ndarray, ends: np.ndarray, length: int, seeds: list[int
     leads &= ~last
     led = np.concatenate(([0], np.cumsum(leads)))
     again = led[stop - length + 1] > led[start]
-    powers = np.cumprod(np.full(n, _ODD, np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * powers)))
-    undo = np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), np.uint64))
-    content = _mixed((sums[stop] - sums[start]) * undo[start], 7) ^ (stop - start).astype(np.uint64)
+    raw = joined.data
+    content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
     return start, stop - start, shard[start], content, again
 
 
@@ -105,14 +104,15 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """``df`` with its text compressed, to be shuffled."""
+def _packed(df: DataFrame, once: bool = False) -> DataFrame:
+    """``df`` with its text compressed, to be shuffled; ``once``: of rows with one ``key`` in a batch, the first."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            batch = batch[~batch["key"].duplicated()] if once else batch
             yield batch.assign(text=[None if t is None else pack(_bytes(t)) for t in batch["text"]])
 
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in df.schema]
@@ -127,19 +127,21 @@ def _unpacked(texts: pd.Series) -> list[bytes | None]:
 
 
 def text_segments(keyed: DataFrame, length: int) -> DataFrame:
-    """(key, text) to the segments of each text: key, start, size, shard, content, again."""
+    """(key, text) to the segments of each text: key, start, size, shard, content, again, copies. Copies of a text in one batch are cut once."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            texts = [_bytes(t) for t in batch["text"]]
+            copies = batch["key"].map(batch["key"].value_counts()).to_numpy(np.int64)
+            first = ~batch["key"].duplicated().to_numpy()
+            keys, copies = batch["key"].to_numpy()[first], copies[first]
+            texts = [_bytes(t) for t in batch["text"].to_numpy()[first]]
             for at, joined, ends in _joined(texts):
                 start, size, shard, content, again = _segments(joined, ends, length, [0])
                 owner = np.searchsorted(ends, start, side="right")
                 begin = np.concatenate(([0], ends))[owner]
-                yield pd.DataFrame({"key": keys[at + owner], "start": (start - begin).astype(np.int32), "size": size.astype(np.int32), "shard": shard.view(np.int64), "content": content.view(np.int64), "again": again})
+                yield pd.DataFrame({"key": keys[at + owner], "start": (start - begin).astype(np.int32), "size": size.astype(np.int32), "shard": shard.view(np.int64), "content": content.view(np.int64), "again": again, "copies": copies[at + owner]})
 
-    return keyed.mapInPandas(of, "key binary, start int, size int, shard long, content long, again boolean")
+    return keyed.mapInPandas(of, "key binary, start int, size int, shard long, content long, again boolean, copies long")
 
 
 def _cut_again(parts: DataFrame, length: int, seeds: list[int]) -> DataFrame:
@@ -192,6 +194,8 @@ def _sort_shards(batches: Iterator[pd.DataFrame], length: int, sort_bytes: int)
                     rows, size = [], 0
             if not group or content != group[-1][1]:
                 group.append((shard, content, piece, again))
+            elif piece != group[-1][2]:
+                raise ValueError("two segments that differ have one hash")
     if len(group) > 1 or group and group[0][3]:
         rows += group
     if rows:
@@ -229,8 +233,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     only = keyed.select(F.col("__key").alias("key"), "text")
     found = text_segments(only, length)
-    shards = cut(found.groupBy("shard").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or("again").alias("again")).where("n > 1 or again").select("shard", (F.col("low") == F.col("high")).alias("alike"), "n").select("shard", F.expr("alike and n > 1").alias("alike")))
-    places = cut(found.join(shards, "shard").groupBy("key", "start", "size", "shard", "content", "again", "alike").agg(F.count("*").alias("n")))
+    shards = cut(found.groupBy("shard").agg(F.sum("copies").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or("again").alias("again")).where("n > 1 or again").select("shard", (F.col("low") == F.col("high")).alias("alike"), "n").select("shard", F.expr("alike and n > 1").alias("alike")))
+    places = cut(found.join(shards, "shard").groupBy("key", "start", "size", "shard", "content", "again", "alike").agg(F.sum("copies").alias("n")))
     open_ = places.where("not alike")
     chosen = open_.groupBy("shard", "content").agg(F.sum("n").alias("n"), F.bool_or("again").alias("again"), F.min(F.struct("key", "start", "size")).alias("at"))
     spans = chosen.groupBy("at.key").agg(F.collect_list(F.struct("shard", "content", "n", "again", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("spans"))
@@ -242,12 +246,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
                 rows += [(s["shard"], s["content"], 0, s["n"], s["shard"], s["content"], s["again"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
             yield pd.DataFrame(rows, columns=_PLACED).astype({"at": "int32"})
 
-    texts = _packed(only).join(spans, "key").select("text", "spans")
+    texts = _packed(only, once=True).join(spans, "key").select("text", "spans")
     parts = cut(texts.mapInPandas(pieces, _PLACED_TYPES))
     runs = repeated_runs(parts, length, shard_bytes, sort_bytes).select(F.col("first_shard").alias("shard"), F.col("first_content").alias("content"), "lo", "hi").distinct()
     by_text = open_.join(runs, ["shard", "content"]).select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     alike = places.where("alike").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    return keyed, by_text.unionByName(alike).distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__runs"))
+    # (cut, so that in the join with the texts the rows of a hot key can be dealt out)
+    return keyed, cut(by_text.unionByName(alike).distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__runs")))
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, sort_bytes: int = SORT_BYTES) -> DataFrame:
@@ -258,12 +263,11 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
     repeated rows are texts like any other, so all of their strings repeat; an empty table gives no rows.
     """
     keyed, runs = repeated_bytes(docs, length, shard_bytes, sort_bytes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch["doc_id"], _unpacked(batch["text"]), batch["__runs"], strict=True):
+            for key, text, own in zip(batch["key"], _unpacked(batch["text"]), batch["__runs"], strict=True):
                 raw = text or b""
                 spans = _merged(own, len(raw)) if own is not None else []
                 kept, at = hashlib.sha256(), 0
@@ -271,10 +275,13 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int =
                     kept.update(raw[at:lo])
                     at = hi
                 kept.update(raw[at:])
-                rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": batch["doc_id"].dtype})
+                rows.append((key, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+            yield pd.DataFrame(rows, columns=["__key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _packed(keyed.select("doc_id", "text", "__key")).join(runs, "__key", "left").select("doc_id", "text", "__runs").mapInPandas(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # each text is reported once, and its documents take the report
+    texts = _packed(keyed.select(F.col("__key").alias("key"), "text"), once=True).join(runs, F.col("key") == F.col("__key"), "left").select("key", "text", "__runs")
+    reports = cut(texts.mapInPandas(report, "__key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["__key"]))
+    return keyed.select("doc_id", "__key").join(reports, "__key").drop("__key")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

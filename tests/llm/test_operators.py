@@ -106,10 +106,10 @@ def test_simhash_groups_match_brute_force(spark, small):
     assert got.component_id.tolist() == [root(i) for i in range(len(fps))]
     # a crowded cell, in blocks: a chain of single-bit steps is one component
     points = [(i, int(np.int64(np.uint64((1 << (i % 64)) ^ (i // 64))))) for i in range(600)]
-    from marlstone.llm.components import connected_components
+    from marlstone.operators.graphs import linked
 
     links = near_links(spark.createDataFrame(points, "node long, fp long").dropDuplicates(["fp"]), block=16)
-    found = {r.node: r.component for r in connected_components(links).collect()}
+    found = {r.node: r.component for r in linked(links).collect()}
     alone = dict({fp: i for i, fp in reversed(points)})
     nodes = {i: fp for fp, i in alone.items()}
     kept = {r.u for r in links.collect()} | {r.v for r in links.collect()}
@@ -119,6 +119,16 @@ def test_simhash_groups_match_brute_force(spark, small):
                 assert found[i] == found[j]
 
 
+def test_one_row_of_each_group_stays(spark):
+    from marlstone.llm.simhash import drop_near_duplicates
+
+    texts = ["one text of some words here", "quite another text about things", "a third one that is not alike", "one text of some words here", None, "", "a third one that is not alike", None]
+    docs = frame(spark, texts, [7, 7, None, 9, 5, None, None, None])
+    got = sorted((r.doc_id or 0, r.text or "") for r in drop_near_duplicates(docs).collect())
+    assert got == [(0, texts[2]), (5, ""), (7, texts[0]), (7, texts[1])]
+    assert drop_near_duplicates(docs).columns == docs.columns and drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def removed(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
