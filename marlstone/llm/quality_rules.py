@@ -40,7 +40,7 @@ MIN_DEVIATION, FEW_DEVIATION = 0.01, 0.05
 FEW_LANGUAGES = 10_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Characters of a chunk of texts, and n-grams of a row group that leaves Python.
-_CHUNK, _ROWS = 1 << 21, 1 << 17
+_CHUNK, _ROWS = 1 << 20, 1 << 16
 #: N-grams of a model file, and bytes of model files that a worker holds where they cannot be mapped.
 MODEL_ROWS, MODEL_BYTES = 4_000_000, 512 << 20
 #: Bits of the map of repeated texts (2 MB); with more repeated texts than that, more of the others are marked too.
@@ -133,8 +133,8 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], list[s
         yield np.array(at), texts, langs
 
 
-def _once(docs: DataFrame, sent) -> DataFrame:
-    """Of the texts that the bit map marks, each once: (lang, text). They alone are shuffled, in packets of a task's texts for one bucket of keys."""
+def _packets(docs: DataFrame, sent) -> DataFrame:
+    """The texts that the bit map marks, to be brought together: (bucket, packet), a packet a task's distinct texts for one bucket of keys."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,19 +144,21 @@ def _once(docs: DataFrame, sent) -> DataFrame:
                 packets.setdefault(row.k2 % buckets, {})[row.k1, row.k2] = tuple(row)
             yield pd.DataFrame({"bucket": list(packets), "packet": [_closed(list(x.values())) for x in packets.values()]}).astype({"bucket": "int32"})
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, bucket = set(), None
-        for batch in batches:
-            for at, packet in zip(batch["bucket"], batch["packet"], strict=True):
-                if at != bucket:
-                    seen, bucket = set(), at
-                rows = _opened(packet)
-                fresh = [i for i, key in enumerate(zip(rows["k1"], rows["k2"], strict=True)) if key not in seen]
-                seen.update((rows["k1"][i], rows["k2"][i]) for i in fresh)
-                yield rows.iloc[fresh][["lang", "text"]]
-
     packets = docs.where("text <> ''").select("lang", "text", *_keys()).mapInPandas(pack, "bucket int, packet binary")
-    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(merge, "lang string, text string")
+    return packets.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packets by bucket to their texts, each once."""
+    seen, bucket = set(), None
+    for batch in batches:
+        for at, packet in zip(batch["bucket"], batch["packet"], strict=True):
+            if at != bucket:
+                seen, bucket = set(), at
+            rows = _opened(packet)
+            fresh = [i for i, key in enumerate(zip(rows["k1"], rows["k2"], strict=True)) if key not in seen]
+            seen.update((rows["k1"][i], rows["k2"][i]) for i in fresh)
+            yield rows.iloc[fresh][["lang", "text"]]
 
 
 _PACKET = pa.schema([("lang", pa.string()), ("text", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())])
@@ -183,24 +185,23 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if "k1" in batch:
-                batch = batch[~_marked(sent.value, batch["k1"])]
             for _, texts, langs in _chunks(batch):
                 points, h, at = _gram_arrays(texts, langs, order)
                 by = np.argsort(h)
                 first = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
-                pick = by[first]
-                grams = np.stack([points[at[pick] + k] for k in range(order)], axis=1)
-                owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-                names = np.array(langs, object)[owner[pick]]
-                counts = np.diff(np.append(first, len(h)))
+                pick, counts = by[first], np.diff(np.append(first, len(h)))
+                del h, by
+                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
                 for k in range(0, len(pick), _ROWS):
-                    part = slice(k, k + _ROWS)
-                    yield pd.DataFrame({"lang": names[part], "gram": grams[part].view(f"<U{order}").ravel().astype(object), "c": counts[part]})
+                    part = pick[k : k + _ROWS]
+                    grams = np.stack([points[at[part] + i] for i in range(order)], axis=1).view(f"<U{order}").ravel()
+                    yield pd.DataFrame({"lang": np.array(langs, object)[np.searchsorted(ends, part, side="right")], "gram": grams.astype(object), "c": counts[k : k + _ROWS]})
 
     kind = "lang string, gram string, c long"
-    alone = docs.where("text <> ''").select("text", "lang", _keys()[0]).mapInPandas(count, kind)
-    return alone.unionByName(_once(docs, sent).mapInPandas(count, kind)).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    alone = docs.where("text <> ''").select("text", "lang", _keys()[0]).mapInPandas(lambda b: count(x[~_marked(sent.value, x["k1"])] for x in b), kind)
+    # (one Python function a stage: each takes a worker of its own)
+    again = _packets(docs, sent).mapInPandas(lambda b: count(_once(b)), kind)
+    return alone.unionByName(again).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
