@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,8 +13,12 @@ from pyspark.sql import DataFrame
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style template noscript iframe object audio video canvas svg math select datalist textarea title".split())
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = set("head script style template noscript iframe object audio video canvas datalist title desc defs metadata annotation annotation-xml".split())
+TABLE_PARTS = set("table tbody thead tfoot tr".split())
+IN_TABLE = TABLE_PARTS | set("td th caption colgroup col".split())
+#: What may stand between the parts of a table without being moved out before it.
+STAYS = IN_TABLE | {"script", "style", "template"}
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul caption".split())
 #: Blocks with an empty line before and after.
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl dir menu blockquote pre figure table hr".split())
 HEAD_ONLY = set("base link meta title style script".split())
@@ -33,10 +38,11 @@ CLOSES = {
 }
 CLOSE_P = (BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "dt", "dd", "li"}) | {"li", "dt", "dd"}
 BARRIER = {"table", "td", "th", "caption", "html", "button", "object", "template"}
-#: Elements deeper than this are hung on their ancestor at this depth.
-MAX_DEPTH = 256
+#: Tables nested deeper than this show their cells one below another instead of in columns.
+NESTED_TABLES = 60
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 
 
 class Node:
@@ -49,35 +55,59 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree: html, head and body are implied, as are the ends of paragraphs, list items and table parts."""
+    """Builds the tree: html, head and body are implied, as are the ends of paragraphs, list items and table parts. What does not belong between the parts of a table goes before it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.body: Node | None = None
         self.stack = [self.root]
+        self.open: Counter = Counter()  # of the tags on the stack, so that deep pages are not searched for what is not there
+
+    def _push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.open[node.tag] += 1
+
+    def _cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.open[node.tag] -= 1
+        del self.stack[at:]
 
     def _close_within(self, tags: set[str], scope: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
+        i = len(self.stack) - 1
+        while i > 0 and any(self.open[t] for t in tags):
             if self.stack[i].tag in scope:
                 return
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 if len(tags) == 1:
                     return
-                return self._close_within(tags, scope)
+            i -= 1
 
     def _need_body(self) -> None:
         if self.body is None:
             self.body = Node("body", {})
             self.root.children.append(self.body)
-            self.stack = [self.root, self.body]
+            self._cut(1)
+            self._push(self.body)
+
+    def _before_table(self, child: Node | str) -> None:
+        """Puts a child before the innermost open table."""
+        at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == "table" or i == 0)
+        siblings = self.stack[max(0, at - 1)].children
+        place = next((i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is self.stack[at]), len(siblings))
+        siblings.insert(place, child)
 
     def _open(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
-        self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        if self.stack[-1].tag in TABLE_PARTS and self.open["table"] and tag not in STAYS:
+            if tag == "form":  # a form between table parts holds nothing
+                return
+            self._before_table(node)
+        else:
+            self.stack[-1].children.append(node)
+        if tag not in VOID:
+            self._push(node)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         known = dict(attrs)
@@ -94,6 +124,10 @@ class TreeBuilder(HTMLParser):
             return
         if self.body is None and not (tag in HEAD_ONLY or any(n.tag in HIDDEN for n in self.stack)):
             self._need_body()
+        if tag in IN_TABLE - {"table"} and self.open["table"]:  # back to the table from what was put before it
+            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in IN_TABLE)
+            if self.stack[at].tag in TABLE_PARTS:
+                self._cut(at + 1)
         if tag in CLOSE_P:
             self._close_within({"p"}, BARRIER)
         if tag in CLOSES:
@@ -104,6 +138,8 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if self.stack[-1].tag == tag and (self.open["svg"] or self.open["math"]):  # there, a closed tag has no content
+            self._cut(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -112,14 +148,16 @@ class TreeBuilder(HTMLParser):
             self._need_body()
             self._open("br", {})
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.stack):
+        if tag == "p" and not self.open["p"]:
             self._need_body()
             self._open("p", {})
+        if not self.open[tag]:
+            return
         scope = BARRIER - {tag} if tag not in ("table", "html") else set()
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 if self.stack[i] is not self.body:
-                    del self.stack[i:]
+                    self._cut(i)
                 return
             if self.stack[i].tag in scope and tag not in ("tr", "tbody", "thead", "tfoot"):
                 return
@@ -132,16 +170,31 @@ class TreeBuilder(HTMLParser):
             if not data.strip(" \t\n\r\f"):
                 return
             self._need_body()
-        self.stack[-1].children.append(data)
+        if self.stack[-1].tag in TABLE_PARTS and self.open["table"] and data.strip(" \t\n\r\f"):
+            self._before_table(data)
+        else:
+            self.stack[-1].children.append(data)
 
 
-def _hidden(node: Node) -> bool:
+def _boxless(node: Node) -> bool:
+    """Whether an element is not laid out at all, with all that it holds."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
-        return True
-    if node.tag == "dialog" and "open" not in a:
+    if node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
-    return bool(a.get("style") and _HIDING.search(a["style"]))
+    return bool(a.get("style") and _NO_BOX.search(a["style"]))
+
+
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether an element's own text shows, given whether its parent's does: visibility is inherited, and a child may turn it on again."""
+    own = _VISIBILITY.search(node.attrs.get("style") or "")
+    return seen if not own or own[1].lower() in ("inherit", "unset") else own[1].lower() not in ("hidden", "collapse")
+
+
+def _laid_out(node: Node) -> list:
+    """The children of an element that are laid out: of closed details only the first summary."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
 
 
 def _width(text: str) -> int:
@@ -204,27 +257,27 @@ class _Page:
         return self.lines
 
 
-def _table_rows(node: Node) -> Iterator[Node]:
+def _table_rows(node: Node, seen: bool) -> Iterator[tuple[Node, bool]]:
     for child in node.children:
-        if isinstance(child, Node) and not _hidden(child):
+        if isinstance(child, Node) and not _boxless(child):
             if child.tag == "tr":
-                yield child
+                yield child, _seen(child, seen)
             elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from _table_rows(child)
+                yield from _table_rows(child, _seen(child, seen))
 
 
-def _render_table(node: Node) -> list[str]:
+def _render_table(node: Node, seen: bool, nested: int) -> list[str]:
     """Cells in columns, padded to the widest, two spaces apart; the lines of a cell stay below one another."""
     lines: list[str] = []
     for child in node.children:
-        if isinstance(child, Node) and child.tag == "caption" and not _hidden(child):
-            lines += _render(child)
+        if isinstance(child, Node) and child.tag == "caption" and not _boxless(child):
+            lines += _render(child, _seen(child, seen), nested)
     table: list[list[list[str]]] = []
     below: dict[int, int] = {}
-    for row in _table_rows(node):
+    for row, row_seen in _table_rows(node, seen):
         cells: list[list[str]] = []
         for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and not _hidden(cell):
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and not _boxless(cell):
                 while below.get(len(cells), 0):
                     below[len(cells)] -= 1
                     cells.append([])
@@ -232,7 +285,7 @@ def _render_table(node: Node) -> list[str]:
                 for i in range(span[0]):
                     if span[1] > 1:
                         below[len(cells)] = span[1] - 1
-                    cells.append(_render(cell) if i == 0 else [])
+                    cells.append(_render(cell, _seen(cell, row_seen), nested) if i == 0 else [])
         table.append(cells)
     widths: dict[int, int] = {}
     for cells in table:
@@ -245,56 +298,61 @@ def _render_table(node: Node) -> list[str]:
     return [x for x in lines if x]
 
 
-def _render(top: Node) -> list[str]:
+LISTS = ("ul", "ol", "menu", "dir")
+
+
+def _render(top: Node, seen: bool = True, nested: int = 0) -> list[str]:
     """The visible lines of an element, without recursion over its inline and block children."""
     page = _Page()
-    todo: list = [(iter(top.children), top, None)]
+    todo: list = [(iter(_laid_out(top)), top, seen, None)]
+    inside = Counter([top.tag])
     counts: list[int | None] = []
     while todo:
-        children, parent, after = todo[-1]
+        children, parent, seen, after = todo[-1]
         child = next(children, None)
         if child is None:
             todo.pop()
+            inside[parent.tag] -= 1
             if after:
                 after()
             continue
         if isinstance(child, str):
-            if parent.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol") or child.strip():
-                page.text(child, any(n.tag == "pre" for _, n, _ in todo))
+            if seen and (parent.tag not in TABLE_PARTS | {"ul", "ol"} or child.strip()):
+                page.text(child, inside["pre"] + inside["textarea"] > 0)
             continue
-        if _hidden(child):
+        if _boxless(child):
             continue
-        tag = child.tag
+        tag, own = child.tag, _seen(child, seen)
+        after = None
         if tag == "br":
             page.feed()
         elif tag == "img":
-            page.text(child.attrs.get("alt") or "", False)
-        elif tag == "table":
+            page.text((child.attrs.get("alt") or "") if own else "", False)
+        elif tag == "table" and nested < NESTED_TABLES:
             page.block(2)
-            page.rows(_render_table(child))
+            page.rows(_render_table(child, own, nested + 1))
             page.block(2)
-        elif tag in BLOCK:
-            nested = tag in ("ul", "ol", "menu", "dir") and any(n.tag == "li" for _, n, _ in todo)
-            gap = 2 if tag in SPACED and not nested else 1
-            page.block(gap)
-            if tag in ("ul", "ol", "menu", "dir"):
-                start = child.attrs.get("start") or "1"
-                counts.append(int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None)
-            if tag == "li":
-                depth = max(0, len(counts) - 1)
-                mark = "- " if not counts or counts[-1] is None else f"{counts[-1]}. "
-                if counts and counts[-1] is not None:
-                    counts[-1] += 1
-                page._add("  " * depth + mark)
-
-            def after(tag=tag, gap=gap):
-                if tag in ("ul", "ol", "menu", "dir"):
-                    counts.pop()
-                page.block(gap)
-
-            todo.append((iter(child.children), child, after))
         else:
-            todo.append((iter(child.children), child, None))
+            if tag in BLOCK:
+                gap = 2 if tag in SPACED and not (tag in LISTS and inside["li"]) else 1
+                page.block(gap)
+                if tag in LISTS:
+                    start = child.attrs.get("start") or "1"
+                    counts.append(int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None)
+                if tag == "li":
+                    mark = "- " if not counts or counts[-1] is None else f"{counts[-1]}. "
+                    if counts and counts[-1] is not None:
+                        counts[-1] += 1
+                    if own:
+                        page._add("  " * max(0, len(counts) - 1) + mark)
+
+                def after(tag=tag, gap=gap):
+                    if tag in LISTS:
+                        counts.pop()
+                    page.block(gap)
+
+            inside[tag] += 1
+            todo.append((iter(_laid_out(child)), child, own, after))
     return page.done()
 
 

@@ -454,6 +454,23 @@ def test_html_text(spark):
     assert html_to_text(page) == "One two\n\nthree\n\n- a\n- b\n  3. c\n  4. d\n\nName   Qty\napple  1\n\nafter\nline\n\n x\n  y\n\ne&"
     assert html_to_text(None) == html_to_text("") == html_to_text("<script>x") == ""
     assert html_to_text("<div>" * 5000 + "deep") == "deep"
+    cases = {
+        "<table>lost<tr><td>x</table>": "lost\n\nx",
+        "<table><div>also</div><tr><td>x<td>y</tr>tail</table>end": "also\ntail\n\nx  y\n\nend",
+        "<table><form><tr><td>a<td>b</form></table>": "a  b",
+        "<table><tr><form><td>a</form><td>b</tr></table>": "a  b",
+        "<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>": "yes",
+        "<div style='display:none'>no<span style='visibility:visible'>no</span></div>": "",
+        "<select><option>one<option>two</select><textarea>in\nit</textarea>": "one\ntwo\nin\nit",
+        "<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math><svg><title>no</title><text>drawn</text><path d=''/></svg>after": "x=drawnafter",
+        "<details><summary>head</summary>body</details>": "head",
+        "<details open><summary>head</summary>body</details>": "head\nbody",
+        "<div>" * 300 + "<script>evil()</script><p hidden>secret</p>ok": "ok",
+        "<table><tr><td>" * 200 + "in": "in",
+    }
+    assert {k: html_to_text(k) for k in cases} == cases
+    assert html_to_text("<div><i>" * 50_000 + "deep" + "</i><p>x</p></div>" * 50_000).startswith("deep")
+    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
     odd = spark.createDataFrame([(1, None, None), (2, "u", "<p>a"), (2, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(r.text for r in extract_text(odd).collect()) == ["", "a", "a"]
 
