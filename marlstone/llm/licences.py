@@ -1,35 +1,28 @@
 """Licence scans with DataFrame functions only.
 
-Header lines and whole files are compared with licence templates by sparse TF-IDF cosine. A file
-without a licence of its own takes that of the nearest directory above it that holds a licence file.
+Lines, pairs of lines, sentences, windows as long as a template and whole licence files are compared with
+licence templates by sparse TF-IDF cosine. Windows are left to templates of more than SHORT tokens, as a
+few words in any order make no notice. A text can reach the cosine with a template only if it holds one of the template's
+anchors, rare tokens whose squared weights add up to more than 1 - cosine squared; a window is cut where an
+anchor falls on its own place in the template. A file without a licence of its own takes that of the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import licence_texts
 from .common import cut
 
-# Short notices by which common licences are declared.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
-]
 COSINE = 0.8
 #: Base names, without an ending, of files that declare the licence of their directory.
 FILE_NAMES = ["license", "licence", "copying", "unlicense"]
+SHORT = 12
 SMALL_ROWS = 100_000
 _NOT_TOKEN = "[^\\p{L}\\p{N}.]+"
 
@@ -39,72 +32,89 @@ def _tokens(text: Column) -> Column:
     return F.filter(trimmed, lambda t: t != "")
 
 
-def template_weights(templates: DataFrame) -> tuple[list[tuple[str, str, float, float]], float]:
-    """(licence, text) to unit TF-IDF weights (licence, token, w, idf) and the idf of an unknown token. Templates are few; their tokens are read on the driver."""
-    rows = [(r["licence"], Counter(r["tokens"])) for r in templates.where("licence is not null").select("licence", _tokens(F.coalesce("text", F.lit(""))).alias("tokens")).collect()]
-    rows = [r for r in rows if r[1]]
-    seen = Counter(t for _, c in rows for t in c)
-    idf = {t: math.log(1 + len(rows) / n) for t, n in seen.items()}
-    out = []
-    for licence, c in rows:
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        out += [(licence, t, n * idf[t] / norm, idf[t]) for t, n in c.items()]
-    return out, math.log(1 + len(rows))
-
-
-def _may_reach(text: Column, weights: list[tuple[str, str, float, float]], cosine: float) -> Column:
-    """Of a lower-case text: false only where no template can reach the cosine, which is at most the root of the summed squares of the weights of those tokens that occur."""
-    may = F.lit(False)
-    for licence in sorted({w[0] for w in weights}):
-        own = [F.when(text.contains(t), w * w).otherwise(0.0) for name, t, w, _ in weights if name == licence]
-        total = own[0]
-        for x in own[1:]:
-            total = total + x
-        may = may | (total >= cosine**2 - 1e-9)
-    return may
-
-
-def best_licences(units: DataFrame, templates: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(unit, text) to (unit, licence, cosine): the closest template of each text at ``cosine`` or more; ties go to the first name. text must be in lower case, and unit must tell texts apart."""
-    listed, unknown = template_weights(templates)
-    if not listed:
-        return units.select("unit", F.lit("").alias("licence"), F.lit(0.0).alias("cosine")).where("false")
-    weights = cut(units.sparkSession.createDataFrame(listed, "licence string, token string, w double, idf double"))
-    words = units.where(_may_reach(F.col("text"), listed, cosine)).select("unit", F.explode_outer(_tokens(F.col("text"))).alias("token")).groupBy("unit", "token").agg(F.count("*").alias("tf"))
-    idf = weights.select("token", "idf").distinct()
-    words = cut(words.join(F.broadcast(idf), "token", "left").select("unit", "token", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x")))
+class Weights:
+    """Unit TF-IDF weights of templates (licence, text), read on the driver: templates are few. Rows without a licence or a token are left out."""
+
+    def __init__(self, templates: DataFrame, cosine: float = COSINE):
+        rows = templates.where("licence is not null").select("licence", _tokens(F.coalesce("text", F.lit(""))).alias("tokens")).distinct().collect()
+        rows = sorted((r["licence"], list(r["tokens"])) for r in rows if r["tokens"])
+        seen = Counter(t for _, tokens in rows for t in set(tokens))
+        idf = {t: math.log(1 + len(rows) / n) for t, n in seen.items()}
+        self.unknown = math.log(1 + len(rows))
+        self.weights, self.anchors = [], []  # (template, licence, token, w, idf), (token, template, offset, size)
+        for i, (licence, tokens) in enumerate(rows):
+            count = Counter(tokens)
+            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in count.items()))
+            own = {t: n * idf[t] / norm for t, n in count.items()}
+            self.weights += [(i, licence, t, w, idf[t]) for t, w in own.items()]
+            held = 0.0
+            for t in sorted(own, key=lambda t: (-idf[t], -own[t], t)):
+                if held <= 1 - cosine**2:
+                    self.anchors += [(t, i, at, len(tokens)) for at, x in enumerate(tokens) if x == t]
+                    held += own[t] ** 2
+
+    def may_reach(self, text: Column) -> Column:
+        """Of a lower-case text: false only where it holds no anchor."""
+        starts: dict[str, list[str]] = {}
+        for t in sorted({a[0] for a in self.anchors}):
+            starts.setdefault(t[0], []).append(re.escape(t[1:]))
+        edge = "[^\\p{L}\\p{N}]"
+        choice = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in starts.items())
+        return text.rlike(f"(?:^|{edge})(?:{choice})(?:$|{edge})") if starts else F.lit(False)
+
+
+def best_licences(units: DataFrame, weights: Weights, cosine: float = COSINE) -> DataFrame:
+    """(unit, tokens) to (unit, licence, cosine): the closest template of each text at ``cosine`` or more; ties go to the first name. unit must tell texts apart."""
+    spark = units.sparkSession
+    listed = spark.createDataFrame(weights.weights, "template int, licence string, token string, w double, idf double")
+    words = units.select("unit", F.explode_outer("tokens").alias("token")).groupBy("unit", "token").agg(F.count("*").alias("tf"))
+    words = cut(words.join(F.broadcast(listed.select("token", "idf").distinct()), "token", "left").select("unit", "token", (F.col("tf") * F.coalesce("idf", F.lit(weights.unknown))).alias("x")))
     norms = words.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = words.join(F.broadcast(weights), "token").groupBy("unit", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = words.join(F.broadcast(listed), "token").groupBy("unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(norms, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= cosine)
     return scored.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "licence")).alias("best")).select("unit", "best.licence", (-F.col("best.back")).alias("cosine"))
 
 
+def _windows(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(key, text in lower case) to (key, tokens): runs of a template's length that have one of its anchors where the template has it."""
+    anchors = texts.sparkSession.createDataFrame([a for a in weights.anchors if a[3] > SHORT], "token string, template int, offset int, size int")
+    listed = texts.select("key", _tokens(F.col("text")).alias("tokens"))
+    hits = listed.select("key", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(anchors), "token")
+    spans = hits.select("key", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), "size").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    return listed.join(spans, "key").select("key", F.explode(F.transform("spans", lambda x: F.slice("tokens", x["start"] + 1, x["size"]))).alias("tokens"))
+
+
 def scan_licences(files: DataFrame, templates: DataFrame | None = None, cosine: float = COSINE) -> DataFrame:
     """``files`` (doc_id, path, text; more columns are ignored) to one row per row: doc_id, path, own_licence, own_cosine, licence, licence_path.
 
-    own_licence is that of the closest line of the whole text; of equal lines the first name counts. A licence
-    file has one of FILE_NAMES as base name; its licence is that of its whole text or else its closest line,
-    and where a directory has several, the closest counts, then the first path. licence is own_licence, else that of the nearest licence
-    file in the file's directory or above (licence_path), else null. Null and empty texts have no licence of
-    their own; a null path has no directory; repeated rows are answered alike; an empty table gives no rows.
+    own_licence is that of the closest line, pair of lines, sentence or template-sized window of the whole text; of
+    equal cosines the first name counts. A licence file has one of FILE_NAMES as base name; its licence is that of its whole text or else its
+    own, and where a directory has several, the closest counts, then the first path. licence is own_licence, else that
+    of the nearest licence file in the file's directory or above (licence_path), else null. Null and empty texts have
+    no licence of their own; a null path has no directory; repeated rows are answered alike; an empty table gives no
+    rows. ``templates`` has licence and text, a licence in as many rows as it has texts.
     """
     spark = files.sparkSession
-    templates = notice_templates(spark) if templates is None else templates
-    key = F.xxhash64("doc_id", "path", "text")
+    weights = Weights(spark.createDataFrame(licence_texts.templates(), "licence string, text string") if templates is None else templates, cosine)
+    key = F.concat(*[F.hex(F.xxhash64("doc_id", "path", "text", F.lit(i))) for i in (0, 1)])
     files = files.select("doc_id", "path", "text", key.alias("key"))
-    listed, _ = template_weights(templates)
-    lines = files.select("key", F.explode_outer(F.split(F.lower("text"), "\n")).alias("text")).where("text <> ''")
-    lines = cut(lines.where(_may_reach(F.col("text"), listed, cosine)))
-    # equal lines are scored once; the whole text is a unit of its own
-    own = best_licences(lines.select("text").distinct().withColumn("unit", F.col("text")), templates, cosine)
-    own = _few(own)
-    found = lines.join(own.withColumnRenamed("unit", "text"), "text").groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "licence")).alias("best"))
+    # (a generated column: a filter on it is not pushed to where lower-casing would be repeated)
+    lowered = files.select("key", F.explode_outer(F.array(F.lower("text"))).alias("text"))
+    likely = cut(lowered.where(weights.may_reach(F.col("text"))).dropDuplicates(["key"]))
+    split = F.split("text", "\n")
+    pairs = F.zip_with(split, F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    sentences = F.split(F.regexp_replace("text", "\n", " "), "(?<=[.!?])\\s+")
+    lines = likely.select("key", F.explode(F.array_distinct(F.concat(split, pairs, sentences))).alias("text"))
+    lines = lines.where(weights.may_reach(F.col("text"))).select("key", _tokens(F.col("text")).alias("tokens"))
+    parts = cut(lines.unionByName(_windows(likely, weights)).select("key", "tokens", F.concat(*[F.hex(F.xxhash64("tokens", F.lit(i))) for i in (0, 1)]).alias("unit")).distinct())
+    # equal lines and windows are scored once
+    own = best_licences(parts.select("unit", "tokens").dropDuplicates(["unit"]), weights, cosine)
+    found = parts.select("key", "unit").join(_few(own), "unit").groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "licence")).alias("best"))
     found = cut(found.select("key", F.col("best.licence").alias("own_licence"), (-F.col("best.back")).alias("own_cosine")))
     base = F.regexp_extract(F.lower(F.element_at(F.split("path", "/"), -1)), "^([^.]*)", 1)
-    # (a generated column: a filter on it is not pushed to where lower-casing would be repeated for each token)
-    texts = files.where(base.isin(FILE_NAMES)).select(F.xxhash64("text").alias("unit"), F.explode_outer(F.array(F.lower("text"))).alias("text"))
-    whole = best_licences(texts.where(_may_reach(F.col("text"), listed, cosine)).dropDuplicates(["unit"]), templates, cosine)
-    declared = files.where(base.isin(FILE_NAMES)).join(found, "key", "left").join(_few(whole.select(F.col("unit").alias("hash"), F.col("licence").alias("file_licence"), F.col("cosine").alias("file_cosine"))), F.xxhash64("text") == F.col("hash"), "left")
+    named = files.where(base.isin(FILE_NAMES)).select("key", "path").distinct()
+    whole = best_licences(likely.join(named.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("unit"), _tokens(F.col("text")).alias("tokens")), weights, cosine)
+    declared = named.join(found, "key", "left").join(whole.select(F.col("unit").alias("key"), F.col("licence").alias("file_licence"), F.col("cosine").alias("file_cosine")), "key", "left")
     declared = declared.where(F.coalesce("file_licence", "own_licence").isNotNull())
     declared = declared.select(_parent(F.col("path")).alias("dir"), "path", F.coalesce("file_licence", "own_licence").alias("licence"), F.coalesce("file_cosine", "own_cosine").alias("cosine"))
     declared = cut(declared.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "path", "licence")).alias("best")).select("dir", "best.path", "best.licence"))
@@ -126,7 +136,3 @@ def _parent(path: Column) -> Column:
 def _few(df: DataFrame) -> DataFrame:
     df = cut(df)
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
-def notice_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "licence string, text string")

@@ -1,6 +1,7 @@
 import bisect
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -447,6 +448,47 @@ def test_license_scan(spark):
     assert answers[8] == (None, "CC-BY-NC-4.0", "a/b/c/LICENSE.txt")
 
 
+def test_license_texts_headers_and_a_plain_cosine(spark):
+    import math
+
+    from marlstone.llm.licence_texts import TEXTS, templates
+    from marlstone.llm.licences import scan_licences
+
+    texts = dict(TEXTS)
+    wrap = lambda text, n, mark: "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    prose = "the storm came over the hills and nobody was there to see it " * 20
+    rows = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(texts["MIT"], 11, "")), (2, "m/src/a.py", "print(2)"), (3, "x/a.c", "// SPDX-License-Identifier: MIT\nint x;"),
+        (4, "x/b.c", "/*\n" + wrap(dict(TEXTS[::-1])["GPL-3.0"], 9, " * ") + "\n */\nint y;"), (5, "x/c.c", prose + "end. Licensed under the Apache\nLicense, Version 2.0. " + prose), (6, "x/d.c", prose), (7, "", None), (8, None, ""),
+        (9, "b/COPYING", wrap(texts["BSD-2-Clause"], 12, "")), (10, "b/d/e/f", "no"), (11, "x/e.c", "# SPDX-License-Identifier: Apache-2.0"), (11, "x/e.c", "# SPDX-License-Identifier: Apache-2.0"),
+    ]
+    schema = "doc_id long, path string, text string, key string, cosine double"
+    got = scan_licences(spark.createDataFrame([(*r, "k", 1.0) for r in rows], schema)).toPandas()
+    assert len(got) == len(rows)
+    answers = {r.doc_id: r.licence for r in got.itertuples()}
+    assert answers == {1: "MIT", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "Apache-2.0", 6: None, 7: None, 8: None, 9: "BSD-2-Clause", 10: "BSD-2-Clause", 11: "Apache-2.0"}
+    assert scan_licences(spark.createDataFrame([], schema)).count() == 0
+    # the best cosine of any line or template-sized window, by plain counting over all places
+    tokens = lambda text: [x for t in "".join(c if c.isalnum() or c == "." else " " for c in text.lower()).split() if (x := t.strip("."))]
+    tokens_of = [(x, tokens(y)) for x, y in templates()]
+    seen = Counter(t for _, ts in tokens_of for t in set(ts))
+    idf = lambda t: math.log(1 + len(tokens_of) / seen[t]) if t in seen else math.log(1 + len(tokens_of))
+
+    def cosine(a, b):
+        a, b = ({t: n * idf(t) for t, n in Counter(x).items()} for x in (a, b))
+        return sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    for doc, _, text in rows:
+        lines = (text or "").split("\n")
+        lines += [" ".join(x) for x in zip(lines, lines[1:])] + re.split(r"(?<=[.!?])\s+", (text or "").replace("\n", " "))
+        units = [ts for line in lines if (ts := tokens(line))]
+        whole = tokens(text or "")
+        best = max((cosine(whole[i : i + len(ts)], ts) for _, ts in tokens_of if len(ts) > 12 for i in range(max(1, len(whole) - len(ts) + 1)) if whole), default=0)
+        best = max([best, *(cosine(u, ts) for u in units for _, ts in tokens_of)])
+        mine = got[got.doc_id == doc].own_cosine.iloc[0]
+        assert abs(mine - best) < 1e-6 if best >= 0.8 else mine != mine
+
+
 def test_html_text(spark):
     from marlstone.llm.html_text import extract_text, html_to_text
 
