@@ -3,8 +3,8 @@
 Lines, pairs of lines, sentences, windows as long as a template and whole licence files are compared with
 licence templates by sparse TF-IDF cosine. Windows are left to templates of more than SHORT tokens, as a
 few words in any order make no notice. A text can reach the cosine with a template only if it holds one of the template's
-anchors, rare tokens whose squared weights add up to more than 1 - cosine squared; a window is cut where an
-anchor falls on its own place in the template. A file without a licence of its own takes that of the nearest directory above it that holds a licence file.
+anchors, the tokens that the fewest files hold and whose squared weights add up to more than 1 - cosine
+squared; a window is cut where an anchor falls on its own place in the template. A file without a licence of its own takes that of the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ def _tokens(text: Column) -> Column:
 class Weights:
     """Unit TF-IDF weights of templates (licence, text), read on the driver: templates are few. Rows without a licence or a token are left out."""
 
-    def __init__(self, templates: DataFrame, cosine: float = COSINE):
+    def __init__(self, templates: DataFrame, texts: DataFrame, cosine: float = COSINE):
         rows = templates.where("licence is not null").select("licence", _tokens(F.coalesce("text", F.lit(""))).alias("tokens")).distinct().collect()
         rows = sorted((r["licence"], list(r["tokens"])) for r in rows if r["tokens"])
         seen = Counter(t for _, tokens in rows for t in set(tokens))
         idf = {t: math.log(1 + len(rows) / n) for t, n in seen.items()}
         self.unknown = math.log(1 + len(rows))
+        vocabulary = texts.sparkSession.createDataFrame([(t,) for t in seen], "token string")
+        held_by = texts.select(F.explode(F.array_distinct(_tokens(F.lower("text")))).alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").count()
+        files = {r["token"]: r["count"] for r in held_by.collect()}  # (at most the templates' tokens)
         self.weights, self.anchors = [], []  # (template, licence, token, w, idf), (token, template, offset, size)
         for i, (licence, tokens) in enumerate(rows):
             count = Counter(tokens)
@@ -48,7 +51,7 @@ class Weights:
             own = {t: n * idf[t] / norm for t, n in count.items()}
             self.weights += [(i, licence, t, w, idf[t]) for t, w in own.items()]
             held = 0.0
-            for t in sorted(own, key=lambda t: (-idf[t], -own[t], t)):
+            for t in sorted(own, key=lambda t: (files.get(t, 0), -own[t], t)):
                 if held <= 1 - cosine**2:
                     self.anchors += [(t, i, at, len(tokens)) for at, x in enumerate(tokens) if x == t]
                     held += own[t] ** 2
@@ -95,9 +98,10 @@ def scan_licences(files: DataFrame, templates: DataFrame | None = None, cosine:
     rows. ``templates`` has licence and text, a licence in as many rows as it has texts.
     """
     spark = files.sparkSession
-    weights = Weights(spark.createDataFrame(licence_texts.templates(), "licence string, text string") if templates is None else templates, cosine)
     key = F.concat(*[F.hex(F.xxhash64("doc_id", "path", "text", F.lit(i))) for i in (0, 1)])
     files = files.select("doc_id", "path", "text", key.alias("key"))
+    templates = spark.createDataFrame(licence_texts.templates(), "licence string, text string") if templates is None else templates
+    weights = Weights(templates, files, cosine)
     # (a generated column: a filter on it is not pushed to where lower-casing would be repeated)
     lowered = files.select("key", F.explode_outer(F.array(F.lower("text"))).alias("text"))
     likely = cut(lowered.where(weights.may_reach(F.col("text"))).dropDuplicates(["key"]))
