@@ -78,13 +78,20 @@ def best_licences(units: DataFrame, weights: Weights, cosine: float = COSINE) ->
     return scored.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "licence")).alias("best")).select("unit", "best.licence", (-F.col("best.back")).alias("cosine"))
 
 
-def _windows(texts: DataFrame, weights: Weights) -> DataFrame:
+def _windows(texts: DataFrame, weights: Weights, cosine: float) -> DataFrame:
     """(key, text in lower case) to (key, tokens): runs of a template's length that have one of its anchors where the template has it."""
     anchors = texts.sparkSession.createDataFrame([a for a in weights.anchors if a[3] > SHORT], "token string, template int, offset int, size int")
     listed = texts.select("key", _tokens(F.col("text")).alias("tokens"))
     hits = listed.select("key", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(anchors), "token")
-    spans = hits.select("key", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), "size").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    return listed.join(spans, "key").select("key", F.explode(F.transform("spans", lambda x: F.slice("tokens", x["start"] + 1, x["size"]))).alias("tokens"))
+    spans = hits.select("key", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), "size", "template").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size", "template")).alias("spans"))
+    cuts = listed.join(spans, "key").select("key", F.inline(F.transform("spans", lambda x: F.struct(x["template"].alias("template"), F.slice("tokens", x["start"] + 1, x["size"]).alias("tokens")))))
+    # the squared cosine is at most the sum of the template's squared weights whose tokens the window has
+    squares: dict[int, dict[str, float]] = {}
+    for template, _, token, w, _ in weights.weights:
+        squares.setdefault(template, {})[token] = w * w
+    listed = texts.sparkSession.createDataFrame([(i, list(x), x) for i, x in squares.items()], "template int, own array<string>, squares map<string,double>")
+    bound = F.aggregate(F.array_intersect("tokens", "own"), F.lit(0.0), lambda total, t: total + F.col("squares")[t])
+    return cuts.join(F.broadcast(listed), "template").where(bound >= cosine**2 - 1e-9).select("key", "tokens")
 
 
 def scan_licences(files: DataFrame, templates: DataFrame | None = None, cosine: float = COSINE) -> DataFrame:
@@ -110,7 +117,7 @@ def scan_licences(files: DataFrame, templates: DataFrame | None = None, cosine:
     sentences = F.split(F.regexp_replace("text", "\n", " "), "(?<=[.!?])\\s+")
     lines = likely.select("key", F.explode(F.array_distinct(F.concat(split, pairs, sentences))).alias("text"))
     lines = lines.where(weights.may_reach(F.col("text"))).select("key", _tokens(F.col("text")).alias("tokens"))
-    parts = cut(lines.unionByName(_windows(likely, weights)).select("key", "tokens", F.concat(*[F.hex(F.xxhash64("tokens", F.lit(i))) for i in (0, 1)]).alias("unit")).distinct())
+    parts = cut(lines.unionByName(_windows(likely, weights, cosine)).select("key", "tokens", F.concat(*[F.hex(F.xxhash64("tokens", F.lit(i))) for i in (0, 1)]).alias("unit")).distinct())
     # equal lines and windows are scored once
     own = best_licences(parts.select("unit", "tokens").dropDuplicates(["unit"]), weights, cosine)
     found = parts.select("key", "unit").join(_few(own), "unit").groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("back"), "licence")).alias("best"))
