@@ -33,7 +33,7 @@ SHARED = {
     "pending_batch": "SELECT i.id, i.name FROM @items i LEFT JOIN (SELECT DISTINCT item_id FROM @likes) l ON i.id = l.item_id WHERE i.id >= 100 AND l.item_id IS NULL",
     "selection_errors": "SELECT id, CASE WHEN n > 1 THEN 'duplicate' ELSE 'unknown' END AS problem FROM (SELECT s.id, count(*) AS n, max(i.id) AS known FROM (SELECT 3 AS id UNION ALL SELECT 3 UNION ALL SELECT 8 UNION ALL SELECT 99999999) s LEFT JOIN @items i ON i.id = s.id GROUP BY s.id) t WHERE n > 1 OR known IS NULL",
     "id_set_diff": "SELECT id, count(*) AS n_sources FROM (SELECT id, 'items' AS src FROM @items UNION SELECT item_id, 'likes' FROM @likes UNION SELECT id, 'vectors' FROM @v UNION SELECT ingredient_id, 'bridge' FROM @bridge) t GROUP BY id HAVING count(*) < 4",
-    "shard_requests": "SELECT concat('r', lpad(CAST(r.n AS STRING), 4, '0'), '-a', lpad(CAST(a.axis AS STRING), 2, '0')) AS request_key, r.id, a.axis, a.axis % 8 AS shard FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM @items WHERE id < 50) r CROSS JOIN (SELECT DISTINCT abv - 1 AS axis FROM @items WHERE abv <= 48) a",
+    "shard_requests": "SELECT concat('r', lpad(CAST(r.n AS STRING), 4, '0'), '-a', lpad(CAST(a.axis AS STRING), 2, '0')) AS request_key, r.id, a.axis, a.axis % 8 AS shard FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM @items) r CROSS JOIN (SELECT DISTINCT abv - 1 AS axis FROM @items WHERE abv <= 48) a",
     "upsert_vectors": "SELECT i.id, i.name, coalesce(n.price, i.price) AS price, n.id IS NOT NULL AS updated FROM @items i LEFT JOIN (SELECT id, price * 2 AS price FROM @items WHERE id % 7 = 0) n ON n.id = i.id",
     "incremental_export": "SELECT count(*) AS total, count_if(e.id IS NOT NULL AND e.name = i.name) AS current_rows, count_if(e.id IS NOT NULL AND e.name <> i.name) AS invalid_rows, count_if(e.id IS NULL) AS pending_rows FROM @items i LEFT JOIN (SELECT id, CASE WHEN id % 11 = 0 THEN 'old' ELSE name END AS name FROM @items WHERE id % 3 = 0) e ON e.id = i.id",
     "like_toggle": "SELECT user_id, item_id, created_at FROM @likes WHERE NOT (user_id = 7 AND item_id % 2 = 0) UNION ALL SELECT 7 AS user_id, 123456 AS item_id, max(created_at) AS created_at FROM @likes",
@@ -44,7 +44,7 @@ SHARED = {
     "descriptor_support": "SELECT base_tag AS code, count(*) AS support, count(embedding) AS with_vector FROM @items GROUP BY base_tag",
     "parse_summary": "SELECT count(*) AS n, count_if(props LIKE '%\"k\"%') AS accepted, count_if(props NOT LIKE '%\"k\"%') AS quarantined, count_if(props IS NULL) AS missing FROM @events",
     "manifest_audit": "SELECT count(*) - count(DISTINCT id) AS repeated_ids, count_if(id IS NULL) AS null_ids, count_if(name IS NULL OR name = '') AS unnamed, max(id) - min(id) + 1 - count(DISTINCT id) AS gaps FROM @items",
-    "contract_report": "SELECT count_if(y < prev) AS falls, round(max(y), 9) AS highest, round(max(abs(y / x - 1.2)), 9) AS ratio_error FROM (SELECT x, y, lag(y) OVER (ORDER BY x) AS prev FROM (SELECT (id + 1) / 1000.0 AS x, least(1.2 * (id + 1) / 1000.0, pi()) AS y FROM @items WHERE id < 1000) u) t",
+    "contract_report": "SELECT count_if(y < prev) AS falls, round(max(y), 9) AS highest, round(max(abs(y / x - 1.2)), 9) AS ratio_error FROM (SELECT x, y, lag(y) OVER (ORDER BY x) AS prev FROM (SELECT (id + 1) / 1000.0 AS x, least(1.2 * (id + 1) / 1000.0, pi()) AS y FROM @items) u) t",
     "response_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count_if(value IS NULL) AS missing FROM @events GROUP BY event_type",
     "name_tiers": "SELECT id, name, tier, score FROM (SELECT id, name, CASE WHEN q = t THEN 4 WHEN t LIKE concat(q, '%') THEN 3 WHEN t LIKE concat('%', q, '%') THEN 2 END AS tier, CASE WHEN q = t THEN 1.0 WHEN t LIKE concat('%', q, '%') THEN round(length(q) * 1.0 / length(t), 9) END AS score FROM (SELECT id, name, 'red' AS q, replace(lower(name), ' ', '') AS t FROM @items) u) w WHERE tier IS NOT NULL ORDER BY tier DESC, score DESC, length(name), id LIMIT 20",
 }

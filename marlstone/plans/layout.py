@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import sphere
 from .relations import duckdb_sql, spark_sql
 
 _ANG = "acos(least(1.0, greatest(-1.0, score)))"
@@ -12,18 +16,18 @@ SHARED = {
     "dist_summary": f"SELECT {_SUMMARY} FROM (SELECT score AS x FROM @pairs WHERE src < dst) t",
     "nn_angles": f"SELECT {_SUMMARY} FROM (SELECT min({_ANG}) AS x FROM @cpairs GROUP BY src) t",
     "within_cluster_sep": "SELECT round(PCT(x, 0.1), 6) AS p10, round(PCT(x, 0.5), 6) AS median, round(avg(x), 6) AS mean FROM (SELECT min(degrees(acos(least(1.0, greatest(-1.0, p.score))))) AS x FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst AND a.label = b.label GROUP BY p.src) t",
-    "zscore_offdiag": "SELECT src, dst, round((score - m) / s, 6) AS z FROM @pairs CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM @pairs) t WHERE src < 20",
+    "zscore_offdiag": "SELECT src, dst, round((score - m) / s, 6) AS z FROM @pairs CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM @pairs) t",
     "angle_corr": f"SELECT round(corr(a, b), 6) AS pearson FROM ({_BOTH}) t",
-    "angle_spearman": f"SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u WHERE src < 40) w) t",
+    "angle_spearman": f"SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u) w) t",
     "edge_rmse": f"SELECT round(sqrt(avg((a - b) * (a - b))), 6) AS rmse FROM ({_BOTH}) t JOIN @edges e ON e.a_id = t.src AND e.b_id = t.dst",
     "norm_error": "SELECT round(max(abs(sqrt(x * x + y * y + z * z) - 1)), 9) AS worst FROM @c",
     "normalized_stress": "SELECT round(sqrt(greatest(0.0, sdd - sdv * sdv / svv) / sdd), 6) AS stress, round(sdv / svv, 6) AS scale FROM (SELECT sum(d * d) AS sdd, sum(d * v) AS sdv, sum(v * v) AS svv FROM (SELECT 1 - p.score AS d, sqrt(greatest(0.0, 2 - 2 * c.score)) AS v FROM @pairs p JOIN @cpairs c ON p.src = c.src AND p.dst = c.dst WHERE p.src < p.dst) u) t",
-    "ks_uniform_sphere": f"SELECT round(max(greatest(r / n - cdf, cdf - (r - 1) / n)), 9) AS ks FROM (SELECT (1 - cos(x)) / 2 AS cdf, row_number() OVER (ORDER BY x) * 1.0 AS r, count(*) OVER () AS n FROM (SELECT {_ANG} AS x FROM @cpairs WHERE src < dst AND src < 40) u) t",
-    "monotone_violations": f"SELECT count_if(b - prev < -1e-12) AS violations, count(*) AS n FROM (SELECT b, lag(b) OVER (PARTITION BY src ORDER BY a, dst) AS prev FROM ({_BOTH}) u WHERE src < 40) t",
+    "ks_uniform_sphere": f"SELECT round(max(greatest(r / n - cdf, cdf - (r - 1) / n)), 9) AS ks FROM (SELECT (1 - cos(x)) / 2 AS cdf, row_number() OVER (ORDER BY x) * 1.0 AS r, count(*) OVER () AS n FROM (SELECT {_ANG} AS x FROM @cpairs WHERE src < dst) u) t",
+    "monotone_violations": f"SELECT count_if(b - prev < -1e-12) AS violations, count(*) AS n FROM (SELECT b, lag(b) OVER (PARTITION BY src ORDER BY a, dst) AS prev FROM ({_BOTH}) u) t",
     "stretch_deciles": f"SELECT decile, count(*) AS n, round(avg(b / a), 6) AS mean_stretch FROM (SELECT a, b, CASE WHEN a < q1 THEN 0 WHEN a < q2 THEN 1 WHEN a < q3 THEN 2 WHEN a < q4 THEN 3 WHEN a < q5 THEN 4 WHEN a < q6 THEN 5 WHEN a < q7 THEN 6 WHEN a < q8 THEN 7 WHEN a < q9 THEN 8 ELSE 9 END AS decile FROM ({_BOTH}) u CROSS JOIN (SELECT " + ", ".join(f"PCT(a, 0.{i}) AS q{i}" for i in range(1, 10)) + f" FROM ({_BOTH}) w) q) t GROUP BY decile",
     "cell_occupancy": "SELECT band, sector, count(*) AS n FROM (SELECT CAST(least(7, floor((z + 1) / 2 * 8)) AS BIGINT) AS band, CAST(least(15, floor((atan2(y, x) + pi()) / (2 * pi()) * 16)) AS BIGINT) AS sector FROM @c) t GROUP BY band, sector",
     "bias_metrics": "SELECT round(sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)), 9) AS mean_norm FROM @c",
-    "covering_radius": "SELECT round(max(near), 6) AS radius FROM (SELECT p.id, min(acos(least(1.0, greatest(-1.0, p.x * c.x + p.y * c.y + p.z * c.z)))) AS near FROM (SELECT id, -x AS x, -y AS y, -z AS z FROM @c WHERE id < 100) p CROSS JOIN @c c GROUP BY p.id) t",
+    "covering_radius": "SELECT round(max(near), 6) AS radius FROM (SELECT p.id, min(acos(least(1.0, greatest(-1.0, p.x * c.x + p.y * c.y + p.z * c.z)))) AS near FROM @probes p CROSS JOIN @c c GROUP BY p.id) t",
     "cluster_separation": f"SELECT round(avg(CASE WHEN same THEN g END), 6) AS intra, round(avg(CASE WHEN NOT same THEN g END), 6) AS inter, round(avg(CASE WHEN NOT same THEN g END) / avg(CASE WHEN same THEN g END), 6) AS separation FROM (SELECT a.label = b.label AS same, acos(least(1.0, greatest(-1.0, p.score))) AS g FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst WHERE p.src < p.dst) t",
     "silhouette": "SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM (SELECT src, max(CASE WHEN same THEN m END) AS a, min(CASE WHEN NOT same THEN m END) AS b FROM (SELECT p.src, sb.label, sa.label = sb.label AS same, avg(acos(least(1.0, greatest(-1.0, p.score)))) AS m FROM @cpairs p JOIN @c sa ON sa.id = p.src JOIN @c sb ON sb.id = p.dst GROUP BY 1, 2, 3) u GROUP BY src) t",
     "false_close_all": "SELECT count(*) AS false_close FROM (SELECT c.src, c.dst FROM @cknn c JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score, dst DESC) AS worst, count(*) OVER (PARTITION BY src) AS n FROM @pairs) p ON p.src = c.src AND p.dst = c.dst WHERE p.worst <= floor(p.n / 10)) t",
@@ -36,3 +40,19 @@ SHARED = {
 
 QUERIES = {name: spark_sql(text) for name, text in SHARED.items()}
 ORACLES = {name: duckdb_sql(text) for name, text in SHARED.items()}
+
+
+def angle_spearman(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman's correlation of source and layout angles: average ranks from range-sorted values."""
+    both = spark_sql(f"SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u")(spark, d)
+    ranked = sphere.with_average_rank(sphere.with_average_rank(both, "a", "ra"), "b", "rb")
+    return ranked.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+
+
+def ks_uniform_sphere(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest distance of the pair angles' steps from those of the uniform sphere."""
+    angles = spark_sql(f"SELECT {_ANG} AS x FROM @cpairs WHERE src < dst")(spark, d)
+    return sphere.ks_distance(angles, "x", (1 - F.cos("x")) / 2).select(F.round("ks", 9).alias("ks"))
+
+
+QUERIES |= {"angle_spearman": angle_spearman, "ks_uniform_sphere": ks_uniform_sphere}

@@ -31,13 +31,31 @@ SHARED = {
     "spot_check": "SELECT CAST(k.rank AS BIGINT) AS rank, k.dst AS in_vectors, c.dst AS in_coordinates, o.src IS NOT NULL AS shared FROM @knn k JOIN @cknn c ON c.src = k.src AND c.rank = k.rank LEFT JOIN @cknn o ON o.src = k.src AND o.dst = k.dst WHERE k.src = 17",
     "assert_same_ids": "SELECT count_if(a.id IS NULL OR b.id IS NULL) AS mismatched, count(*) AS n FROM @v a FULL JOIN @c b ON a.id = b.id",
     "layout_gates": "SELECT 'recall_at_5' AS gate, round(avg(hits) / 5, 9) AS value, avg(hits) / 5 >= 0.6 AS passed FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t UNION ALL SELECT 'any_hit', round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9), avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) >= 0.9 FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) u",
-    "favor_recommend": "SELECT user_id, id, round(best, 4) AS similarity, CAST(r AS BIGINT) AS r FROM (SELECT user_id, id, best, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 4) DESC, id) AS r FROM (SELECT l.user_id, p.dst AS id, max(p.score) AS best FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id) AS recency FROM @likes WHERE user_id < 50) l JOIN (SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM @pairs) q WHERE rank <= 25) p ON p.src = l.item_id LEFT JOIN @likes o ON o.user_id = l.user_id AND o.item_id = p.dst WHERE l.recency <= 5 AND o.item_id IS NULL GROUP BY l.user_id, p.dst) b) t WHERE r <= 5",
 }
 
 QUERIES = {name: spark_sql(text) for name, text in SHARED.items()}
 ORACLES = {name: duckdb_sql(text).replace(" AS STRING)", " AS VARCHAR)") for name, text in SHARED.items()}
 
 
+#: Of each user the five latest likes, of each the five nearest that the user does not like, of an item the best score, then the five best.
+_FAVOR = "SELECT user_id, id, round(best, 4) AS similarity, CAST(r AS BIGINT) AS r FROM (SELECT user_id, id, best, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 4) DESC, id) AS r FROM (SELECT user_id, id, max(score) AS best FROM (SELECT l.user_id, p.dst AS id, p.score, row_number() OVER (PARTITION BY l.user_id, l.item_id ORDER BY p.score DESC, p.dst) AS n FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id) AS recency FROM @likes) l JOIN @pairs p ON p.src = l.item_id LEFT JOIN @likes o ON o.user_id = l.user_id AND o.item_id = p.dst WHERE l.recency <= 5 AND o.item_id IS NULL) c WHERE n <= 5 GROUP BY user_id, id) b) t WHERE r <= 5"
+
+
+def favor_recommend(spark: SparkSession, d: str) -> DataFrame:
+    """Items near a user's latest likes. Of n liked items, at most n stand among an item's nearest 5 + n, so no more neighbours are needed than those of the user with the most."""
+    v = domain.vectors(spark, d)
+    likes = domain.likes(spark, d)
+    recent = likes.withColumn("recency", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "item_id"))).where("recency <= 5")
+    known = likes.join(v.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    most = known.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    near = vectors.knn(v, K + most).select(F.col("src").alias("item_id"), F.col("dst").alias("id"), "score")
+    met = recent.join(near, "item_id").join(known.select("user_id", F.col("item_id").alias("id")), ["user_id", "id"], "left_anti")
+    first = met.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.col("score").desc(), "id"))).where("n <= 5")
+    best = first.groupBy("user_id", "id").agg(F.round(F.max("score"), 4).alias("similarity"))
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("similarity").desc(), "id")).cast("long"))
+    return ranked.where("r <= 5").select("user_id", "id", "similarity", "r")
+
+
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
     """The five rows nearest to item 17 by cosine, itself excluded."""
     v = domain.vectors(spark, d)
@@ -125,3 +143,6 @@ QUERIES |= {name: f for name, (f, _) in _OWN.items()}
 ORACLES |= {name: duckdb_sql(sql) for name, (_, sql) in _OWN.items() if sql}
 # components by a recursive walk over the mutual edges
 ORACLES["connected_components"] = duckdb_sql("SELECT n.id, least(n.id, coalesce(w.low, n.id)) AS component FROM @v n LEFT JOIN (SELECT id, min(other) AS low FROM walk GROUP BY id) w ON w.id = n.id /* @edges */").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT n.id,", ", walk AS (SELECT a_id AS id, b_id AS other FROM edges WHERE mutual UNION SELECT b_id, a_id FROM edges WHERE mutual UNION SELECT w.id, CASE WHEN e.a_id = w.other THEN e.b_id ELSE e.a_id END FROM walk w JOIN edges e ON e.mutual AND (e.a_id = w.other OR e.b_id = w.other)) SELECT n.id,", 1)
+
+QUERIES["favor_recommend"] = favor_recommend
+ORACLES["favor_recommend"] = duckdb_sql(_FAVOR)

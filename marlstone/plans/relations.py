@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import domain, vectors
+from ..operators import domain, sphere, vectors
 from ..session import table
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 Builder = Callable[[SparkSession, str], DataFrame]
 #: Neighbours of a source.
 K = 5
+#: Evenly spread points at which the covering radius is measured.
+PROBES = 1000
 
 #: name: (Spark, DuckDB); DuckDB definitions may use others with @.
 RELATIONS: dict[str, tuple[Builder, str]] = {
@@ -24,6 +26,7 @@ RELATIONS: dict[str, tuple[Builder, str]] = {
     "cpairs": (lambda s, d: vectors.all_pairs(domain.coordinates(s, d)), "SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM @c a JOIN @c b ON a.id <> b.id"),
     "cknn": (lambda s, d: vectors.knn(domain.coordinates(s, d), K), "SELECT src, dst, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM @cpairs) WHERE rank <= 5"),
     "edges": (lambda s, d: vectors.union_edges(vectors.knn(domain.vectors(s, d), K)), "SELECT least(src, dst) AS a_id, greatest(src, dst) AS b_id, max(score) AS score, max(CASE WHEN src < dst THEN rank END) AS a_rank, max(CASE WHEN src > dst THEN rank END) AS b_rank, max(CASE WHEN src < dst THEN rank END) IS NOT NULL AND max(CASE WHEN src > dst THEN rank END) IS NOT NULL AS mutual FROM @knn GROUP BY 1, 2"),
+    "probes": (lambda s, d: sphere.fibonacci_sphere(s, PROBES), f"SELECT id, sqrt(greatest(0.0, 1 - z * z)) * cos(phi) AS x, sqrt(greatest(0.0, 1 - z * z)) * sin(phi) AS y, z FROM (SELECT range AS id, 1 - 2 * (range + 0.5::DOUBLE) / {PROBES} AS z, (range + 0.5::DOUBLE) * pi() * (1 + sqrt(5)) AS phi FROM range({PROBES}))"),
     "items": (domain.items, "SELECT p_partkey AS id, p_name AS name, p_brand AS base_tag, p_type AS glass, p_size AS abv, p_retailprice AS price, v AS embedding FROM part LEFT JOIN @v ON p_partkey = @v.id"),
     "likes": (domain.likes, "SELECT o_custkey AS user_id, l_partkey AS item_id, max(o_orderdate) AS created_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "bridge": (domain.bridge, "SELECT l_orderkey AS cocktail_id, l_partkey AS ingredient_id, l_quantity AS amount, l_returnflag AS unit FROM lineitem"),
@@ -68,4 +71,4 @@ def duckdb_sql(text: str) -> str:
     for name in _NAME.findall(text):
         need(name)
     body = _common(_AT.sub(r"\1[\2]", _PCT.sub(r"quantile_cont(\1, \2)", _NAME.sub(r"\1", text))))
-    return ("WITH " + ", ".join(f"{n} AS ({q})" for n, q in needed.items()) + " " if needed else "") + body
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in needed.items()) + " " if needed else "") + body

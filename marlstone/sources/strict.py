@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file whose header must be the schema's names in order; malformed rows fail the read, empty strings are null."""
-    header = spark.read.text(path).where("value <> ''").first()
-    names = [] if header is None else header["value"].lstrip("﻿").strip("\r").split(",")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, escape: str = "\\") -> DataFrame:
+    """A CSV file whose header must be the schema's names in order; blank and malformed rows fail the read, empty strings are null."""
+    options = {"nullValue": "", "escape": escape}
+    first = spark.read.text(path).where("value <> ''").first()
+    names = [] if first is None else list(spark.read.options(**options).csv(spark.sparkContext.parallelize([first["value"].lstrip("\ufeff").strip("\r")])).first())
     if names != schema.fieldNames():
         raise ValueError(f"header {names}, expected {schema.fieldNames()}")
-    return spark.read.schema(schema).options(header=True, enforceSchema=True, mode="FAILFAST", nullValue="").csv(path)
+    lines = spark.read.text(path)
+    if lines.where(F.regexp_replace("value", "[,\\s]", "") == "").limit(1).count():
+        raise ValueError("a blank row")
+    return spark.read.schema(schema).options(header=True, enforceSchema=True, mode="FAILFAST", **options).csv(path)
 
 
 def write_csv_verified(df: DataFrame, path: str) -> None:
