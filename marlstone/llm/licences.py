@@ -2,7 +2,8 @@
 
 Lines, pairs of lines, sentences, windows as long as a template and whole licence files are compared with
 licence templates by sparse TF-IDF cosine. Windows are left to templates of more than SHORT tokens, as a
-few words in any order make no notice. A text can reach the cosine with a template only if it holds one of the template's
+few words in any order make no notice; lines, pairs and sentences of more than 4 * SHORT different tokens are
+left to windows, as a short notice is too small a part of them. A text can reach the cosine with a template only if it holds one of the template's
 anchors, the tokens that the fewest files hold and whose squared weights add up to more than 1 - cosine
 squared; a window is cut where an anchor falls on its own place in the template. A file without a licence of its own takes that of the nearest directory above it that holds a licence file.
 """
@@ -116,7 +117,7 @@ def scan_licences(files: DataFrame, templates: DataFrame | None = None, cosine:
     pairs = F.zip_with(split, F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     sentences = F.split(F.regexp_replace("text", "\n", " "), "(?<=[.!?])\\s+")
     lines = likely.select("key", F.explode(F.array_distinct(F.concat(split, pairs, sentences))).alias("text"))
-    lines = lines.where(weights.may_reach(F.col("text"))).select("key", _tokens(F.col("text")).alias("tokens"))
+    lines = lines.where(weights.may_reach(F.col("text"))).select("key", _tokens(F.col("text")).alias("tokens")).where(F.size(F.array_distinct("tokens")) <= 4 * SHORT)
     parts = cut(lines.unionByName(_windows(likely, weights, cosine)).select("key", "tokens", F.concat(*[F.hex(F.xxhash64("tokens", F.lit(i))) for i in (0, 1)]).alias("unit")).distinct())
     # equal lines and windows are scored once
     own = best_licences(parts.select("unit", "tokens").dropDuplicates(["unit"]), weights, cosine)
