@@ -19,10 +19,14 @@ def coordinates(spark: SparkSession, d: str) -> DataFrame:
     return three.where("n > 1e-12").select("id", "label", F.transform("v", lambda x: x / F.col("n")).alias("v")).select("id", "label", "v", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.col("v")[2].alias("z"))
 
 
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, base_tag, glass, abv, price): the items where no vector is asked for."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("base_tag"), F.col("p_type").alias("glass"), F.col("p_size").alias("abv"), F.col("p_retailprice").alias("price"))
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(id, name, base_tag, glass, abv, price, embedding)"""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("base_tag"), F.col("p_type").alias("glass"), F.col("p_size").alias("abv"), F.col("p_retailprice").alias("price"))
-    return part.join(vectors(spark, d).select("id", F.col("v").alias("embedding")), "id", "left")
+    return parts(spark, d).join(vectors(spark, d).select("id", F.col("v").alias("embedding")), "id", "left")
 
 
 def likes(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import vectors
 
 
 #: At most twice so many nodes are treated as hubs, whatever the size of the graph.
@@ -60,6 +61,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def component_summaries(points: DataFrame, members: DataFrame, large: int = 1000) -> DataFrame:
+    """(id, v) and (id, component) to (component, n, medoid, mean_score, centroid).
+
+    The medoid has the greatest mean cosine to all members, itself included, then the least id;
+    the mean is its unit vector's product with the mean of all, so no pairs are formed. The
+    centroid is that mean at unit length, the medoid's vector where it is zero. Sums of components
+    of more than ``large`` members, at most 1 in ``large`` nodes, are sent to all executors.
+    Null and zero vectors are left out.
+    """
+    unit = vectors.normalised(points.select("id", "v")).join(members.select("id", "component"), "id")
+    each = unit.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    means = each.groupBy("component").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    marked = unit.join(F.broadcast(means.where(F.col("n") > large)), "component", "left")
+    small = marked.where("mean is null").drop("n", "mean").join(means.where(F.col("n") <= large), "component")
+    scored = marked.where("mean is not null").unionByName(small).withColumn("score", vectors.dot(F.col("v"), F.col("mean")))
+    best = scored.groupBy("component").agg(F.max("n").alias("n"), F.max(F.struct(F.round("score", 9).alias("order"), (-F.col("id")).alias("back"), "score", "v")).alias("b"), F.first("mean").alias("mean"))
+    length = vectors.norm(F.col("mean"))
+    centroid = F.when(length <= 1e-12, F.col("b.v")).otherwise(F.transform("mean", lambda x: x / F.col("length")))
+    return best.withColumn("length", length).select("component", "n", (-F.col("b.back")).alias("medoid"), F.col("b.score").alias("mean_score"), centroid.alias("centroid"))
+
+
 def edge_audit(neighbours: DataFrame, k: int) -> DataFrame:
     """Directed neighbours to one row of violation counts: sources without exactly k rows, ranks outside 1..k or repeated, repeated targets, loops, order by score and id, opposite scores that differ."""
     per = neighbours.groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.countDistinct("dst").alias("targets"), F.min("rank").alias("low"), F.max("rank").alias("high"))

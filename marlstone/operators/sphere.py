@@ -71,3 +71,32 @@ def mean_pooled(sentences: DataFrame) -> DataFrame:
     each = sentences.select("owner", F.posexplode("v").alias("i", "x")).groupBy("owner", "i").agg(F.avg("x").alias("x"))
     whole = each.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return whole.where("n > 1e-12").select("owner", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+
+
+def label_sums(points: DataFrame) -> DataFrame:
+    """(label, x, y, z) to (label, x, y, z, n): the sum of a label's points and its length."""
+    sums = points.groupBy("label").agg(*[F.sum(c).alias(c) for c in "xyz"])
+    return sums.withColumn("n", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+
+
+def cell_summary(points: DataFrame, bands: int, sectors: int) -> DataFrame:
+    """(x, y, z) to one row: points by cell of equal area (z bands by longitude sectors), empty cells counted as zero, beside the deviation and the empty cells expected of uniform points."""
+    cells = bands * sectors
+    band = F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z"))) + 1) / 2 * bands)
+    sector = F.floor((F.atan2("y", "x") + math.pi) / (2 * math.pi) * sectors)
+    counts = points.groupBy(F.least(band, F.lit(bands - 1)).alias("band"), F.least(sector, F.lit(sectors - 1)).alias("sector")).agg(F.count("*").alias("k"))
+    n, filled, share = F.coalesce(F.sum("k"), F.lit(0)), F.count("*"), 1 / cells
+    mean = n / cells
+    return counts.agg(
+        F.lit(cells).cast("long").alias("cells"), F.when(filled < cells, 0).otherwise(F.min("k")).cast("long").alias("low"), F.coalesce(F.max("k"), F.lit(0)).alias("high"), F.round(mean, 9).alias("mean"),
+        F.round(F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0)) / cells - mean * mean)), 9).alias("std"), (cells - filled).alias("empty_cells"),
+        F.round(F.sqrt(n * share * (1 - share)), 9).alias("expected_std"), F.round(cells * F.pow(F.lit(1 - share), n), 9).alias("expected_empty"),
+    )
+
+
+def compressed_share(pairs: DataFrame, source: str, observed: str, fraction: float) -> DataFrame:
+    """(n, compressed): of the ``fraction`` of rows of least ``source`` (at least one; those equal to the last all count), the share whose ``observed`` is less."""
+    total = pairs.agg(F.count("*").alias("total"))
+    wanted = F.greatest(F.lit(1.0), F.floor(F.lit(fraction) * F.col("total") + 0.5))
+    edge = counted(pairs, source).crossJoin(F.broadcast(total)).where(F.col("before") < wanted).agg(F.max(source).alias("edge"))
+    return pairs.crossJoin(F.broadcast(edge)).where(F.col(source) <= F.col("edge")).agg(F.count("*").alias("n"), F.avg((F.col(observed) < F.col(source)).cast("double")).alias("compressed"))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sphere
-from .relations import duckdb_sql, spark_sql
+from .relations import RELATIONS, duckdb_sql, spark_sql
+
+BANDS, SECTORS = 8, 16
+CELLS = BANDS * SECTORS
 
 _ANG = "acos(least(1.0, greatest(-1.0, score)))"
 _BOTH = f"SELECT p.src, p.dst, acos(least(1.0, greatest(-1.0, p.score))) AS a, acos(least(1.0, greatest(-1.0, c.score))) AS b FROM @pairs p JOIN @cpairs c ON p.src = c.src AND p.dst = c.dst WHERE p.src < p.dst"
@@ -26,10 +29,11 @@ SHARED = {
     "monotone_violations": f"SELECT count_if(b - prev < -1e-12) AS violations, count(*) AS n FROM (SELECT b, lag(b) OVER (PARTITION BY src ORDER BY a, dst) AS prev FROM ({_BOTH}) u) t",
     "stretch_deciles": f"SELECT decile, count(*) AS n, round(avg(b / a), 6) AS mean_stretch FROM (SELECT a, b, CASE WHEN a < q1 THEN 0 WHEN a < q2 THEN 1 WHEN a < q3 THEN 2 WHEN a < q4 THEN 3 WHEN a < q5 THEN 4 WHEN a < q6 THEN 5 WHEN a < q7 THEN 6 WHEN a < q8 THEN 7 WHEN a < q9 THEN 8 ELSE 9 END AS decile FROM ({_BOTH}) u CROSS JOIN (SELECT " + ", ".join(f"PCT(a, 0.{i}) AS q{i}" for i in range(1, 10)) + f" FROM ({_BOTH}) w) q) t GROUP BY decile",
     "cell_occupancy": "SELECT band, sector, count(*) AS n FROM (SELECT CAST(least(7, floor((z + 1) / 2 * 8)) AS BIGINT) AS band, CAST(least(15, floor((atan2(y, x) + pi()) / (2 * pi()) * 16)) AS BIGINT) AS sector FROM @c) t GROUP BY band, sector",
-    "bias_metrics": "SELECT round(sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)), 9) AS mean_norm FROM @c",
+    "bias_metrics": "SELECT round(m.n, 9) AS mean_norm, round(CASE WHEN m.n < 1e-15 THEN 0.5 ELSE avg(CASE WHEN c.x * m.x + c.y * m.y + c.z * m.z >= 0 THEN 1.0 ELSE 0.0 END) END, 9) AS best_hemisphere FROM @c c CROSS JOIN (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)) AS n FROM @c) m GROUP BY m.n",
     "covering_radius": "SELECT round(max(near), 6) AS radius FROM (SELECT p.id, min(acos(least(1.0, greatest(-1.0, p.x * c.x + p.y * c.y + p.z * c.z)))) AS near FROM @probes p CROSS JOIN @c c GROUP BY p.id) t",
     "cluster_separation": f"SELECT round(avg(CASE WHEN same THEN g END), 6) AS intra, round(avg(CASE WHEN NOT same THEN g END), 6) AS inter, round(avg(CASE WHEN NOT same THEN g END) / avg(CASE WHEN same THEN g END), 6) AS separation FROM (SELECT a.label = b.label AS same, acos(least(1.0, greatest(-1.0, p.score))) AS g FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst WHERE p.src < p.dst) t",
-    "silhouette": "SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM (SELECT src, max(CASE WHEN same THEN m END) AS a, min(CASE WHEN NOT same THEN m END) AS b FROM (SELECT p.src, sb.label, sa.label = sb.label AS same, avg(acos(least(1.0, greatest(-1.0, p.score)))) AS m FROM @cpairs p JOIN @c sa ON sa.id = p.src JOIN @c sb ON sb.id = p.dst GROUP BY 1, 2, 3) u GROUP BY src) t",
+    "silhouette": "SELECT round(avg(s), 6) AS silhouette, round(PCT(s, 0.5), 6) AS median FROM (SELECT CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM (SELECT src, max(CASE WHEN same THEN m END) AS a, min(CASE WHEN NOT same THEN m END) AS b FROM (SELECT p.src, sb.label, sa.label = sb.label AS same, avg(acos(least(1.0, greatest(-1.0, p.score)))) AS m FROM @cpairs p JOIN @c sa ON sa.id = p.src JOIN @c sb ON sb.id = p.dst GROUP BY 1, 2, 3) u GROUP BY src) t) w",
+    "centroid_spread": "SELECT round(min(g), 6) AS low, round(avg(g), 6) AS mean, round(max(g), 6) AS high FROM (SELECT acos(least(1.0, greatest(-1.0, (a.x * b.x + a.y * b.y + a.z * b.z) / (a.n * b.n)))) AS g FROM @means a JOIN @means b ON a.label < b.label WHERE a.n > 1e-12 AND b.n > 1e-12) t",
     "false_close_all": "SELECT count(*) AS false_close FROM (SELECT c.src, c.dst FROM @cknn c JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score, dst DESC) AS worst, count(*) OVER (PARTITION BY src) AS n FROM @pairs) p ON p.src = c.src AND p.dst = c.dst WHERE p.worst <= floor(p.n / 10)) t",
     "false_close_graph": "SELECT count(*) AS false_close FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score, p.dst DESC) AS worst, count(*) OVER (PARTITION BY p.src) AS n FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) w JOIN @cknn c ON c.src = w.src AND c.dst = w.dst WHERE w.worst <= greatest(1, ceil(w.n / 10))",
     "borda_rank": "SELECT label, CAST(ra + rb + rc AS BIGINT) AS borda FROM (SELECT label, row_number() OVER (ORDER BY round(ax, 9), label) - 1 AS ra, row_number() OVER (ORDER BY round(ay, 9), label) - 1 AS rb, row_number() OVER (ORDER BY round(az, 9) DESC, label) - 1 AS rc FROM (SELECT label, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM @c GROUP BY label) u) t",
@@ -55,4 +59,21 @@ def ks_uniform_sphere(spark: SparkSession, d: str) -> DataFrame:
     return sphere.ks_distance(angles, "x", (1 - F.cos("x")) / 2).select(F.round("ks", 9).alias("ks"))
 
 
-QUERIES |= {"angle_spearman": angle_spearman, "ks_uniform_sphere": ks_uniform_sphere}
+def cell_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The spread of the layout over 128 cells of equal area, beside what uniform points would give."""
+    return sphere.cell_summary(RELATIONS["c"][0](spark, d), BANDS, SECTORS)
+
+
+def nearest_compressed(spark: SparkSession, d: str) -> DataFrame:
+    """Of the nearest twentieth of the source pairs (equal angles at the edge all count), the share that the layout draws closer."""
+    both = spark_sql(f"SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u")(spark, d)
+    return sphere.compressed_share(both, "a", "b", 0.05).select("n", F.round("compressed", 9).alias("compressed"))
+
+
+QUERIES |= {"angle_spearman": angle_spearman, "ks_uniform_sphere": ks_uniform_sphere, "cell_summary": cell_summary, "nearest_compressed": nearest_compressed}
+_CELL = f"least({BANDS - 1}, floor((z + 1) / 2 * {BANDS})) * {SECTORS} + least({SECTORS - 1}, floor((atan2(y, x) + pi()) / (2 * pi()) * {SECTORS}))"
+ORACLES["cell_summary"] = duckdb_sql(
+    f"SELECT count(*) AS cells, min(k) AS low, max(k) AS high, round(avg(k), 9) AS mean, round(stddev_pop(k), 9) AS std, count_if(k = 0) AS empty_cells, round(sqrt(sum(k) / {CELLS} * (1 - 1.0 / {CELLS})), 9) AS expected_std, round({CELLS} * pow(1 - 1.0 / {CELLS}, sum(k)), 9) AS expected_empty"
+    f" FROM (SELECT r.range, count(p.cell) AS k FROM range({CELLS}) r LEFT JOIN (SELECT CAST({_CELL} AS BIGINT) AS cell FROM @c) p ON p.cell = r.range GROUP BY r.range) t"
+)
+ORACLES["nearest_compressed"] = duckdb_sql(f"SELECT count(*) AS n, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 9) AS compressed FROM (SELECT a, b, rank() OVER (ORDER BY a) AS r, count(*) OVER () AS n FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u) w) t WHERE r <= greatest(1, floor(0.05 * n + 0.5))")

@@ -17,15 +17,14 @@ SHARED = {
     "rank_matrix": "SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS BIGINT) AS rank FROM @pairs",
     "recall_at_k": "SELECT round(avg(hits) / 5, 9) AS recall, round(avg(CASE WHEN hits = 5 THEN 1.0 ELSE 0.0 END), 9) AS full_recovery, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9) AS any_hit, round(avg(hits), 9) AS mean_matches FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t",
     "topk_parity": "SELECT count(*) AS sources, count_if(hits = 5) AS same_sets FROM (SELECT k.src, count(c.dst) AS hits FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t",
-    "true_rank_summary": "SELECT round(PCT(r.rank, 0.5), 6) AS median_rank, round(PCT(r.rank, 0.9), 6) AS p90_rank, max(r.rank) AS max_rank, round(avg(CASE WHEN r.rank <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall_10, round(avg(CASE WHEN r.rank <= 50 THEN 1.0 ELSE 0.0 END), 9) AS recall_50 FROM @knn k JOIN (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS BIGINT) AS rank FROM @cpairs) r ON k.src = r.src AND k.dst = r.dst",
+    "true_rank_summary": "SELECT round(PCT(r.rank, 0.5), 6) AS median_rank, round(PCT(r.rank, 0.9), 6) AS p90_rank, max(r.rank) AS max_rank, round(avg(CASE WHEN r.rank <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall_10, round(avg(CASE WHEN r.rank <= 20 THEN 1.0 ELSE 0.0 END), 9) AS recall_20, round(avg(CASE WHEN r.rank <= 50 THEN 1.0 ELSE 0.0 END), 9) AS recall_50 FROM @knn k JOIN (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS BIGINT) AS rank FROM @cpairs) r ON k.src = r.src AND k.dst = r.dst",
     "intruders": "SELECT count(*) AS n, count(DISTINCT r.src) AS sources, round(PCT(r.rank, 0.5), 6) AS median_rank, round(PCT(r.rank, 0.9), 6) AS p90_rank, max(r.rank) AS max_rank FROM @cknn c JOIN (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS BIGINT) AS rank FROM @pairs) r ON c.src = r.src AND c.dst = r.dst LEFT JOIN @knn k ON c.src = k.src AND c.dst = k.dst WHERE k.src IS NULL",
     "inspection_table": "SELECT k.src, count(c.dst) AS hits, min(r.rank) AS best_coordinate_rank, max(r.rank) AS worst_coordinate_rank FROM @knn k JOIN (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS BIGINT) AS rank FROM @cpairs) r ON k.src = r.src AND k.dst = r.dst LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src",
     "containment": "SELECT round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 9) AS containment FROM @knn k JOIN @v a ON a.id = k.src JOIN @v b ON b.id = k.dst",
     "cluster_flow": "SELECT f.ca, f.cb, round((f.n + coalesce(g.n, 0)) / sqrt(sa.n * 1.0 * sb.n), 9) AS flow FROM (SELECT a.label AS ca, b.label AS cb, count(*) AS n FROM @knn k JOIN @v a ON a.id = k.src JOIN @v b ON b.id = k.dst GROUP BY 1, 2) f LEFT JOIN (SELECT b.label AS ca, a.label AS cb, count(*) AS n FROM @knn k JOIN @v a ON a.id = k.src JOIN @v b ON b.id = k.dst GROUP BY 1, 2) g ON f.ca = g.ca AND f.cb = g.cb JOIN (SELECT label, count(*) AS n FROM @v GROUP BY label) sa ON sa.label = f.ca JOIN (SELECT label, count(*) AS n FROM @v GROUP BY label) sb ON sb.label = f.cb",
-    "component_summary": "SELECT label, id AS medoid, round(mean_score, 9) AS mean_score FROM (SELECT a.label, a.id, (1.0 + sum(p.score)) / (count(*) + 1) AS mean_score, row_number() OVER (PARTITION BY a.label ORDER BY round((1.0 + sum(p.score)) / (count(*) + 1), 9) DESC, a.id) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst AND a.label = b.label GROUP BY a.label, a.id) t WHERE r = 1",
     "within_cluster_recall": "SELECT round(avg(hit), 9) AS recall FROM (SELECT k.src, avg(CASE WHEN c.dst IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM (SELECT * FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score DESC, p.dst) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst AND a.label = b.label) x WHERE r <= 5) k LEFT JOIN (SELECT * FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score DESC, p.dst) AS r FROM @cpairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst AND a.label = b.label) y WHERE r <= 5) c ON k.src = c.src AND k.dst = c.dst GROUP BY k.src) t",
-    "nonedge_sample": "SELECT src, dst, CAST(r AS BIGINT) AS r FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY md5(concat('7', '-', CAST(p.src AS STRING), '-', CAST(p.dst AS STRING))), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 3",
-    "ranking_triples": "SELECT k.src AS center, k.dst AS near_id, n.dst AS far_id FROM @knn k JOIN (SELECT src, dst FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY md5(concat('7', '-', CAST(p.src AS STRING), '-', CAST(p.dst AS STRING))), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 2) n ON n.src = k.src",
+    "nonedge_sample": "SELECT src, dst, CAST(r AS BIGINT) AS r FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY sha2(concat('7', char(0), CAST(p.src AS STRING), char(0), CAST(p.dst AS STRING)), 256), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 3",
+    "ranking_triples": "SELECT k.src AS center, k.dst AS near_id, n.dst AS far_id FROM (SELECT a_id AS src, b_id AS dst FROM @edges UNION ALL SELECT b_id, a_id FROM @edges) k JOIN (SELECT src, dst FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY sha2(concat('7', char(0), CAST(p.src AS STRING), char(0), CAST(p.dst AS STRING)), 256), p.dst) AS r FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) t WHERE r <= 2) n ON n.src = k.src",
     "query_recall": "SELECT round(sum(CASE WHEN k.rank <= 1 AND c.rank <= 1 THEN 1.0 ELSE 0.0 END) / count(DISTINCT k.src), 9) AS recall_1, round(sum(CASE WHEN k.rank <= 3 AND c.rank <= 3 THEN 1.0 ELSE 0.0 END) / (3 * count(DISTINCT k.src)), 9) AS recall_3, round(sum(CASE WHEN c.rank <= 5 THEN 1.0 ELSE 0.0 END) / (5 * count(DISTINCT k.src)), 9) AS recall_5, round(avg(k.score), 6) AS mean_score FROM @knn k LEFT JOIN @cknn c ON k.src = c.src AND k.dst = c.dst",
     "precision_lift": "SELECT round(avg(p), 9) AS precision_at_5, round(avg(p / share), 9) AS lift FROM (SELECT a.label, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS p, max(s.share) AS share FROM @knn k JOIN @v a ON a.id = k.src JOIN @v b ON b.id = k.dst JOIN (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM @v) AS share FROM @v GROUP BY label) s ON s.label = a.label GROUP BY a.label) t",
     "spot_check": "SELECT CAST(k.rank AS BIGINT) AS rank, k.dst AS in_vectors, c.dst AS in_coordinates, o.src IS NOT NULL AS shared FROM @knn k JOIN @cknn c ON c.src = k.src AND c.rank = k.rank LEFT JOIN @cknn o ON o.src = k.src AND o.dst = k.dst WHERE k.src = 17",
@@ -34,7 +33,7 @@ SHARED = {
 }
 
 QUERIES = {name: spark_sql(text) for name, text in SHARED.items()}
-ORACLES = {name: duckdb_sql(text).replace(" AS STRING)", " AS VARCHAR)") for name, text in SHARED.items()}
+ORACLES = {name: duckdb_sql(text).replace(" AS STRING)", " AS VARCHAR)").replace("sha2(", "sha256(").replace("), 256)", "))").replace("char(0)", "chr(0)") for name, text in SHARED.items()}
 
 
 #: Of each user the five latest likes, of each the five nearest that the user does not like, of an item the best score, then the five best.
@@ -110,6 +109,14 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.components(v.select("id"), vectors.union_edges(vectors.knn(v, K)).where("mutual"))
 
 
+def component_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of each component of the union graph: its size, its medoid with the mean similarity to all members, and the first coordinate of its centroid."""
+    v = domain.vectors(spark, d)
+    members = graphs.components(v.select("id"), vectors.union_edges(vectors.knn(v, K)))
+    found = graphs.component_summaries(v, members)
+    return found.select("component", "n", "medoid", F.round("mean_score", 6).alias("mean_score"), F.round(F.col("centroid")[0], 6).alias("first"))
+
+
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     """The unit mean of each label's vectors, one row per dimension."""
     each = domain.vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
@@ -133,8 +140,8 @@ _OWN = {
     "mips_masked": (mips_masked, "SELECT id, row_number() OVER (ORDER BY round(0.5 * v[1] + 0.25 * v[8] + 0.25 * v[41], 12) DESC, id) AS rank, round(0.5 * v[1] + 0.25 * v[8] + 0.25 * v[41], 6) AS score FROM @v ORDER BY rank LIMIT 10"),
     "taste_recommend": (taste_recommend, "SELECT id, row_number() OVER (ORDER BY round(v[1] / 3 + v[2] / 6 + v[17] / 2, 12) DESC, id) AS rank, round(v[1] / 3 + v[2] / 6 + v[17] / 2, 6) AS score FROM @v ORDER BY rank LIMIT 8"),
     "knn_euclid": (knn_euclid, "SELECT src, dst, rank, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 12), dst) AS rank FROM (SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) ** 2 AS dist FROM @v a JOIN @v b ON a.id <> b.id)) WHERE rank <= 5"),
-    "vector_validate": (vector_validate, "SELECT count(*) AS n, 0::BIGINT AS empty_vectors, 0::BIGINT AS non_finite, 0::BIGINT AS zero_norms, count(DISTINCT len(v)) AS dimensions, count(*) - count(DISTINCT id) AS repeated_ids, count_if(id IS NULL)::BIGINT AS null_ids FROM @v"),
-    "topology_audit": (topology_audit, "SELECT count_if(n <> 5)::BIGINT AS bad_sizes, 0::BIGINT AS bad_ranks, 0::BIGINT AS repeated_targets, 0::BIGINT AS loops, 0::BIGINT AS bad_order, 0::BIGINT AS bad_opposites FROM (SELECT src, count(*) AS n FROM @knn GROUP BY src)"),
+    "vector_validate": (vector_validate, "SELECT count(*) AS n, count_if(v IS NULL OR len(v) = 0)::BIGINT AS empty_vectors, count_if(len(list_filter(v, lambda x: NOT isfinite(x))) > 0)::BIGINT AS non_finite, count_if(list_dot_product(v, v) <= 1e-24)::BIGINT AS zero_norms, count(DISTINCT len(v)) AS dimensions, count(*) - count(DISTINCT id) AS repeated_ids, count_if(id IS NULL)::BIGINT AS null_ids FROM @v"),
+    "topology_audit": (topology_audit, "SELECT count_if(n <> 5)::BIGINT AS bad_sizes, count_if(ranks <> n OR low < 1 OR high > 5)::BIGINT AS bad_ranks, count_if(targets <> n)::BIGINT AS repeated_targets, (SELECT count(*) FROM @knn WHERE src = dst) AS loops, (SELECT count(*) FROM @knn a JOIN @knn b ON a.src = b.src AND b.rank = a.rank + 1 WHERE b.score > a.score OR (b.score = a.score AND b.dst < a.dst)) AS bad_order, (SELECT count(*) FROM @knn a JOIN @knn b ON a.src = b.dst AND a.dst = b.src WHERE abs(a.score - b.score) > 1e-9) AS bad_opposites FROM (SELECT src, count(*) AS n, count(DISTINCT rank) AS ranks, count(DISTINCT dst) AS targets, min(rank) AS low, max(rank) AS high FROM @knn GROUP BY src)"),
     "connected_components": (connected_components, ""),
     "cluster_centroids": (cluster_centroids, "SELECT label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM @v) GROUP BY label, pos)"),
     "cluster_reps": (cluster_reps, "SELECT label, id, rank, round(score, 6) AS score FROM (SELECT label, id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM (SELECT a.label, a.id, round(list_cosine_similarity(a.v, m.c), 9) AS score FROM @v a JOIN (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM @v) GROUP BY label, pos) GROUP BY label) m ON m.label = a.label)) WHERE rank <= 8"),
@@ -144,5 +151,10 @@ ORACLES |= {name: duckdb_sql(sql) for name, (_, sql) in _OWN.items() if sql}
 # components by a recursive walk over the mutual edges
 ORACLES["connected_components"] = duckdb_sql("SELECT n.id, least(n.id, coalesce(w.low, n.id)) AS component FROM @v n LEFT JOIN (SELECT id, min(other) AS low FROM walk GROUP BY id) w ON w.id = n.id /* @edges */").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT n.id,", ", walk AS (SELECT a_id AS id, b_id AS other FROM edges WHERE mutual UNION SELECT b_id, a_id FROM edges WHERE mutual UNION SELECT w.id, CASE WHEN e.a_id = w.other THEN e.b_id ELSE e.a_id END FROM walk w JOIN edges e ON e.mutual AND (e.a_id = w.other OR e.b_id = w.other)) SELECT n.id,", 1)
 
+#: Components of the union graph by a recursive walk, means over all pairs of members.
+_WALK = ", ends AS MATERIALIZED (SELECT a_id AS id, b_id AS other FROM edges UNION SELECT b_id, a_id FROM edges), walk AS (SELECT id, other FROM ends UNION SELECT w.id, e.other FROM walk w JOIN ends e ON e.id = w.other), member AS MATERIALIZED (SELECT n.id, least(n.id, coalesce(w.low, n.id)) AS component FROM v n LEFT JOIN (SELECT id, min(other) AS low FROM walk GROUP BY id) w ON w.id = n.id)"
+_SUMMARY = "SELECT m.component, m.n, m.id AS medoid, round(m.mean_score, 6) AS mean_score, round(c.first, 6) AS first FROM (SELECT component, id, mean_score, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY round(mean_score, 9) DESC, id) AS r FROM (SELECT a.component, a.id, (1 + coalesce(sum(p.score), 0)) / (1 + count(p.score)) AS mean_score FROM member a LEFT JOIN (SELECT p.src, p.score, b.component FROM @pairs p JOIN member b ON b.id = p.dst) p ON p.src = a.id AND p.component = a.component GROUP BY 1, 2) s) m JOIN (SELECT component, max(CASE WHEN pos = 1 THEN x END) / sqrt(sum(x * x)) AS first FROM (SELECT component, pos, avg(x) AS x FROM (SELECT b.component, generate_subscripts(v, 1) AS pos, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM @v a JOIN member b ON a.id = b.id) u GROUP BY 1, 2) u GROUP BY component) c ON c.component = m.component WHERE m.r = 1 /* @edges */"
+QUERIES["component_summary"] = component_summary
+ORACLES["component_summary"] = duckdb_sql(_SUMMARY).replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT m.component, m.n", _WALK + " SELECT m.component, m.n", 1)
 QUERIES["favor_recommend"] = favor_recommend
 ORACLES["favor_recommend"] = duckdb_sql(_FAVOR)

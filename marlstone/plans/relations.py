@@ -23,10 +23,12 @@ RELATIONS: dict[str, tuple[Builder, str]] = {
     "pairs": (lambda s, d: vectors.all_pairs(domain.vectors(s, d)), "SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM @v a JOIN @v b ON a.id <> b.id"),
     "knn": (lambda s, d: vectors.knn(domain.vectors(s, d), K), "SELECT src, dst, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM @pairs) WHERE rank <= 5"),
     "c": (domain.coordinates, "SELECT id, label, [v[1] / n, v[2] / n, v[3] / n] AS v, v[1] / n AS x, v[2] / n AS y, v[3] / n AS z FROM (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS n FROM @v) WHERE n > 1e-12"),
+    "means": (lambda s, d: sphere.label_sums(domain.coordinates(s, d)), "SELECT label, sum(x) AS x, sum(y) AS y, sum(z) AS z, sqrt(sum(x) * sum(x) + sum(y) * sum(y) + sum(z) * sum(z)) AS n FROM @c GROUP BY label"),
     "cpairs": (lambda s, d: vectors.all_pairs(domain.coordinates(s, d)), "SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM @c a JOIN @c b ON a.id <> b.id"),
     "cknn": (lambda s, d: vectors.knn(domain.coordinates(s, d), K), "SELECT src, dst, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM @cpairs) WHERE rank <= 5"),
     "edges": (lambda s, d: vectors.union_edges(vectors.knn(domain.vectors(s, d), K)), "SELECT least(src, dst) AS a_id, greatest(src, dst) AS b_id, max(score) AS score, max(CASE WHEN src < dst THEN rank END) AS a_rank, max(CASE WHEN src > dst THEN rank END) AS b_rank, max(CASE WHEN src < dst THEN rank END) IS NOT NULL AND max(CASE WHEN src > dst THEN rank END) IS NOT NULL AS mutual FROM @knn GROUP BY 1, 2"),
     "probes": (lambda s, d: sphere.fibonacci_sphere(s, PROBES), f"SELECT id, sqrt(greatest(0.0, 1 - z * z)) * cos(phi) AS x, sqrt(greatest(0.0, 1 - z * z)) * sin(phi) AS y, z FROM (SELECT range AS id, 1 - 2 * (range + 0.5::DOUBLE) / {PROBES} AS z, (range + 0.5::DOUBLE) * pi() * (1 + sqrt(5)) AS phi FROM range({PROBES}))"),
+    "parts": (domain.parts, "SELECT p_partkey AS id, p_name AS name, p_brand AS base_tag, p_type AS glass, p_size AS abv, p_retailprice AS price FROM part"),
     "items": (domain.items, "SELECT p_partkey AS id, p_name AS name, p_brand AS base_tag, p_type AS glass, p_size AS abv, p_retailprice AS price, v AS embedding FROM part LEFT JOIN @v ON p_partkey = @v.id"),
     "likes": (domain.likes, "SELECT o_custkey AS user_id, l_partkey AS item_id, max(o_orderdate) AS created_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "bridge": (domain.bridge, "SELECT l_orderkey AS cocktail_id, l_partkey AS ingredient_id, l_quantity AS amount, l_returnflag AS unit FROM lineitem"),
