@@ -13,9 +13,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-def coordinates(spark: SparkSession, d: str) -> DataFrame:
-    """(id, v, x, y, z, label): the first three dimensions at unit length."""
-    three = vectors(spark, d).select("id", "label", F.slice("v", 1, 3).alias("v")).withColumn("n", F.sqrt(F.col("v")[0] * F.col("v")[0] + F.col("v")[1] * F.col("v")[1] + F.col("v")[2] * F.col("v")[2]))
+def coordinates(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
+    """(id, v, x, y, z, label): three dimensions from ``first`` on, at unit length."""
+    three = vectors(spark, d).select("id", "label", F.slice("v", first, 3).alias("v")).withColumn("n", F.sqrt(F.col("v")[0] * F.col("v")[0] + F.col("v")[1] * F.col("v")[1] + F.col("v")[2] * F.col("v")[2]))
     return three.where("n > 1e-12").select("id", "label", F.transform("v", lambda x: x / F.col("n")).alias("v")).select("id", "label", "v", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.col("v")[2].alias("z"))
 
 

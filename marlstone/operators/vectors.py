@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,20 @@ def validate(vectors: DataFrame) -> DataFrame:
     ids = vectors.groupBy("id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_ids"), F.count_if(F.col("id").isNull()).alias("null_ids"))
     rest = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull() | (F.size("v") == 0)).alias("empty_vectors"), F.count_if(bad).alias("non_finite"), F.count_if(~bad & (norm(F.col("v")) <= 1e-12)).alias("zero_norms"), F.countDistinct(F.size("v")).alias("dimensions"))
     return rest.join(F.broadcast(ids))
+
+
+def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """(id, v) to ((id, v) of k principal components at unit length, the share of the variance that each explains).
+
+    The covariance is summed in the executors; only its square of the dimension comes to the
+    driver. Components point so that their largest weight is positive. Null vectors are left out.
+    """
+    kept = vectors.where("v is not null").select("id", "v")
+    means = {r["i"]: r["m"] for r in kept.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()}
+    centre = F.array(*[F.lit(means[i]) for i in range(len(means))])
+    centred = kept.select("id", array_to_vector(F.zip_with("v", centre, lambda x, m: x - m)).alias("x"))
+    model = PCA(k=k, inputCol="x", outputCol="y").fit(centred)
+    weights = model.pc.toArray()
+    signs = [1.0 if column[np.abs(column).argmax()] > 0 else -1.0 for column in weights.T]
+    turned = F.transform(vector_to_array("y"), lambda y, i: y * F.element_at(F.array(*map(F.lit, signs)), i + 1))
+    return normalised(model.transform(centred).select("id", turned.alias("v"))), [float(x) for x in model.explainedVariance.toArray()]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sphere
-from .relations import RELATIONS, duckdb_sql, spark_sql
+from ..operators import domain, selection, sphere, vectors
+from .relations import RELATIONS, K, duckdb_sql, spark_sql
 
 BANDS, SECTORS = 8, 16
 CELLS = BANDS * SECTORS
@@ -36,7 +36,6 @@ SHARED = {
     "centroid_spread": "SELECT round(min(g), 6) AS low, round(avg(g), 6) AS mean, round(max(g), 6) AS high FROM (SELECT acos(least(1.0, greatest(-1.0, (a.x * b.x + a.y * b.y + a.z * b.z) / (a.n * b.n)))) AS g FROM @means a JOIN @means b ON a.label < b.label WHERE a.n > 1e-12 AND b.n > 1e-12) t",
     "false_close_all": "SELECT count(*) AS false_close FROM (SELECT c.src, c.dst FROM @cknn c JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score, dst DESC) AS worst, count(*) OVER (PARTITION BY src) AS n FROM @pairs) p ON p.src = c.src AND p.dst = c.dst WHERE p.worst <= floor(p.n / 10)) t",
     "false_close_graph": "SELECT count(*) AS false_close FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score, p.dst DESC) AS worst, count(*) OVER (PARTITION BY p.src) AS n FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) w JOIN @cknn c ON c.src = w.src AND c.dst = w.dst WHERE w.worst <= greatest(1, ceil(w.n / 10))",
-    "borda_rank": "SELECT label, CAST(ra + rb + rc AS BIGINT) AS borda FROM (SELECT label, row_number() OVER (ORDER BY round(ax, 9), label) - 1 AS ra, row_number() OVER (ORDER BY round(ay, 9), label) - 1 AS rb, row_number() OVER (ORDER BY round(az, 9) DESC, label) - 1 AS rc FROM (SELECT label, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM @c GROUP BY label) u) t",
     "gate_check": "SELECT metric, value, bound, value <= bound AS passed FROM (SELECT 'norm_error' AS metric, round(max(abs(sqrt(x * x + y * y + z * z) - 1)), 9) AS value, 1e-12 AS bound FROM @c UNION ALL SELECT 'mean_norm', round(sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)), 9), 0.4 FROM @c) t",
     "frontier_specs": "SELECT a.a, g.gamma, CASE WHEN a.a + (3.0 - a.a) * g.gamma / 2 > 4.5 THEN 'stretch too steep' END AS rejected FROM (SELECT 1.0 AS a UNION ALL SELECT 1.2 UNION ALL SELECT 1.5) a CROSS JOIN (SELECT 1.5 AS gamma UNION ALL SELECT 2.0 UNION ALL SELECT 3.0 UNION ALL SELECT 4.0) g",
     "relation_recall": "SELECT round(avg(CASE WHEN d.ca IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall FROM (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) u WHERE r <= 3) s LEFT JOIN (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) w WHERE r <= 3) d ON d.ca = s.ca AND d.cb = s.cb",
@@ -77,3 +76,38 @@ ORACLES["cell_summary"] = duckdb_sql(
     f" FROM (SELECT r.range, count(p.cell) AS k FROM range({CELLS}) r LEFT JOIN (SELECT CAST({_CELL} AS BIGINT) AS cell FROM @c) p ON p.cell = r.range GROUP BY r.range) t"
 )
 ORACLES["nearest_compressed"] = duckdb_sql(f"SELECT count(*) AS n, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 9) AS compressed FROM (SELECT a, b, rank() OVER (ORDER BY a) AS r, count(*) OVER () AS n FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u) w) t WHERE r <= greatest(1, floor(0.05 * n + 0.5))")
+
+
+#: Layouts that are compared: the first of the three dimensions that each takes.
+CANDIDATES = {"dims 1-3": 1, "dims 4-6": 4, "dims 7-9": 7}
+
+
+def borda_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate layouts by the sum of their places in separation, recall and distance from uniform."""
+    near = vectors.knn(domain.vectors(spark, d), K).select("src", "dst")
+    found = None
+    for name, first in CANDIDATES.items():
+        points = domain.coordinates(spark, d, first)
+        label = points.select("id", "label")
+        angles = vectors.all_pairs(points).where("src < dst").select("src", "dst", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score")))).alias("x"))
+        both = angles.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").select("x", (F.col("a") == F.col("b")).alias("same"))
+        separation = both.agg(F.round(F.avg(F.expr("if(same, null, x)")) / F.avg(F.expr("if(same, x, null)")), 9).alias("separation"))
+        hits = vectors.knn(points, K).select("src", "dst").join(near, ["src", "dst"]).agg(F.count("*").alias("hits"))
+        recall = points.agg(F.count("*").alias("n")).crossJoin(hits).select(F.round(F.col("hits") / (K * F.col("n")), 9).alias("recall"))
+        ks = sphere.ks_distance(angles, "x", (1 - F.cos("x")) / 2).select(F.round("ks", 9).alias("ks"))
+        row = separation.crossJoin(recall).crossJoin(ks).select(F.lit(name).alias("name"), "separation", "recall", "ks")
+        found = row if found is None else found.unionByName(row)
+    return selection.borda(found, ["separation", "recall"], ["ks"])
+
+
+def _candidate_sql(name: str, s: int) -> str:
+    points = f"SELECT id, label, [v[{s}], v[{s + 1}], v[{s + 2}]] AS u FROM v WHERE sqrt(v[{s}] ** 2 + v[{s + 1}] ** 2 + v[{s + 2}] ** 2) > 1e-12"
+    both = "SELECT a.id AS src, b.id AS dst, a.label = b.label AS same, round(list_cosine_similarity(a.u, b.u), 12) AS score FROM c a JOIN c b ON a.id <> b.id"
+    hits = "SELECT count(*) FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM p) q JOIN knn k ON k.src = q.src AND k.dst = q.dst WHERE r <= 5"
+    ks = "SELECT max(greatest(r / n - cdf, cdf - (r - 1) / n)) FROM (SELECT (1 - score) / 2 AS cdf, row_number() OVER (ORDER BY score DESC) * 1.0 AS r, count(*) OVER () AS n FROM p WHERE src < dst)"
+    return f"SELECT * FROM (WITH c AS ({points}), p AS MATERIALIZED ({both}) SELECT '{name}' AS name, round(avg(CASE WHEN NOT same THEN acos(score) END) / avg(CASE WHEN same THEN acos(score) END), 9) AS separation, round(({hits}) / (5.0 * (SELECT count(*) FROM c)), 9) AS recall, round(({ks}), 9) AS ks FROM p)"
+
+
+QUERIES["borda_rank"] = borda_rank
+_PLACES = "row_number() OVER (ORDER BY separation DESC, name) + row_number() OVER (ORDER BY recall DESC, name) + row_number() OVER (ORDER BY ks, name) - 3"
+ORACLES["borda_rank"] = duckdb_sql(f"SELECT *, CAST({_PLACES} AS BIGINT) AS borda FROM (" + " UNION ALL ".join(_candidate_sql(n, s) for n, s in CANDIDATES.items()) + ") t /* @knn */")

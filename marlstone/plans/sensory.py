@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import domain, ingest, projection, search, selection
+from ..operators import domain, ingest, ledger, projection, search, selection, sphere, vectors
 from ..session import table
 from ..streaming.likes import likes_by_window
 
@@ -68,7 +68,30 @@ def hub_mst(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cost_guard(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.batch_cost(28896, 1000, 10, "0.15", "0.60", spark)
+    """The cost of all requests of the items, and whether a job for them may be made beside none."""
+    requests = domain.parts(spark, d).count() * 48
+    cost = ingest.batch_cost(requests, 845, 32, "0.15", "1.25", spark)
+    verdict = ledger.guard(spark.createDataFrame([], ledger.SCHEMA), cost, "0.00")
+    return cost.select("requests").crossJoin(F.broadcast(verdict)).select("requests", F.col("projected").cast("double").alias("projected"), "verdict")
+
+
+def mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of each label's vectors at unit length: its first and last coordinate."""
+    pooled = sphere.mean_pooled(domain.vectors(spark, d).select(F.col("label").alias("owner"), "v"))
+    return pooled.select("owner", F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
+def wide_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as 64 columns and back: the weighted sum of the coordinates."""
+    names = [f"d{i}" for i in range(64)]
+    back = ingest.wide_to_vector(ingest.vector_to_wide(domain.vectors(spark, d), names), names)
+    return back.select("id", F.round(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x), 6).alias("weighted"))
+
+
+def pca_explained(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the variance that each of eight principal components explains."""
+    _, shares = vectors.pca(domain.vectors(spark, d), 8)
+    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(shares)], "component int, explained double")
 
 
 def events_by_window(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +108,9 @@ _ALL = [
     ("balanced_query", balanced_query, "WITH c AS (SELECT * FROM (VALUES (0::BIGINT, 'taste', 2.0::DOUBLE), (4, 'taste', 1.0), (20, 'fruit', 1.0)) t(axis, category, weight)) SELECT axis, round(weight / sum(weight) OVER (PARTITION BY category) / (SELECT count(DISTINCT category) FROM c), 9) AS share FROM c"),
     ("extract_descriptors", extract_descriptors, "SELECT doc_id, category, code, place FROM (SELECT doc_id, category, code, instr(text, alias) AS place, row_number() OVER (PARTITION BY doc_id, category ORDER BY instr(text, alias), ord) AS r FROM documents, (VALUES ('article', 'the', 'the', 0), ('article', 'a', 'a ', 1), ('link', 'and', 'and', 0), ('link', 'of', 'of ', 1)) t(category, code, alias, ord) WHERE contains(text, alias)) WHERE r = 1"),
     ("events_by_window", events_by_window, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-    ("name_search", name_search, ""), ("kmedoids", kmedoids, ""), ("kcenter_select", kcenter_select, ""), ("hub_mst", hub_mst, ""), ("cost_guard", cost_guard, "SELECT 28896::BIGINT AS requests, CAST(28896 * (1000 * 0.15 + 10 * 0.60) / 1000000 AS DECIMAL(18, 6)) AS cost"),
+    ("mean_pool", mean_pool, "SELECT owner, round(max(CASE WHEN pos = 1 THEN x END) / sqrt(sum(x * x)), 6) AS first, round(max_by(x, pos) / sqrt(sum(x * x)), 6) AS last FROM (SELECT label AS owner, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY owner"),
+    ("wide_round_trip", wide_round_trip, "SELECT id, round(sum(x * pos), 6) AS weighted FROM (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY id"),
+    ("pca_explained", pca_explained, ""), ("name_search", name_search, ""), ("kmedoids", kmedoids, ""), ("kcenter_select", kcenter_select, ""), ("hub_mst", hub_mst, ""), ("cost_guard", cost_guard, "SELECT requests, projected, CASE WHEN projected >= 10 THEN 'hard block' WHEN projected >= 7.5 THEN 'soft stop' ELSE 'allowed' END AS verdict FROM (SELECT requests, CAST(0.5 + requests * (845 * 0.15 + 32 * 1.25) / 1000000 AS DOUBLE) AS projected FROM (SELECT count(*) * 48 AS requests FROM part))"),
 ]
 QUERIES = {name: f for name, f, _ in _ALL}
 ORACLES = {name: sql for name, _, sql in _ALL if sql}

@@ -34,3 +34,20 @@ def manifest_check(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     joined = files.join(manifest, "name", "full")
     problem = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "undeclared").when(F.col("found") != F.col("sha256"), "changed")
     return joined.select("name", problem.alias("problem")).where("problem is not null")
+
+
+def read_registry(spark: SparkSession, path: str, schema: T.StructType, sha256: str, expected: DataFrame, order: str, texts: list[str]) -> DataFrame:
+    """A small table in one CSV file that must have the given SHA-256, the schema's header, exactly the rows of ``expected`` (some of its columns) and no blank text in ``texts``; texts are trimmed and rows sorted by ``order``."""
+    found = [r["h"] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).take(2)]
+    if found != [sha256]:
+        raise ValueError(f"{path} has another SHA-256 than the one named")
+    rows = read_csv(spark, path, schema)
+    named = rows.select(*expected.columns)
+    if named.exceptAll(expected).limit(1).count() or expected.exceptAll(named).limit(1).count():
+        raise ValueError(f"{path} has other rows than expected")
+    blank = F.lit(False)
+    for name in texts:
+        blank = blank | F.coalesce(F.trim(name) == "", F.lit(True))
+    if rows.where(blank).limit(1).count():
+        raise ValueError(f"{path} has a blank text")
+    return rows.withColumns({name: F.trim(name) for name in texts}).orderBy(order)
