@@ -1,7 +1,7 @@
 """Vector operators: validation, exact neighbours and all-pairs similarities in blocks, inner-product ranking.
 
-Exact similarity of all rows is work that grows with their square; it is dealt out as pairs of
-blocks of bounded size, one matrix product each, and only what is asked for leaves a block.
+Exact similarity of all rows is work that grows with their square; it is dealt out as tiles of
+bounded size, a matrix product for each two blocks, and only what is asked for leaves a tile.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task holds two blocks and their similarities.
+#: Rows of a block; a task compares two blocks at a time.
 BLOCK_ROWS = 2048
-#: At least so many source blocks, so that small inputs use all cores.
-MIN_BLOCKS = 8
+#: Bytes of the vectors that a task holds as sources.
+GROUP_BYTES = 32 << 20
+#: Small inputs are dealt out in groups of so many rows at least.
+MIN_ROWS = 256
+MAX_TASKS = 20_000
 #: Scores are compared after rounding to so many places, so that equal vectors tie.
 PLACES = 12
 
@@ -38,67 +41,127 @@ def normalised(vectors: DataFrame, v: str = "v") -> DataFrame:
     return vectors.where(F.col(v).isNotNull()).withColumn("_n", n).where("_n > 1e-12").withColumn(v, F.transform(v, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def _block_pairs(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """(id, v) to rows (a_id, a_v, b_id, b_v): every block of sources with every block of targets."""
-    n = vectors.count()
-    targets = max(1, math.ceil(n / block_rows))
-    sources = max(MIN_BLOCKS, targets)
+def _tiles(vectors: DataFrame, block_rows: int, group_bytes: int) -> tuple[DataFrame, int]:
+    """(id, v) to rows (tile, kind, ids, vs), sorted by tile and kind within partitions, and the number of spans.
 
-    def packed(count: int, side: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(count)).alias(side)
-        return vectors.select(block, "id", "v").groupBy(side).agg(F.collect_list("id").alias(f"{side}_id"), F.collect_list("v").alias(f"{side}_v"))
-
-    a = packed(sources, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(targets - 1)))).withColumn("b", F.col("b").cast("long"))
-    return a.repartition(sources * targets if sources * targets < 4096 else 4096, "a", "b").join(packed(targets, "b"), "b").select("a_id", "a_v", "b_id", "b_v")
-
-
-def _scores(row, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a_id, b_id = np.asarray(row.a_id), np.asarray(row.b_id)
-    a, b = np.stack([np.asarray(x) for x in row.a_v]), np.stack([np.asarray(x) for x in row.b_v])
-    by = np.argsort(b_id, kind="stable")
-    b_id, b = b_id[by], b[by]
+    A tile is a group of blocks as sources (kind 0) with a span of blocks as targets (kind 1); groups
+    and spans are of ``group_bytes`` at most, so a row is sent rows * width / group_bytes times twice.
+    """
+    known = vectors.where("id is not null and v is not null").select("id", "v")
+    n, width = known.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    rows = max(block_rows, group_bytes // (8 * max(1, width)))
+    spans = max(1, math.ceil(n / rows))
+    groups = max(spans, min(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(n / MIN_ROWS)))
+    blocks = max(groups, math.ceil(n / block_rows))
+    packed = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+
+    def side(kind: int, others: int, tile: Column) -> DataFrame:
+        each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return each.select(tile.cast("int").alias("tile"), F.lit(kind).alias("kind"), "ids", "vs")
+
+    sources = side(0, spans, F.col("b") % groups * spans + F.col("other"))
+    targets = side(1, groups, F.col("other") * spans + F.col("b") % spans)
+    tasks = min(groups * spans, MAX_TASKS)
+    return sources.unionByName(targets).repartitionById(tasks, F.col("tile") % tasks).sortWithinPartitions("tile", "kind"), spans
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks as (tile, kind, ids, vectors), ids ascending."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            ids, v = np.asarray(row.ids), np.asarray(row.vs, float)
+            by = np.argsort(ids, kind="stable")
+            yield row.tile, row.kind, ids[by], v.reshape(len(ids), -1)[by]
+
+
+def _scores(a_id: np.ndarray, a: np.ndarray, b_id: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the rows of a with those of b, rounded; minus infinity for a row with itself. b_id ascends."""
     if metric == "cosine":
-        a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-        scores = np.clip(a @ b.T, -1, 1)
+        with np.errstate(invalid="ignore"):  # a zero vector has no cosine
+            a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+            scores = np.clip(a @ b.T, -1, 1)
     elif metric == "dot":
         scores = a @ b.T
     elif metric == "euclidean":  # negative squared distance
         scores = 2 * (a @ b.T) - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)[None]
     else:
         raise ValueError(f"unknown metric {metric}")
-    return a_id, b_id, np.round(scores, PLACES) + 0.0
-
-
-def knn(vectors: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id long, v array<double>) to (src, dst, rank, score): the k best others of each row, by score, then id. Null vectors are left out."""
+    scores = np.round(scores, PLACES) + 0.0
+    at, end = np.searchsorted(b_id, a_id), np.searchsorted(b_id, a_id, side="right")
+    while len(own := np.flatnonzero(at < end)):
+        scores[own, at[own]] = -np.inf
+        at = at + 1
+    return scores
+
+
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest scores of each row, in any order; of equal ones the first columns."""
+    n, m = scores.shape
+    if k >= m:
+        return np.broadcast_to(np.arange(m), (n, m))
+    edge = np.partition(scores, m - k, axis=1)[:, m - k]
+    enough = scores >= edge[:, None]
+    tied = np.flatnonzero(enough.sum(axis=1) > k)
+    if len(tied):
+        spare = enough[tied] & (scores[tied] == edge[tied, None])
+        over = spare.sum(axis=1) - (enough[tied].sum(axis=1) - k)
+        enough[tied] &= ~(spare & (np.cumsum(spare, axis=1) > over[:, None]))
+    return np.nonzero(enough)[1].reshape(n, k)
+
+
+def knn(vectors: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(id long, v array<double>) to (src, dst, rank, score): the k best others of each row, by score, then id. Ids are unique; null ids and vectors are left out; a zero vector has no cosine, so it neither has neighbours nor is one."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                a_id, b_id, scores = _scores(row, metric)
-                scores[a_id[:, None] == b_id[None]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(scores, top, axis=1)
-                keep = np.isfinite(found)
-                yield pd.DataFrame({"src": np.repeat(a_id, top.shape[1])[keep.ravel()], "dst": b_id[top][keep], "score": found[keep]})
-
-    part = _block_pairs(vectors.where("v is not null").select("id", "v"), block_rows).mapInPandas(best, "src long, dst long, score double")
+        sources, tile = [], None
+
+        def done() -> Iterator[pd.DataFrame]:
+            for ids, _, scores, found in sources:
+                keep = np.isfinite(scores)
+                yield pd.DataFrame({"src": np.broadcast_to(ids[:, None], keep.shape)[keep], "dst": found[keep], "rank": (np.cumsum(keep, axis=1))[keep], "score": scores[keep]})
+
+        for at, kind, ids, v in _blocks(batches):
+            if at != tile:
+                yield from done()
+                sources, tile = [], at
+            if kind == 0:
+                sources.append((ids, v, np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)))
+                continue
+            for i, (own, a, scores, found) in enumerate(sources):
+                fresh = _scores(own, a, ids, v, metric)
+                fresh[np.isnan(fresh)] = -np.inf
+                top = _top(fresh, k)
+                scores, found = np.concatenate((scores, np.take_along_axis(fresh, top, axis=1)), axis=1), np.concatenate((found, ids[top]), axis=1)
+                order = np.lexsort((found, -scores), axis=1)[:, :k]
+                sources[i] = (own, a, np.take_along_axis(scores, order, axis=1), np.take_along_axis(found, order, axis=1))
+        yield from done()
+
+    tiles, spans = _tiles(vectors, block_rows, group_bytes)
+    part = tiles.mapInPandas(best, "src long, dst long, rank long, score double")
+    if spans == 1:  # each source has met all targets in one task
+        return part
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", F.col("rank").cast("long").alias("rank"), "score")
+    return part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def all_pairs(vectors: DataFrame, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def all_pairs(vectors: DataFrame, metric: str = "cosine", block_rows: int = BLOCK_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, v) to (src, dst, score) for every ordered pair of different ids. The result has the square of the input's rows: for audits of small sets."""
 
     def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                a_id, b_id, scores = _scores(row, metric)
-                for at in range(0, len(a_id), 256):
-                    other = a_id[at : at + 256, None] != b_id[None]
-                    yield pd.DataFrame({"src": np.broadcast_to(a_id[at : at + 256, None], other.shape)[other], "dst": np.broadcast_to(b_id[None], other.shape)[other], "score": scores[at : at + 256][other]})
-
-    return _block_pairs(vectors.where("v is not null").select("id", "v"), block_rows).mapInPandas(every, "src long, dst long, score double")
+        sources, tile = [], None
+        for at, kind, ids, v in _blocks(batches):
+            if at != tile:
+                sources, tile = [], at
+            if kind == 0:
+                sources.append((ids, v))
+                continue
+            for own, a in sources:
+                for low in range(0, len(own), 256):
+                    scores = _scores(own[low : low + 256], a[low : low + 256], ids, v, metric)
+                    other = ~np.isneginf(scores)
+                    yield pd.DataFrame({"src": np.broadcast_to(own[low : low + 256, None], other.shape)[other], "dst": np.broadcast_to(ids[None], other.shape)[other], "score": scores[other]})
+
+    return _tiles(vectors, block_rows, group_bytes)[0].mapInPandas(every, "src long, dst long, score double")
 
 
 def nearest_to(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", exclude: list[int] = ()) -> DataFrame:
