@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,35 @@ from . import vectors
 
 #: At most twice so many nodes are treated as hubs, whatever the size of the graph.
 HUBS = 50_000
+#: Edges that a task contracts at a time before the first round.
+CHUNK_EDGES = 1 << 20
+
+
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (u, v) to fewer ones with the same components: of each chunk, every node with the least one that the chunk's edges lead to."""
+
+    def stars(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        ends = pd.concat(parts)
+        nodes, at = np.unique(ends[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        least = np.arange(len(nodes))
+        while (apart := least[a] != least[b]).any():
+            x, y = least[a[apart]], least[b[apart]]
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(nearer := least[least], least):
+                least = nearer
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        return pd.DataFrame({"u": nodes[moved], "v": nodes[least[moved]]})
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= CHUNK_EDGES:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
 
 
 def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
@@ -36,13 +69,13 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
 
 
 def linked(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) of long ids, in any direction, loops and repeats allowed, to (node, component), by alternating star contractions.
+    """``edges`` (u, v) of long ids, in any direction, loops and repeats allowed, to (node, component), by alternating star contractions, after each task has contracted its own edges.
 
     component is the smallest id that can be reached from node. Nodes without an edge to another
     node do not appear. Rows with a null end are ignored; no edges give no rows. The number of
     rounds grows with the logarithm of the component size, and each round ends in a checkpoint.
     """
-    now = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    now = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct().mapInPandas(_contracted, "u long, v long"))
     before = None
     while True:
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -37,3 +37,25 @@ def test_a_cluster_must_name_the_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Fake)
+
+
+def test_local_contraction_keeps_components_over_chunks(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(graphs, "CHUNK_EDGES", 50)
+    rng = random.Random(8)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1001 - i, 1000 - i) for i in range(100)]
+    batches = [pd.DataFrame(pairs[at : at + 20], columns=["u", "v"]) for at in range(0, len(pairs), 20)]
+    fewer = pd.concat(list(graphs._contracted(iter(batches))))
+
+    def classes(edges):
+        of = {}
+        for u, v in edges:
+            both = of.get(u, {u}) | of.get(v, {v})
+            for x in both:
+                of[x] = both
+        return {frozenset(s) for s in of.values() if len(s) > 1}
+
+    assert len(fewer) < len(pairs) and (fewer.u > fewer.v).all()
+    assert classes(fewer.itertuples(index=False)) == classes(pairs)
+    assert list(graphs._contracted(iter([]))) == []
