@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "fresh_path", "shared_dir"]
+__all__ = ["cut", "fresh_path", "map_pandas", "shared_dir"]
+
+
+def map_pandas(df: DataFrame, of: Callable, types: str, *ids: str) -> DataFrame:
+    """``df.mapInPandas`` in which the columns ``ids`` are text within and have their own type again after: pandas would hold long ids beside a null as doubles."""
+    kinds = {c: df.schema[c].dataType for c in ids if not isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))}
+    out = df.withColumns({c: F.col(c).cast("string") for c in kinds}) if kinds else df
+    named = ", ".join(f"{c} {out.schema[c].dataType.simpleString()}" for c in ids)
+    out = out.mapInPandas(of, f"{named}, {types}")
+    return out.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}) if kinds else out
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:

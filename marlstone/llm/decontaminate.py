@@ -111,25 +111,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; more columns are ignored, whatever their
     names. Null, empty and blank texts of either side match nothing. Items of fewer words than ``shingle``
     are one shingle and must occur word for word. A document shorter than an item is one window. Of equal
-    similarities the first window counts. Repeated rows are reported once; of items with one item_id, the
+    similarities the first window counts. A null item_id is an id like others. Repeated rows are reported once; of items with one item_id, the
     best; empty tables give no rows.
     """
-    key = F.concat(F.hex(F.xxhash64("doc_id", "text")), F.hex(F.xxhash64("text", "doc_id")))
-    docs = docs.select("doc_id", "text", key.alias("key"))
-    items = cut(benchmark.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("k", F.least(F.size("words"), F.lit(shingle))))
-    found = None
-    for k in sorted(r["k"] for r in items.select("k").distinct().collect()):  # at most ``shingle`` values
-        part = _matches(docs, items.where(F.col("k") == k), k, similarity, radius, small_rows)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    docs = docs.select("doc_id", "text", _row_key().alias("key"))
+    best = _best(docs, benchmark, shingle, similarity, radius, small_rows)
+    if best is None:
         kind = benchmark.schema["item_id"].dataType.simpleString()
         return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).where("false")
-    best = cut(found.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")))
     ids = docs.select("key", "doc_id").distinct()
     keys = _few(best.select("key").distinct(), small_rows)
-    return ids.join(keys, "key", "left_semi").join(best, "key").select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.similarity")
+    return ids.join(keys, "key", "left_semi").join(best, "key").select("doc_id", "item_id.item_id", (-F.col("best.back")).alias("start"), "best.similarity")
+
+
+def _row_key() -> Column:
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.hex(F.xxhash64("text", "doc_id")))
+
+
+def _best(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, small_rows: int = SMALL_ROWS) -> DataFrame | None:
+    """(key, doc_id, text) to (key, item_id, best): the best window; None where no item has a word. Ids stand in a struct, so that a null one is joined as well."""
+    items = cut(benchmark.select(F.struct("item_id").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("k", F.least(F.size("words"), F.lit(shingle))))
+    found = None
+    for k in sorted(r["k"] for r in items.select("k").distinct().collect()):  # at most ``shingle`` values
+        part = _matches(docs, items.where(F.col("k") == k), k, similarity, radius, small_rows)
+        found = part if found is None else found.unionByName(part)
+    return None if found is None else cut(found.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item, whatever their doc_id; other rows of the same doc_id stay."""
+    best = _best(docs.select("doc_id", "text", _row_key().alias("key")), benchmark)
+    if best is None:
+        return docs
+    dirty = _few(best.select(F.col("key").alias("__key")).distinct(), SMALL_ROWS)
+    return docs.withColumn("__key", _row_key()).join(dirty, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_pandas
+
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style template noscript iframe object audio video canvas datalist title desc defs metadata annotation annotation-xml".split())
@@ -378,5 +380,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [html_to_text(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]})
 
-    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return pages.select("page_id", "url", "html").mapInPandas(of, f"{kinds}, text string, n_lines long")
+    return map_pandas(pages.select("page_id", "url", "html"), of, "text string, n_lines long", "page_id", "url")

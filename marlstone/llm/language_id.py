@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_pandas
+
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 #: Steepness of the logistic loss over a margin, the mean log ratio of a text's n-grams.
@@ -47,7 +49,10 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, max(ORDERS) + 1):
         h[: n - k + 1] = h[: n - k + 1] * np.uint64(_ODD) + points[k - 1 :] + np.uint64(k)
         if k in ORDERS:
-            parts.append((((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64))
+            own = h.copy()
+            for j in range(1, k):  # an n-gram that would go on into the next text is feature 0
+                own[ends - j] = 0
+            parts.append((((own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64))
     return np.stack(parts, axis=1).ravel(), np.concatenate(([0], ends[:-1])) * len(parts)
 
 
@@ -100,13 +105,15 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
         one, zero = (share[code[:, b] == s].mean(axis=0) if (code[:, b] == s).any() else np.full(FEATURES, 1 / FEATURES) for s in (1, -1))
         weights[b] = np.log(one / zero)
         middle = (one + zero) / 2
-        trust.append(float((one * np.log(one / middle) + zero * np.log(zero / middle)).sum() / 2))
+        # (rounded, so that sides which differ by the order of sums alone count as equal)
+        trust.append(max(0.0, round(float((one * np.log(one / middle) + zero * np.log(zero / middle)).sum() / 2), 12)))
     return langs, code, weights, np.array(trust)
 
 
 def decode(margins: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of margins (texts x bits): the codeword of least weighted loss and its share of exp(-loss)."""
-    loss = (np.logaddexp(0, -STEEP * margins[:, None, :] * code[None]) * (trust / trust.sum())[None, None]).sum(axis=2)
+    """Of margins (texts x bits): the codeword of least weighted loss and its share of exp(-loss). Bits count alike where none can be told apart; losses that agree to nine places are equal, and the first of them counts."""
+    weights = trust / trust.sum() if trust.sum() > 0 else np.full(len(trust), 1 / max(1, len(trust)))
+    loss = np.round((np.logaddexp(0, -STEEP * margins[:, None, :] * code[None]) * weights[None, None]).sum(axis=2), 9)
     share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
     return loss.argmin(axis=1), share.max(axis=1) / share.sum(axis=1)
 
@@ -126,7 +133,6 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sent = spark.sparkContext.broadcast(train(labelled))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, code, weights, trust = sent.value
@@ -135,9 +141,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
             for rows, texts in _runs(batch) if langs else ():
                 found, starts = _features(texts)
                 sizes = np.diff(np.append(starts, len(found)))
-                margins = np.stack([np.add.reduceat(w[found], starts) / sizes for w in weights], axis=1)
-                best, share = decode(margins.astype(np.float64), code, trust)
+                margins = np.stack([np.add.reduceat(w[found], starts, dtype=np.float64) / sizes for w in weights], axis=1)
+                best, share = decode(margins, code, trust)
                 names[rows], score[rows] = np.array(langs, object)[best], share
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": score, "ambiguous": (score < AMBIGUOUS)})
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return map_pandas(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), predict, "held_out boolean, lang_pred string, score double, ambiguous boolean", "doc_id")

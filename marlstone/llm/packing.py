@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_pandas
 
 END_ID = 2
 SEQUENCE = 1024
@@ -74,10 +74,9 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE)
                 while start < n:
                     rows.append((doc, piece, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
                     start, end, piece = end, end + sequence, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_pandas(docs.select("doc_id", "text"), encode, "piece int, start long, length long, ids_crc32 long", "doc_id")
 
 
 def _slots(gaps: DataFrame, longest: int) -> DataFrame:

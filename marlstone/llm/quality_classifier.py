@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_pandas
+
 #: The most labelled and unlabelled rows that are learned from: those of the least hash of doc_id.
 LABELLED, UNLABELLED = 4000, 4000
 ROUNDS = 4
@@ -153,15 +155,16 @@ def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLE
     rank = F.xxhash64("doc_id")
     chosen = truth.orderBy(rank, "doc_id").limit(labelled)
     others = docs.select("doc_id").where("doc_id is not null").join(truth, "doc_id", "left_anti").distinct().orderBy(rank, "doc_id").limit(unlabelled).withColumn("quality", F.lit(None).cast("int"))
-    sample = docs.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int")).unionByName(others)), "doc_id").dropDuplicates(["doc_id"])
+    # (of several rows of a document the least is learned from)
+    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    sample = docs.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int")).unionByName(others)), "doc_id").groupBy("doc_id", "quality").agg(least).select("doc_id", "quality", "row.*")
 
     def views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, meta = _views(batch)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"].astype("Int64"), "text": list(text), "meta": list(meta)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInPandas(views, f"doc_id {kind}, quality long, text array<float>, meta array<float>").toPandas().sort_values("doc_id")
+    rows = map_pandas(sample, views, "quality long, text array<float>, meta array<float>", "doc_id").toPandas().sort_values("doc_id")
     known = rows["quality"].notna().to_numpy()
     y = rows.loc[known, "quality"].to_numpy(dtype=float)
     trained = None
@@ -177,4 +180,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLE
                 both, text, meta = score(sent.value, _views(part)) if sent.value else (np.full(len(part), 0.5),) * 3
                 yield pd.DataFrame({"doc_id": part["doc_id"], "score": both, "text_score": text, "meta_score": meta, "kept": both >= THRESHOLD})
 
-    return docs.mapInPandas(predict, f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")
+    return map_pandas(docs, predict, "score double, text_score double, meta_score double, kept boolean", "doc_id")

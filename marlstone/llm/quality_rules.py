@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, map_pandas
 
 ORDER = 5
 MIN_WORDS = 20
@@ -330,9 +330,8 @@ def scored_rows(docs: DataFrame, files: list[tuple[int, int, str]], order: int =
             out.insert(3, "lang", [x if isinstance(x, str) else "" for x in batch["lang"]])
             yield out.assign(n_grams=[len(t) if t else 0 for t in batch["text"]], total=_score_texts(batch, model, order))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ", ".join(f"{c} long" for c in _COUNTS)
-    return docs.select("doc_id", "text", "lang", *_keys()).mapInPandas(score, f"doc_id {kind}, k1 long, k2 long, lang string, {fields}, n_grams long, total double")
+    return map_pandas(docs.select("doc_id", "text", "lang", *_keys()), score, f"k1 long, k2 long, lang string, {fields}, n_grams long, total double", "doc_id")
 
 
 def _few(by_language: DataFrame) -> DataFrame:

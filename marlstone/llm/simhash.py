@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import linked
-from .common import cut
+from .common import cut, map_pandas
 
 RADIUS = 3
 SHINGLE = 3
@@ -60,8 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.uint64, len(batch))
             yield batch.drop(columns="text").assign(fp=fp.view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *row_keys()).mapInPandas(of, f"doc_id {kind}, k1 long, k2 long, fp long")
+    return map_pandas(docs.select("doc_id", "text", *row_keys()), of, "k1 long, k2 long, fp long", "doc_id")
 
 
 def row_keys() -> list[Column]:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,16 +108,20 @@ def _bytes(text: str | None) -> bytes:
 def _packed(df: DataFrame, once: bool = False) -> DataFrame:
     """``df`` with its text compressed, to be shuffled; ``once``: of rows with one ``key`` in a batch, the first."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = df.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            batch = batch[~batch["key"].duplicated()] if once else batch
-            yield batch.assign(text=[None if t is None else pack(_bytes(t)) for t in batch["text"]])
+            if once:
+                batch = batch.filter(pa.array(~batch.column("key").to_pandas().duplicated().to_numpy()))
+            texts = (t.as_py() for t in batch.column(place))
+            yield batch.set_column(place, "text", pa.array([None if t is None else pack(_bytes(t)) for t in texts], pa.binary()))
 
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in df.schema]
-    return df.mapInPandas(of, T.StructType(fields))
+    return df.mapInArrow(of, T.StructType(fields))
 
 
 def _unpacked(texts: pd.Series) -> list[bytes | None]:
@@ -288,17 +293,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of each text (what is left of a split character goes too) and n_chars, where present, counted anew."""
     keyed, runs = repeated_bytes(docs, length)
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    docs_columns, place = docs.columns, docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, own in zip(_unpacked(batch["text"]), batch["__runs"], strict=True):
+            for text, own in zip(_unpacked(batch.column(place).to_pandas()), (r.as_py() for r in batch.column(len(docs_columns))), strict=True):
                 raw, at, left = text or b"", 0, []
                 for lo, hi in _merged(own, len(raw)) if own is not None else []:
                     left.append(raw[at:lo])
                     at = hi
                 texts.append(b"".join([*left, raw[at:]]).decode("utf-8", "ignore") if text is not None else None)
-            yield batch.drop(columns="__runs").assign(text=texts)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(docs_columns))], docs_columns)
 
-    joined = _packed(keyed).join(runs, "__key", "left").select(*docs.columns, "__runs")
-    out = joined.mapInPandas(kept, docs.schema)
+    joined = _packed(keyed).join(runs, "__key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__runs")
+    out = joined.mapInArrow(kept, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -33,7 +33,7 @@ def _digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(kind: str, page_id: int, url: str, payload: bytes | None, size: int, payload_digest: str, refers_to: int | None) -> bytes:
+def record_bytes(kind: str, page_id: int | str, url: str, payload: bytes | None, size: int, payload_digest: str, refers_to: int | str | None) -> bytes:
     """One record as a gzip member: a response with its payload, or a revisit with the HTTP headers alone."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
     head = {
@@ -127,7 +127,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     each = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1"))
     kept = each.where(F.col("size") >= REVISIT_BYTES).groupBy("sha1", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
     joined = each.join(kept.select("sha1", "size", "kept"), ["sha1", "size"], "left")
-    revisit = F.coalesce(F.col("kept") != F.col("page_id"), F.lit(False))
+    revisit = F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha1", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
 
@@ -144,10 +144,9 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         with store.open_output_stream(draft, compression=None) as out:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    refers = None if pd.isna(row.refers_to) else int(row.refers_to)
                     body = (row.html or "").encode("utf-8", "surrogatepass") if row.kind == "response" else None
                     digest = "sha1:" + base64.b32encode(bytes.fromhex(row.sha1)).decode()
-                    out.write(record_bytes(row.kind, row.page_id, row.url or "", body, row.size, digest, refers))
+                    out.write(record_bytes(row.kind, row.page_id or "", row.url or "", body, row.size, digest, row.refers_to))
                     n += 1
         if n:
             store.move(draft, f"{root}/{name}")
@@ -155,7 +154,9 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             store.delete_file(draft)
         yield pd.DataFrame({"file": [f"{folder.rstrip('/')}/{name}"] * bool(n)}, dtype="object")
 
-    return cut(plan_records(pages).mapInPandas(write, "file string"))
+    # (ids as text: beside nulls, pandas would hold them as doubles)
+    planned = plan_records(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return cut(planned.mapInPandas(write, "file string"))
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -171,25 +172,27 @@ def read_warc(files: DataFrame) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as source:
                     rows, held = [], 0
                     for fields, http, payload in read_records(source):
-                        ids = [int(fields[k][10:-1]) if k in fields else None for k in ("warc-record-id", "warc-refers-to")]
+                        ids = [fields[k][10:-1] or None if k in fields else None for k in ("warc-record-id", "warc-refers-to")]
                         hexed = base64.b32decode(fields["warc-payload-digest"][5:]).hex()
                         html = payload.decode("utf-8", "surrogatepass") if fields["warc-type"] == "response" else None
                         rows.append((ids[0], fields["warc-target-uri"], fields["warc-type"], ids[1], int(http["content-length"]), hexed, html))
                         held += len(payload)
                         if held > 8 << 20:
-                            yield pd.DataFrame(rows, columns=columns).astype({"refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
-                    yield pd.DataFrame(rows, columns=columns).astype({"refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=columns)
 
     n = max(1, min(files.count(), 10_000))
-    return files.repartition(n).mapInPandas(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string")
+    read_back = files.repartition(n).mapInPandas(read, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, html string")
+    return read_back.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` (page_id, url, html; more columns are ignored) as archives in the shared folder and reads them back.
 
     One row per page: page_id, payload_bytes, payload_digest (SHA-1 in hex), record_type, refers_to. A null
-    html is an empty payload, a null url an empty one; page_id must not be null. Of rows with equal payloads
+    html is an empty payload, a null url an empty one. A null page_id stays null; of rows with one payload it is
+    no response unless all have a null page_id, and then all are. Of rows with equal payloads
     of REVISIT_BYTES or more that repeat a page_id, all with the largest are responses; empty tables give no rows.
     """
     folder = fresh_path(pages.sparkSession, "warc")
