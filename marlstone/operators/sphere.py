@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import vectors
+
 
 def fibonacci_sphere(spark: SparkSession, count: int) -> DataFrame:
     """(id, x, y, z): ``count`` points spread evenly, as probes of empty space."""
@@ -48,24 +49,6 @@ def ks_distance(df: DataFrame, column: str, cdf: Column) -> DataFrame:
     return steps.crossJoin(F.broadcast(total)).agg(F.max(F.greatest((F.col("before") + F.col("n")) / n - cdf, cdf - F.col("before") / n)).alias("ks"))
 
 
-def inversions(pairs: DataFrame, a: str, b: str, groups: int, salt: str) -> DataFrame:
-    """(pairs, inverted, rate, kendall_tau) over pairs of rows that a hash of ``id`` deals into groups: within a group all pairs are compared, so each row meets about rows / groups others."""
-    dealt = pairs.select(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(groups)).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"))
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["a"].to_numpy(float), group["b"].to_numpy(float)
-        n = wrong = 0
-        for i in range(1, len(x)):
-            dx, dy = np.sign(x[:i] - x[i]), np.sign(y[:i] - y[i])
-            n += int((dx != 0).sum())
-            wrong += int(((dx != 0) & (dx != dy)).sum())
-        return pd.DataFrame({"n": [n], "wrong": [wrong]})
-
-    sums = dealt.groupBy("g").applyInPandas(count, "n long, wrong long").agg(F.sum("n").alias("pairs"), F.sum("wrong").alias("inverted"))
-    rate = F.try_divide(F.col("inverted").cast("double"), F.col("pairs").cast("double"))
-    return sums.select("pairs", "inverted", rate.alias("rate"), (1 - 2 * rate).alias("kendall_tau"))
-
-
 def mean_pooled(sentences: DataFrame) -> DataFrame:
     """(owner, v) to (owner, v): the mean of an owner's vectors, at unit length. Owners whose mean is zero go."""
     each = sentences.select("owner", F.posexplode("v").alias("i", "x")).groupBy("owner", "i").agg(F.avg("x").alias("x"))
@@ -100,3 +83,36 @@ def compressed_share(pairs: DataFrame, source: str, observed: str, fraction: flo
     wanted = F.greatest(F.lit(1.0), F.floor(F.lit(fraction) * F.col("total") + 0.5))
     edge = counted(pairs, source).crossJoin(F.broadcast(total)).where(F.col("before") < wanted).agg(F.max(source).alias("edge"))
     return pairs.crossJoin(F.broadcast(edge)).where(F.col(source) <= F.col("edge")).agg(F.count("*").alias("n"), F.avg((F.col(observed) < F.col(source)).cast("double")).alias("compressed"))
+
+
+def uniform_points(spark: SparkSession, count: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, id, x, y, z): points drawn uniformly. A number depends on (seed, replicate, point, axis) alone, so the points are the same whatever the partitions."""
+    ids = spark.range(replicates * count).select(F.floor(F.col("id") / max(1, count)).alias("replicate"), (F.col("id") % max(1, count)).alias("id"))
+    draw = lambda axis: (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "replicate", "id", F.lit(axis)).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+    z, phi = 2 * draw(1) - 1, 2 * math.pi * draw(2)
+    r = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
+    return ids.select("replicate", "id", (r * F.cos(phi)).alias("x"), (r * F.sin(phi)).alias("y"), z.alias("z"))
+
+
+def uniform_reference(spark: SparkSession, count: int, replicates: int, seed: int, bands: int, sectors: int) -> DataFrame:
+    """(metric, replicates, mean, low, high) of uniform points: angles to the nearest other point, length of the mean point, points by cell. Nearest points are searched replicate by replicate."""
+    points = uniform_points(spark, count, replicates, seed)
+    near = None
+    for r in range(replicates):
+        own = points.where(F.col("replicate") == r).select("id", F.array("x", "y", "z").alias("v"))
+        best = vectors.knn(own, 1, "dot").select(F.lit(r).cast("long").alias("replicate"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))).alias("angle"))
+        near = best if near is None else near.unionByName(best)
+    if near is None or not count:
+        return spark.createDataFrame([], "metric string, replicates long, mean double, low double, high double")
+    p = lambda q: F.percentile("angle", F.lit(q))
+    nn = near.groupBy("replicate").agg(F.min("angle").alias("nn_min"), p(0.1).alias("nn_p10"), p(0.5).alias("nn_median"), p(0.9).alias("nn_p90"), F.max("angle").alias("nn_max"), F.avg("angle").alias("nn_mean"))
+    bias = points.groupBy("replicate").agg(F.sqrt(sum((F.avg(c) * F.avg(c) for c in "yz"), F.avg("x") * F.avg("x"))).alias("mean_vector_norm"))
+    band = F.least(F.floor((F.col("z") + 1) / 2 * bands), F.lit(bands - 1))
+    sector = F.least(F.floor((F.atan2("y", "x") + math.pi) / (2 * math.pi) * sectors), F.lit(sectors - 1))
+    filled = points.groupBy("replicate", band.alias("band"), sector.alias("sector")).agg(F.count("*").alias("k"))
+    total = bands * sectors
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * F.col("k")) / total - (F.sum("k") / total) * (F.sum("k") / total)))
+    cells = filled.groupBy("replicate").agg(F.max("k").cast("double").alias("cell_max"), (total - F.count("*")).cast("double").alias("empty_cells"), spread.alias("cell_std"))
+    wide = nn.join(bias, "replicate").join(cells, "replicate")
+    long = wide.unpivot("replicate", [c for c in wide.columns if c != "replicate"], "metric", "value")
+    return long.groupBy("metric").agg(F.count("*").alias("replicates"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))

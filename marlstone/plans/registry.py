@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, layout, neighbours, sensory
+from . import catalogue, layout, neighbours, sensory, spherical
 
-QUERIES = catalogue.QUERIES | neighbours.QUERIES | layout.QUERIES | sensory.QUERIES
-ORACLES = catalogue.ORACLES | neighbours.ORACLES | layout.ORACLES | sensory.ORACLES
+QUERIES = catalogue.QUERIES | neighbours.QUERIES | layout.QUERIES | sensory.QUERIES | spherical.QUERIES
+ORACLES = catalogue.ORACLES | neighbours.ORACLES | layout.ORACLES | sensory.ORACLES | spherical.ORACLES

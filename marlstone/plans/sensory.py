@@ -62,11 +62,6 @@ def kcenter_select(spark: SparkSession, d: str) -> DataFrame:
     return selection.farthest_first(domain.parts(spark, d).select("id", F.array_union(F.split("name", " "), F.array("glass", "base_tag")).alias("features")), 10)
 
 
-def hub_mst(spark: SparkSession, d: str) -> DataFrame:
-    mean = domain.vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
-    return selection.hub_tree(mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))).withColumn("angle", F.round("angle", 6))
-
-
 def cost_guard(spark: SparkSession, d: str) -> DataFrame:
     """The cost of all requests of the items, and whether a job for them may be made beside none."""
     requests = domain.parts(spark, d).count() * 48
@@ -110,7 +105,7 @@ _ALL = [
     ("events_by_window", events_by_window, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     ("mean_pool", mean_pool, "SELECT owner, round(max(CASE WHEN pos = 1 THEN x END) / sqrt(sum(x * x)), 6) AS first, round(max_by(x, pos) / sqrt(sum(x * x)), 6) AS last FROM (SELECT label AS owner, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY owner"),
     ("wide_round_trip", wide_round_trip, "SELECT id, round(sum(x * pos), 6) AS weighted FROM (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY id"),
-    ("pca_explained", pca_explained, ""), ("name_search", name_search, ""), ("kmedoids", kmedoids, ""), ("kcenter_select", kcenter_select, ""), ("hub_mst", hub_mst, ""), ("cost_guard", cost_guard, "SELECT requests, projected, CASE WHEN projected >= 10 THEN 'hard block' WHEN projected >= 7.5 THEN 'soft stop' ELSE 'allowed' END AS verdict FROM (SELECT requests, CAST(0.5 + requests * (845 * 0.15 + 32 * 1.25) / 1000000 AS DOUBLE) AS projected FROM (SELECT count(*) * 48 AS requests FROM part))"),
+    ("pca_explained", pca_explained, ""), ("name_search", name_search, ""), ("kmedoids", kmedoids, ""), ("kcenter_select", kcenter_select, ""), ("cost_guard", cost_guard, "SELECT requests, projected, CASE WHEN projected >= 10 THEN 'hard block' WHEN projected >= 7.5 THEN 'soft stop' ELSE 'allowed' END AS verdict FROM (SELECT requests, CAST(0.5 + requests * (845 * 0.15 + 32 * 1.25) / 1000000 AS DOUBLE) AS projected FROM (SELECT count(*) * 48 AS requests FROM part))"),
 ]
 QUERIES = {name: f for name, f, _ in _ALL}
 ORACLES = {name: sql for name, _, sql in _ALL if sql}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import ingest, sphere
+from marlstone.operators import ingest, ordering, sphere
 from marlstone.sources import strict, vector_files
 
 
@@ -60,9 +60,9 @@ def test_sphere_and_ranks(spark):
     ks = sphere.ks_distance(df, "a", F.col("a") / 4).first()[0]
     cdf = lambda v: sum(x <= v for x in values) / 6
     assert abs(ks - max(max(abs(cdf(v) - v / 4), abs(v / 4 - sum(x < v for x in values) / 6)) for v in values)) < 1e-12
-    row = sphere.inversions(df, "a", "b", 1, "s").first()
-    assert row.pairs == row.inverted == 11 and row.kendall_tau == -1
-    assert sphere.inversions(df, "a", "a", 1, "s").first().inverted == 0
+    row = ordering.inversions(df, "a", "b").first()
+    assert row.comparable == row.inverted == 11 and row.kendall_tau == -1
+    assert ordering.inversions(df, "a", "a").first().inverted == 0
     pooled = sphere.mean_pooled(spark.createDataFrame([(1, [3.0, 0.0]), (1, [0.0, 4.0]), (2, [1.0, 0.0]), (2, [-1.0, 0.0])], "owner long, v array<double>")).collect()
     assert len(pooled) == 1 and pooled[0].v == pytest.approx([0.6, 0.8])
 
