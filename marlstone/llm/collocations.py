@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 LONGEST = 4
 MINIMUM = 30
@@ -30,7 +30,7 @@ SCALE = 2_000_000
 #: A longer phrase with so many hundredths of a shorter one's occurrences takes it over.
 COVERED = 80
 TOP = 2000
-#: Words of a chunk, and bytes of a text that are split at once.
+#: Words of a chunk (it may end with up to twice as many), and bytes of a text that are split at once.
 CHUNK = 2_000_000
 WINDOW = 1 << 22
 #: The best of a language are taken in so many parts first.
@@ -38,16 +38,36 @@ PARTS = 64
 _UPPER, _ENDS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"." * len(_ENDS) + b" ")
 _BREAK = b"."
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("skip", pa.int32()), ("size", pa.int32()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_CHUNK_TYPES = "chunk long, lang string, skip int, size int, codes binary, words array<string>, counts array<long>"
-_PAIRS = pa.schema([("chunk", pa.int64()), ("skip", pa.int32()), ("size", pa.int32()), ("codes", pa.binary()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-_PAIR_TYPES = "chunk long, skip int, size int, codes binary, lefts array<long>, rights array<long>, counts array<long>"
+#: A row of a chunk has the chunk's number above so many bits, which hold its place in the chunk's list (over twice CHUNK).
+AT_BITS = 23
+#: Chunks of a task have the task's number above so many bits.
+CHUNK_BITS = 18
+_WORD_ROWS = pa.schema([("rid", pa.int64()), ("head", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
+_WORD_TYPES = "rid long, head binary, lang string, phrase string, c long"
+_PAIR_ROWS = pa.schema([("rid", pa.int64()), ("head", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64())])
+_PAIR_TYPES = "rid long, head binary, left long, right long, c long"
+#: Rows of a list that leave a task at once.
+OUT = 1 << 17
 
 
-def _list(values) -> pa.Array:
-    """One row that holds all values."""
-    values = pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _packed(codes: np.ndarray, skip: int, size: int) -> bytes:
+    """What a chunk is but for its list: two numbers and its codes."""
+    return zlib.compress(np.array([skip, size], np.int32).tobytes() + codes.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(head: bytes) -> tuple[np.ndarray, int, int]:
+    numbers = np.frombuffer(zlib.decompress(head), np.int32)
+    return numbers[2:], int(numbers[0]), int(numbers[1])
+
+
+def _rows(chunk: int, head: bytes, schema: pa.Schema, *columns) -> Iterator[pa.RecordBatch]:
+    """The row of a chunk's head, then those of its list (columns of values, the last the counts)."""
+    n = len(columns[-1])
+    yield pa.RecordBatch.from_arrays([pa.array([chunk << AT_BITS]), pa.array([head], pa.binary()), *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
+    for at in range(0, n, OUT):
+        part = [c[at : at + OUT] for c in columns]
+        rids = pa.array((chunk << AT_BITS) + np.arange(at, at + len(part[-1])))
+        yield pa.RecordBatch.from_arrays([rids, pa.nulls(len(rids), pa.binary()), *(pa.array(c, f.type) for c, f in zip(part, list(schema)[2:], strict=True))], schema=schema)
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
@@ -79,22 +99,21 @@ class _Open:
         words = list(self.codes)
         return [words[c] for c in np.concatenate(self.parts[-n - 1 :])[-n:]] if n else []
 
-    def row(self, chunk: int, lang: str) -> pa.RecordBatch:
+    def rows(self, chunk: int, lang: str) -> Iterator[pa.RecordBatch]:
         codes, words = np.concatenate(self.parts), list(self.codes)
         breaks = self.codes.get(_BREAK, -1)
         counts = np.bincount(codes[self.skip :], minlength=len(words))
         if breaks >= 0:  # the break's place in the list stays empty
             counts[breaks] = 0
             codes[codes == breaks] = -1
-        columns = [[chunk], [lang], [self.skip], [len(words)], [zlib.compress(codes.tobytes(), 1)], _list([w.decode("utf-8") for w in words]), _list(counts)]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _CHUNKS, strict=True)], schema=_CHUNKS)
+        yield from _rows(chunk, _packed(codes, self.skip, len(words)), _WORD_ROWS, [lang] * len(words), [w.decode("utf-8") for w in words], counts)
 
 
 def word_chunks(docs: DataFrame, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` (text, lang) to chunks of one language: its different words with their counts, and its texts as their numbers (-1: a break)."""
+    """``docs`` (text, lang) to chunks of one language: a row with the texts as numbers (head; -1: a break), and the list of the different words with their counts (c)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = count(TaskContext.get().partitionId() << 32)
+        numbers = count(TaskContext.get().partitionId() << CHUNK_BITS)
         chunks: dict[str, _Open] = {}
         total = 0
         for batch in batches:
@@ -109,19 +128,22 @@ def word_chunks(docs: DataFrame, longest: int = LONGEST, chunk: int = CHUNK) ->
                         total += len(some)
                         if total >= chunk:
                             context = chunks[lang].tail(longest - 1)
-                            yield from (c.row(next(numbers), x) for x, c in chunks.items())
+                            for x, c in chunks.items():
+                                yield from c.rows(next(numbers), x)
                             chunks, total = {lang: _Open(context)}, 0
                 chunks[lang].add([_BREAK]) if lang in chunks else None
-        yield from (c.row(next(numbers), x) for x, c in chunks.items() if c.n > c.skip)
+        for x, c in chunks.items():
+            if c.n > c.skip:
+                yield from c.rows(next(numbers), x)
 
-    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(read, _CHUNK_TYPES)
+    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(read, _WORD_TYPES)
 
 
-def pair_chunks(chunks: DataFrame, named: DataFrame, last: bool = False) -> DataFrame:
-    """Chunks (chunk, skip, size, codes) with the names of what their codes stand for (chunk, at, id; others have none) to chunks of pairs of neighbouring names."""
+def pair_chunks(heads: DataFrame, named: DataFrame, last: bool = False) -> DataFrame:
+    """Chunks (rid, head) with the names of what stands in their lists (rid, id; what has none is a break) to chunks of pairs of neighbouring names, with the list of the pairs and their counts."""
 
-    def finish(head: dict, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes, skip, size = np.frombuffer(zlib.decompress(head["codes"]), np.int32), head["skip"], head["size"]
+    def finish(chunk: int, head: bytes, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes, skip, size = _unpacked(head)
         known = np.append(names >= 0, False)[codes]  # (a break has the code -1)
         both = known[:-1] & known[1:]
         if not both.any():
@@ -129,39 +151,42 @@ def pair_chunks(chunks: DataFrame, named: DataFrame, last: bool = False) -> Data
         pairs, own = np.unique(codes[:-1][both].astype(np.int64) * size + codes[1:][both], return_inverse=True)
         place = np.flatnonzero(both) + 1  # a pair stands where it ends
         counts = np.bincount(own[place >= skip], minlength=len(pairs))
-        if not last:
-            kept = both | np.concatenate(([False], both[:-1]))
-            out = np.full(len(both), -1, np.int32)
-            out[both] = own
-            skip, out = int(kept[: max(0, skip - 1)].sum()), out[kept]
-        else:
-            out = np.zeros(0, np.int32)
-        columns = [[head["chunk"]], [skip], [len(pairs)], [zlib.compress(out.tobytes(), 1)], _list(names[pairs // size]), _list(names[pairs % size]), _list(counts)]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+        kept = both | np.concatenate(([False], both[:-1]))
+        out = np.full(len(both), -1, np.int32)
+        out[both] = own
+        packed = _packed(out[kept][: 0 if last else None], int(kept[: max(0, skip - 1)].sum()), len(pairs))
+        yield from _rows(chunk, packed, _PAIR_ROWS, names[pairs // size], names[pairs % size], counts)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, names = None, None
+        now = None
         for batch in batches:
-            at, ids = batch.column("at").to_numpy(), batch.column("id").to_numpy()
-            heads = np.flatnonzero(at < 0)
-            for lo, hi in zip([0, *heads], [*heads, len(at)], strict=True):
-                if lo in heads:
-                    if head is not None:
-                        yield from finish(head, names)
-                    head = {c: batch.column(c)[int(lo)].as_py() for c in ("chunk", "skip", "size", "codes")}
-                    names = np.full(head["size"], -1, np.int64)
+            rids, ids = batch.column("rid").to_numpy(), batch.column("id").to_numpy()
+            edges = [0, *np.flatnonzero(ids < 0), len(ids)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo < hi and ids[lo] < 0:
+                    if now:
+                        yield from finish(*now)
+                    head = batch.column("head")[int(lo)].as_py()
+                    now = int(rids[lo]) >> AT_BITS, head, np.full(_unpacked(head)[2], -1, np.int64)
                     lo += 1
-                names[at[lo:hi]] = ids[lo:hi] if hi > lo else ()
-        if head is not None:
-            yield from finish(head, names)
+                if lo < hi:
+                    now[2][rids[lo:hi] & ((1 << AT_BITS) - 1)] = ids[lo:hi]
+        if now:
+            yield from finish(*now)
+
+    rows = heads.select("rid", F.lit(-1).cast("long").alias("id"), "head").unionByName(named.select("rid", "id"), allowMissingColumns=True)
+    rows = rows.withColumn("chunk", F.shiftright("rid", AT_BITS)).repartition("chunk").sortWithinPartitions("chunk", "id")
+    return rows.select("rid", "id", "head").mapInArrow(pair, _PAIR_TYPES)
 
-    heads = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(-1).cast("long").alias("id"), "skip", "size", "codes")
-    rows = heads.unionByName(named.select("chunk", "at", "id"), allowMissingColumns=True)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(pair, _PAIR_TYPES)
 
+def _frequent(flat: DataFrame, keys: list[str], minimum: int) -> DataFrame:
+    """The list rows of all chunks whose keys are frequent: (rid, id, f, keys). A name's id is the least rid of its rows; the keys stand in that row alone.
 
-def _named(totals: DataFrame) -> DataFrame:
-    return cut(totals.withColumn("id", F.monotonically_increasing_id()))
+    One shuffle both counts and names: a key has one row a chunk at most, so none is hot.
+    """
+    own = Window.partitionBy(*keys)
+    rows = flat.where("head is null").select(*keys, "c", "rid").withColumns({"f": F.sum("c").over(own), "id": F.min("rid").over(own)}).where(F.col("f") >= minimum)
+    return written(rows.select("rid", "id", "f", *[F.when(F.col("rid") == F.col("id"), F.col(k)).alias(k) for k in keys]), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MINIMUM, chunk: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
@@ -169,24 +194,23 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MIN
 
     A name has id, lang, phrase, f, its parents' ids (left, right) and the frequencies of its first and last 1, 2, ... words (firsts, lasts).
     """
-    chunks = cut(word_chunks(docs, longest, chunk))
-    listed = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("chunk", "lang", "at", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    words = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    totals = listed.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= minimum)
-    tables = [_named(totals.select("lang", "phrase", "f", F.col("phrase").alias("last"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("firsts"), F.array("f").alias("lasts")))]
-    keys = ["lang", "phrase"]
+    flat = written(word_chunks(docs, longest, chunk), "words")
+    words = flat.where("head is null").groupBy("lang").agg(F.sum("c").alias("n"))
+    found = _frequent(flat, ["lang", "phrase"], minimum)
+    own = found.where("rid = id")
+    tables = [cut(own.select("id", "lang", "phrase", "f", F.col("phrase").alias("last"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("firsts"), F.array("f").alias("lasts")))]
     for k in range(2, longest + 1):
         names = tables[-1]
-        found = listed.join(names.select(*keys, "id"), keys).select("chunk", "at", "id")
-        chunks = cut(pair_chunks(chunks, found, last=k == longest))
-        pair = F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("at", "x")
-        listed = chunks.select("chunk", pair).select("chunk", "at", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("c"))
-        totals = listed.groupBy("left", "right").agg(F.sum("c").alias("f")).where(F.col("f") >= minimum)
+        flat = written(pair_chunks(flat.where("head is not null").select("rid", "head"), found, last=k == longest), "pairs")
+        if k < longest:
+            found = _frequent(flat, ["left", "right"], minimum)
+            own = found.where("rid = id").select("id", "left", "right", "f")
+        else:  # (nothing is renamed any more)
+            own = flat.where("head is null").groupBy("left", "right").agg(F.sum("c").alias("f")).where(F.col("f") >= minimum).withColumn("id", F.monotonically_increasing_id())
         first = names.select(F.col("id").alias("left"), "lang", "phrase", "firsts")
         second = names.select(F.col("id").alias("right"), "last", "lasts")
-        joined = totals.join(first, "left").join(second, "right")
-        tables.append(_named(joined.select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "f", "last", "left", "right", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))))
-        keys = ["left", "right"]
+        joined = own.join(first, "left").join(second, "right")
+        tables.append(cut(joined.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "f", "last", "left", "right", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))))
     return tables, words
 
 

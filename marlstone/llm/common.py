@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "fresh_path", "map_pandas", "shared_dir"]
+__all__ = ["cut", "fresh_path", "map_pandas", "shared_dir", "written"]
 
 
 def map_pandas(df: DataFrame, of: Callable, types: str, *ids: str) -> DataFrame:
@@ -26,3 +26,10 @@ def map_pandas(df: DataFrame, of: Callable, types: str, *ids: str) -> DataFrame:
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: a cut of the lineage that is compressed and read by column."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,3 +50,21 @@ def balanced_query(selections: DataFrame) -> DataFrame:
     last = Window.orderBy(F.desc("axis_order"))
     total = F.sum("share").over(Window.partitionBy())
     return shares.withColumn("total", total).withColumn("r", F.row_number().over(last)).select("axis_order", F.when(F.col("r") == 1, 1 - (F.col("total") - F.col("share"))).otherwise(F.col("share")).alias("share"))
+
+
+def balanced_queries(selections: DataFrame) -> DataFrame:
+    """(request, axis_order, category, weight) to (request, axis_order, share), a query vector of sum 1 for each request: its categories have equal mass, shared by weight, and its last axis takes what rounding leaves.
+
+    Axes are unique within a request, weights positive; others raise. Requests without a selection do not appear.
+    """
+    checked = selections.withColumn("repeats", F.count("*").over(Window.partitionBy("request", "axis_order")))
+    wrong = F.coalesce(F.col("weight") <= 0, F.lit(True)) | F.col("axis_order").isNull() | F.col("category").isNull()
+    weight = F.when(wrong, F.raise_error(F.lit("a selection without an axis, a category or a positive weight"))).when(F.col("repeats") > 1, F.raise_error(F.lit("an axis selected twice"))).otherwise(F.col("weight"))
+    own = Window.partitionBy("request", "category")
+    scaled = checked.withColumn("w", weight / F.max("weight").over(own))
+    mass = F.size(F.collect_set("category").over(Window.partitionBy("request")))
+    shares = scaled.withColumn("share", F.col("w") / F.sum("w").over(own) / mass)
+    of = Window.partitionBy("request")
+    rest = 1 - (F.sum("share").over(of) - F.col("share"))
+    last = F.col("axis_order") == F.max("axis_order").over(of)
+    return shares.select("request", "axis_order", F.when(last, rest).otherwise(F.col("share")).alias("share"))

@@ -19,7 +19,7 @@ SHARED = {
     "dist_summary": f"SELECT {_SUMMARY} FROM (SELECT score AS x FROM @pairs WHERE src < dst) t",
     "nn_angles": f"SELECT {_SUMMARY} FROM (SELECT min({_ANG}) AS x FROM @cpairs GROUP BY src) t",
     "within_cluster_sep": "SELECT round(PCT(x, 0.1), 6) AS p10, round(PCT(x, 0.5), 6) AS median, round(avg(x), 6) AS mean FROM (SELECT min(degrees(acos(least(1.0, greatest(-1.0, p.score))))) AS x FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst AND a.label = b.label GROUP BY p.src) t",
-    "zscore_offdiag": "SELECT src, dst, round((score - m) / s, 6) AS z FROM @pairs CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM @pairs) t",
+    "zscore_offdiag": "SELECT src, count(*) AS n, round(avg((score - m) / s), 6) AS mean_z, round(min((score - m) / s), 6) AS low_z, round(max((score - m) / s), 6) AS high_z, round(sqrt(avg((score - m) * (score - m))) / max(s), 6) AS rms_z FROM @pairs CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM @pairs) t GROUP BY src",
     "angle_corr": f"SELECT round(corr(a, b), 6) AS pearson FROM ({_BOTH}) t",
     "angle_spearman": f"SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u) w) t",
     "edge_rmse": f"SELECT round(sqrt(avg((a - b) * (a - b))), 6) AS rmse FROM ({_BOTH}) t JOIN @edges e ON e.a_id = t.src AND e.b_id = t.dst",
@@ -37,7 +37,7 @@ SHARED = {
     "false_close_all": "SELECT count(*) AS false_close FROM (SELECT c.src, c.dst FROM @cknn c JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score, dst DESC) AS worst, count(*) OVER (PARTITION BY src) AS n FROM @pairs) p ON p.src = c.src AND p.dst = c.dst WHERE p.worst <= floor(p.n / 10)) t",
     "false_close_graph": "SELECT count(*) AS false_close FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.score, p.dst DESC) AS worst, count(*) OVER (PARTITION BY p.src) AS n FROM @pairs p LEFT JOIN @edges e ON e.a_id = least(p.src, p.dst) AND e.b_id = greatest(p.src, p.dst) WHERE e.a_id IS NULL) w JOIN @cknn c ON c.src = w.src AND c.dst = w.dst WHERE w.worst <= greatest(1, ceil(w.n / 10))",
     "gate_check": "SELECT metric, value, bound, value <= bound AS passed FROM (SELECT 'norm_error' AS metric, round(max(abs(sqrt(x * x + y * y + z * z) - 1)), 9) AS value, 1e-12 AS bound FROM @c UNION ALL SELECT 'mean_norm', round(sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)), 9), 0.4 FROM @c) t",
-    "frontier_specs": "SELECT a.a, g.gamma, CASE WHEN a.a + (3.0 - a.a) * g.gamma / 2 > 4.5 THEN 'stretch too steep' END AS rejected FROM (SELECT 1.0 AS a UNION ALL SELECT 1.2 UNION ALL SELECT 1.5) a CROSS JOIN (SELECT 1.5 AS gamma UNION ALL SELECT 2.0 UNION ALL SELECT 3.0 UNION ALL SELECT 4.0) g",
+    "frontier_specs": "SELECT a.a, g.gamma, CASE WHEN a.a + (3.0 - a.a) * g.gamma / 2 > 4.5 THEN 'stretch too steep' END AS rejected FROM (SELECT 1 + n_nationkey / 20.0 AS a FROM @nation) a CROSS JOIN (SELECT 1.0 + r_regionkey / 2.0 AS gamma FROM @region) g",
     "relation_recall": "SELECT round(avg(CASE WHEN d.ca IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall FROM (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @pairs p JOIN @v a ON a.id = p.src JOIN @v b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) u WHERE r <= 3) s LEFT JOIN (SELECT ca, cb FROM (SELECT a.label AS ca, b.label AS cb, row_number() OVER (PARTITION BY a.label ORDER BY round(avg(p.score), 9) DESC, b.label) AS r FROM @cpairs p JOIN @c a ON a.id = p.src JOIN @c b ON b.id = p.dst WHERE a.label <> b.label GROUP BY a.label, b.label) w WHERE r <= 3) d ON d.ca = s.ca AND d.cb = s.cb",
 }
 

@@ -36,11 +36,6 @@ def regroup_axes(spark: SparkSession, d: str) -> DataFrame:
     return projection.regroup_axes(_axes(spark, d), AXES).select("id", F.size("raw").cast("long").alias("n"), F.round(F.aggregate(F.transform("raw", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("weighted"))
 
 
-def balanced_query(spark: SparkSession, d: str) -> DataFrame:
-    chosen = spark.createDataFrame([(0, "taste", 2.0), (4, "taste", 1.0), (20, "fruit", 1.0)], "axis_order int, category string, weight double")
-    return projection.balanced_query(chosen).select(F.col("axis_order").cast("long").alias("axis"), F.round("share", 9).alias("share"))
-
-
 def name_search(spark: SparkSession, d: str) -> DataFrame:
     names = domain.parts(spark, d).groupBy("name").agg(F.min("id").alias("id")).select("id", "name", F.col("name").alias("name_en"))
     return search.search(names, "red wid", 20)
@@ -100,7 +95,6 @@ _ALL = [
     ("graph48_project", graph48_project, _P + "g AS (SELECT id, axis, (0.25 * b + 0.5 * c + 0.75 * d + e) / (a + b + c + d + e) * sqrt(1 / 3.0) AS y FROM e) SELECT id, axis, round(y / sqrt(sum(y * y) OVER (PARTITION BY id)), 6) AS value FROM g"),
     ("preference48_project", preference48_project, _P + "g AS (SELECT 1) SELECT id, axis, round(CASE WHEN axis < 5 THEN (0.2 * b + 0.65 * c + d + 0.8 * e) ELSE (0.25 * b + 0.5 * c + 0.75 * d + e) END / (a + b + c + d + e), 6) AS value FROM e"),
     ("regroup_axes", regroup_axes, _P + "g AS (SELECT id, (axis * 5 * (a + b + c + d + e) + a + 2 * b + 3 * c + 4 * d + 5 * e) / (a + b + c + d + e) AS y FROM e) SELECT id, count(*) * 5 AS n, round(sum(y), 6) AS weighted FROM g GROUP BY id"),
-    ("balanced_query", balanced_query, "WITH c AS (SELECT * FROM (VALUES (0::BIGINT, 'taste', 2.0::DOUBLE), (4, 'taste', 1.0), (20, 'fruit', 1.0)) t(axis, category, weight)) SELECT axis, round(weight / sum(weight) OVER (PARTITION BY category) / (SELECT count(DISTINCT category) FROM c), 9) AS share FROM c"),
     ("extract_descriptors", extract_descriptors, "SELECT doc_id, category, code, place FROM (SELECT doc_id, category, code, instr(text, alias) AS place, row_number() OVER (PARTITION BY doc_id, category ORDER BY instr(text, alias), ord) AS r FROM documents, (VALUES ('article', 'the', 'the', 0), ('article', 'a', 'a ', 1), ('link', 'and', 'and', 0), ('link', 'of', 'of ', 1)) t(category, code, alias, ord) WHERE contains(text, alias)) WHERE r = 1"),
     ("events_by_window", events_by_window, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     ("mean_pool", mean_pool, "SELECT owner, round(max(CASE WHEN pos = 1 THEN x END) / sqrt(sum(x * x)), 6) AS first, round(max_by(x, pos) / sqrt(sum(x * x)), 6) AS last FROM (SELECT label AS owner, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY owner"),
