@@ -35,11 +35,15 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "caption": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "colgroup": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 CLOSE_P = (BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "dt", "dd", "li"}) | {"li", "dt", "dd"}
 BARRIER = {"table", "td", "th", "caption", "html", "button", "object", "template"}
+#: A column is padded to this width at most; a wider cell shifts the rest of its row.
+COLUMN = 200
 #: Tables nested deeper than this show their cells one below another instead of in columns.
 NESTED_TABLES = 60
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -100,6 +104,11 @@ class TreeBuilder(HTMLParser):
         place = next((i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is self.stack[at]), len(siblings))
         siblings.insert(place, child)
 
+    def _leave_colgroup(self, foreign: bool) -> None:
+        """What does not belong into a column group ends it."""
+        if foreign and self.stack[-1].tag == "colgroup":
+            self._cut(len(self.stack) - 1)
+
     def _open(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         if self.stack[-1].tag in TABLE_PARTS and self.open["table"] and tag not in STAYS:
@@ -126,6 +135,9 @@ class TreeBuilder(HTMLParser):
             return
         if self.body is None and not (tag in HEAD_ONLY or any(n.tag in HIDDEN for n in self.stack)):
             self._need_body()
+        self._leave_colgroup(tag not in ("col", "template"))
+        if tag == "table" and self.stack[-1].tag in TABLE_PARTS and self.open["table"]:  # a table straight within table parts ends the one it stands in
+            self._cut(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == "table"))
         if tag in IN_TABLE - {"table"} and self.open["table"]:  # back to the table from what was put before it
             at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in IN_TABLE)
             if self.stack[at].tag in TABLE_PARTS:
@@ -172,6 +184,7 @@ class TreeBuilder(HTMLParser):
             if not data.strip(" \t\n\r\f"):
                 return
             self._need_body()
+        self._leave_colgroup(bool(data.strip(" \t\n\r\f")))
         if self.stack[-1].tag in TABLE_PARTS and self.open["table"] and data.strip(" \t\n\r\f"):
             self._before_table(data)
         else:
@@ -292,10 +305,10 @@ def _render_table(node: Node, seen: bool, nested: int) -> list[str]:
     widths: dict[int, int] = {}
     for cells in table:
         for i, cell in enumerate(cells):
-            widths[i] = max([widths.get(i, 0), *map(_width, cell)])
+            widths[i] = min(COLUMN, max([widths.get(i, 0), *map(_width, cell)]))
     for cells in table:
         for k in range(max(map(len, cells), default=0)):
-            line = "".join((x := cell[k] if k < len(cell) else "") + " " * (widths[i] - _width(x) + 2) for i, cell in enumerate(cells))
+            line = "".join((x := cell[k] if k < len(cell) else "") + " " * max(2, widths[i] - _width(x) + 2) for i, cell in enumerate(cells))
             lines.append(line.rstrip())
     return [x for x in lines if x]
 
