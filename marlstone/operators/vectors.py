@@ -11,8 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +162,29 @@ def all_pairs(vectors: DataFrame, metric: str = "cosine", block_rows: int = BLOC
     return _tiles(vectors, block_rows, group_bytes)[0].mapInPandas(every, "src long, dst long, score double")
 
 
+def paired(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(id, v) of two spaces to (src, dst, score, placed) of every pair src < dst of ids that both have: the cosines in the one and in the other, from one pass over tiles that hold both vectors of a row. For audits of small sets, like ``all_pairs``."""
+    width = left.where("v is not null").agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    both = left.select("id", "v").where("v is not null").join(right.where("v is not null").select("id", F.col("v").alias("w")), "id").select("id", F.concat("v", "w").alias("v"))
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sources, tile = [], None
+        for at, kind, ids, v in _blocks(batches):
+            if at != tile:
+                sources, tile = [], at
+            if kind == 0:
+                sources.append((ids, v))
+                continue
+            for own, a in sources:
+                for low in range(0, len(own), 256):
+                    part, x = own[low : low + 256], a[low : low + 256]
+                    one, other = (_scores(part, x[:, c], ids, v[:, c], "cosine") for c in (slice(0, width), slice(width, None)))
+                    above = part[:, None] < ids[None]
+                    yield pd.DataFrame({"src": np.broadcast_to(part[:, None], above.shape)[above], "dst": np.broadcast_to(ids[None], above.shape)[above], "score": one[above], "placed": other[above]})
+
+    return _tiles(both, block_rows, group_bytes)[0].mapInPandas(every, "src long, dst long, score double, placed double")
+
+
 def nearest_to(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", exclude: list[int] = ()) -> DataFrame:
     """The k best rows for one query vector: (id, score), by score, then id. One scan, no shuffle but the top k."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -200,6 +221,10 @@ def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     The covariance is summed in the executors; only its square of the dimension comes to the
     driver. Components point so that their largest weight is positive. Null vectors are left out.
     """
+    # (here, so that the workers of the tiles need not load it)
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     kept = vectors.where("v is not null").select("id", "v")
     means = {r["i"]: r["m"] for r in kept.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()}
     centre = F.array(*[F.lit(means[i]) for i in range(len(means))])

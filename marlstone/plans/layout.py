@@ -12,7 +12,7 @@ BANDS, SECTORS = 8, 16
 CELLS = BANDS * SECTORS
 
 _ANG = "acos(least(1.0, greatest(-1.0, score)))"
-_BOTH = f"SELECT p.src, p.dst, acos(least(1.0, greatest(-1.0, p.score))) AS a, acos(least(1.0, greatest(-1.0, c.score))) AS b FROM @pairs p JOIN @cpairs c ON p.src = c.src AND p.dst = c.dst WHERE p.src < p.dst"
+_BOTH = "SELECT src, dst, acos(least(1.0, greatest(-1.0, score))) AS a, acos(least(1.0, greatest(-1.0, placed))) AS b FROM @twins"
 _SUMMARY = "round(min(x), 6) AS low, round(PCT(x, 0.1), 6) AS p10, round(PCT(x, 0.25), 6) AS p25, round(PCT(x, 0.5), 6) AS median, round(PCT(x, 0.75), 6) AS p75, round(PCT(x, 0.9), 6) AS p90, round(PCT(x, 0.95), 6) AS p95, round(max(x), 6) AS high, round(avg(x), 6) AS mean"
 
 SHARED = {
@@ -22,9 +22,9 @@ SHARED = {
     "zscore_offdiag": "SELECT src, count(*) AS n, round(avg((score - m) / s), 6) AS mean_z, round(min((score - m) / s), 6) AS low_z, round(max((score - m) / s), 6) AS high_z, round(sqrt(avg((score - m) * (score - m))) / max(s), 6) AS rms_z FROM @pairs CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM @pairs) t GROUP BY src",
     "angle_corr": f"SELECT round(corr(a, b), 6) AS pearson FROM ({_BOTH}) t",
     "angle_spearman": f"SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (SELECT round(a, 9) AS a, round(b, 9) AS b FROM ({_BOTH}) u) w) t",
-    "edge_rmse": f"SELECT round(sqrt(avg((a - b) * (a - b))), 6) AS rmse FROM ({_BOTH}) t JOIN @edges e ON e.a_id = t.src AND e.b_id = t.dst",
+    "edge_rmse": "SELECT round(sqrt(avg((s - p) * (s - p))), 6) AS rmse FROM (SELECT acos(least(1.0, greatest(-1.0, e.score))) AS s, acos(least(1.0, greatest(-1.0, a.x * b.x + a.y * b.y + a.z * b.z))) AS p FROM @edges e JOIN @c a ON a.id = e.a_id JOIN @c b ON b.id = e.b_id) t",
     "norm_error": "SELECT round(max(abs(sqrt(x * x + y * y + z * z) - 1)), 9) AS worst FROM @c",
-    "normalized_stress": "SELECT round(sqrt(greatest(0.0, sdd - sdv * sdv / svv) / sdd), 6) AS stress, round(sdv / svv, 6) AS scale FROM (SELECT sum(d * d) AS sdd, sum(d * v) AS sdv, sum(v * v) AS svv FROM (SELECT 1 - p.score AS d, sqrt(greatest(0.0, 2 - 2 * c.score)) AS v FROM @pairs p JOIN @cpairs c ON p.src = c.src AND p.dst = c.dst WHERE p.src < p.dst) u) t",
+    "normalized_stress": "SELECT round(sqrt(greatest(0.0, sdd - sdv * sdv / svv) / sdd), 6) AS stress, round(sdv / svv, 6) AS scale FROM (SELECT sum(d * d) AS sdd, sum(d * v) AS sdv, sum(v * v) AS svv FROM (SELECT 1 - score AS d, sqrt(greatest(0.0, 2 - 2 * placed)) AS v FROM @twins) u) t",
     "ks_uniform_sphere": f"SELECT round(max(greatest(r / n - cdf, cdf - (r - 1) / n)), 9) AS ks FROM (SELECT (1 - cos(x)) / 2 AS cdf, row_number() OVER (ORDER BY x) * 1.0 AS r, count(*) OVER () AS n FROM (SELECT {_ANG} AS x FROM @cpairs WHERE src < dst) u) t",
     "monotone_violations": f"SELECT count_if(b - prev < -1e-12) AS violations, count(*) AS n FROM (SELECT b, lag(b) OVER (PARTITION BY src ORDER BY a, dst) AS prev FROM ({_BOTH}) u) t",
     "stretch_deciles": f"SELECT decile, count(*) AS n, round(avg(b / a), 6) AS mean_stretch FROM (SELECT a, b, CASE WHEN a < q1 THEN 0 WHEN a < q2 THEN 1 WHEN a < q3 THEN 2 WHEN a < q4 THEN 3 WHEN a < q5 THEN 4 WHEN a < q6 THEN 5 WHEN a < q7 THEN 6 WHEN a < q8 THEN 7 WHEN a < q9 THEN 8 ELSE 9 END AS decile FROM ({_BOTH}) u CROSS JOIN (SELECT " + ", ".join(f"PCT(a, 0.{i}) AS q{i}" for i in range(1, 10)) + f" FROM ({_BOTH}) w) q) t GROUP BY decile",

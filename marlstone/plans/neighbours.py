@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import domain, graphs, vectors
+from ..session import cut
 from .relations import K, duckdb_sql, spark_sql
 
 SHARED = {
@@ -40,6 +41,10 @@ ORACLES = {name: duckdb_sql(text).replace(" AS STRING)", " AS VARCHAR)").replace
 _FAVOR = "SELECT user_id, id, round(best, 4) AS similarity, CAST(r AS BIGINT) AS r FROM (SELECT user_id, id, best, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 4) DESC, id) AS r FROM (SELECT user_id, id, max(score) AS best FROM (SELECT l.user_id, p.dst AS id, p.score, row_number() OVER (PARTITION BY l.user_id, l.item_id ORDER BY p.score DESC, p.dst) AS n FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id) AS recency FROM @likes) l JOIN @pairs p ON p.src = l.item_id LEFT JOIN @likes o ON o.user_id = l.user_id AND o.item_id = p.dst WHERE l.recency <= 5 AND o.item_id IS NULL) c WHERE n <= 5 GROUP BY user_id, id) b) t WHERE r <= 5"
 
 
+#: So many neighbours beyond five are looked at first.
+SHALLOW = 8
+
+
 def favor_recommend(spark: SparkSession, d: str) -> DataFrame:
     """Items near a user's latest likes. Of n liked items, at most n stand among an item's nearest 5 + n, so no more neighbours are needed than those of the user with the most."""
     v = domain.vectors(spark, d)
@@ -47,9 +52,19 @@ def favor_recommend(spark: SparkSession, d: str) -> DataFrame:
     recent = likes.withColumn("recency", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "item_id"))).where("recency <= 5")
     known = likes.join(v.select(F.col("id").alias("item_id")), "item_id", "left_semi")
     most = known.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    near = vectors.knn(v, K + most).select(F.col("src").alias("item_id"), F.col("dst").alias("id"), "score")
-    met = recent.join(near, "item_id").join(known.select("user_id", F.col("item_id").alias("id")), ["user_id", "id"], "left_anti")
-    first = met.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.col("score").desc(), "id"))).where("n <= 5")
+    near = cut(vectors.knn(v, K + most).select(F.col("src").alias("item_id"), F.col("dst").alias("id"), "rank", "score"))
+    liked = known.select("user_id", F.col("item_id").alias("id"))
+
+    def unliked(pairs: DataFrame, depth: int) -> DataFrame:
+        met = pairs.join(near.where(F.col("rank") <= depth), "item_id").join(liked, ["user_id", "id"], "left_anti")
+        return met.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.col("score").desc(), "id"))).where("n <= 5")
+
+    # most users like few of an item's nearest: only where these leave too few is the whole list looked at
+    pairs = recent.select("user_id", "item_id")
+    first = cut(unliked(pairs, min(K + SHALLOW, K + most)))
+    if most > SHALLOW:
+        enough = first.where(F.col("n") == 5).select("user_id", "item_id")
+        first = first.join(enough, ["user_id", "item_id"], "left_semi").unionByName(unliked(pairs.join(enough, ["user_id", "item_id"], "left_anti"), K + most))
     best = first.groupBy("user_id", "id").agg(F.round(F.max("score"), 4).alias("similarity"))
     ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("similarity").desc(), "id")).cast("long"))
     return ranked.where("r <= 5").select("user_id", "id", "similarity", "r")
