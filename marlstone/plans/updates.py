@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import domain, projection
 from ..session import shared_dir, table
 from ..sources.keyed_table import KeyedTable, export, verify_update
-from .relations import duckdb_sql, spark_sql
+from .relations import duckdb_sql
 
 
 def _folder(spark: SparkSession, what: str) -> str:
@@ -82,18 +82,6 @@ def parse_reasons(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(reason.alias("reason"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-#: Settings from the nations (slope) and regions (exponent); angles of the union edges, stretched by each; gates by metric.
-GRID = (
-    "SELECT s.a, s.gamma, m.metric, round(m.value, 6) AS value, CASE WHEN s.steep > 4.5 THEN 'stretch too steep' WHEN m.value IS NULL THEN 'no edges' END AS reason, CASE WHEN s.steep <= 4.5 THEN CASE WHEN m.metric = 'clamped' THEN m.value <= 0.05 ELSE m.value <= 0.5 END END AS passed FROM "
-    "(SELECT n_nationkey AS i, r_regionkey AS j, 1 + n_nationkey / 20.0 AS a, 1.0 + r_regionkey / 2.0 AS gamma, (1 + n_nationkey / 20.0) + (3.0 - (1 + n_nationkey / 20.0)) * (1.0 + r_regionkey / 2.0) / 2 AS steep FROM @nation CROSS JOIN @region) s JOIN "
-    "(SELECT i, j, 'clamped' AS metric, avg(CASE WHEN y >= pi() THEN 1.0 ELSE 0.0 END) AS value FROM @stretched GROUP BY i, j UNION ALL SELECT i, j, 'rmse', sqrt(avg((least(y, pi()) - placed) * (least(y, pi()) - placed))) FROM @stretched GROUP BY i, j) m ON m.i = s.i AND m.j = s.j"
-)
-_STRETCHED = (
-    "(SELECT n_nationkey AS i, r_regionkey AS j, placed, (1 + n_nationkey / 20.0) * t + (3.0 - (1 + n_nationkey / 20.0)) / 3.141592653589793 * power(t, 1.0 + r_regionkey / 2.0) AS y FROM @nation CROSS JOIN @region CROSS JOIN "
-    "(SELECT acos(least(1.0, e.score)) AS t, acos(greatest(-1.0, least(1.0, a.x * b.x + a.y * b.y + a.z * b.z))) AS placed FROM @edges e JOIN @c a ON a.id = e.a_id JOIN @c b ON b.id = e.b_id) p)"
-)
-_GRID = GRID.replace("@stretched", _STRETCHED)
-
 _LABELS = "(SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id)"
 _DOCS = "(SELECT doc_id, min(lang) AS lang, min(source) AS source, min(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)"
 _ALL = [
@@ -103,7 +91,6 @@ _ALL = [
     ("export_run", export_run, f"WITH x AS (SELECT coalesce(length(text) < 40, true) AS wrong, quality FROM {_DOCS} d LEFT JOIN {_LABELS} l ON l.doc_id = d.doc_id) SELECT count_if(NOT wrong)::BIGINT AS valid, count_if(wrong)::BIGINT AS invalid, count_if(NOT wrong AND quality IS NULL)::BIGINT AS current_rows, count_if(NOT wrong AND quality IS NOT NULL)::BIGINT AS generated, count_if(NOT wrong)::BIGINT AS exported FROM x"),
     ("balanced_query", balanced_query, duckdb_sql("SELECT request, axis, round(weight / sum(weight) OVER (PARTITION BY request, axis % 4) / categories, 9) AS share FROM (SELECT user_id AS request, item_id % 12 AS axis, count(*)::DOUBLE AS weight FROM @likes GROUP BY 1, 2) JOIN (SELECT user_id AS request, count(DISTINCT item_id % 12 % 4) AS categories FROM @likes GROUP BY 1) USING (request)")),
     ("parse_reasons", parse_reasons, "SELECT reason, event_type, count(*) AS n, min(event_id) AS first FROM (SELECT event_type, event_id, CASE WHEN props IS NULL THEN 'missing' WHEN NOT json_valid(props) THEN 'not json' WHEN try_cast(json_extract_string(props, '$.k') AS INTEGER) IS NULL THEN 'no number k' WHEN try_cast(json_extract_string(props, '$.k') AS INTEGER) < 0 THEN 'negative' WHEN value IS NULL THEN 'no value' ELSE 'accepted' END AS reason FROM events) GROUP BY 1, 2"),
-    ("experiment_grid", spark_sql(_GRID), duckdb_sql(_GRID)),
 ]
 QUERIES = {name: f for name, f, _ in _ALL}
 ORACLES = {name: sql for name, _, sql in _ALL}
