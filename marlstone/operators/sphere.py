@@ -116,3 +116,26 @@ def uniform_reference(spark: SparkSession, count: int, replicates: int, seed: in
     wide = nn.join(bias, "replicate").join(cells, "replicate")
     long = wide.unpivot("replicate", [c for c in wide.columns if c != "replicate"], "metric", "value")
     return long.groupBy("metric").agg(F.count("*").alias("replicates"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+
+
+def spherical_cap(points: DataFrame, centre: tuple[float, float, float], radius: float, quantile: float = 1.0) -> DataFrame:
+    """(id, px, py) of a flat layout to (id, x, y, z) on the cap of ``radius`` radians around ``centre``: the direction from the mean stays, and so does the distance in proportion, of which the given quantile reaches the rim and what is beyond is held there."""
+    if not 0 < radius < math.pi or not 0.5 <= quantile <= 1:
+        raise ValueError("the radius lies between 0 and pi, the quantile between 0.5 and 1")
+    mean = points.agg(F.avg("px").alias("mx"), F.avg("py").alias("my"))
+    flat = points.join(F.broadcast(mean)).select("id", (F.col("px") - F.col("mx")).alias("px"), (F.col("py") - F.col("my")).alias("py")).withColumn("r", F.hypot("px", "py"))
+    scale = flat.agg(F.percentile("r", F.lit(quantile))).first()[0]
+    if scale is None:
+        return points.select("id", *[F.lit(0.0).alias(c) for c in "xyz"]).limit(0)
+    if scale <= 1e-12:
+        raise ValueError("the layout is one point")
+    n = math.sqrt(sum(c * c for c in centre))
+    c = [x / n for x in centre]
+    axis = (1.0, 0.0, 0.0) if abs(c[2]) > 0.9 else (0.0, 0.0, 1.0)
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    u = cross(axis, c)
+    length = math.sqrt(sum(x * x for x in u))
+    u = [x / length for x in u]
+    v = cross(c, u)
+    far, angle = F.least(F.lit(1.0), F.col("r") / scale) * radius, F.atan2("py", "px")
+    return flat.select("id", *[(F.cos(far) * c[i] + F.sin(far) * (F.cos(angle) * u[i] + F.sin(angle) * v[i])).alias("xyz"[i]) for i in range(3)])

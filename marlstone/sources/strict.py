@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, escape: str = "\\") -> DataFrame:
-    """A CSV file whose header must be the schema's names in order; blank and malformed rows fail the read, empty strings are null."""
+    """CSV files whose headers, each file's own, must be the schema's names in order; blank and malformed rows fail the read, empty strings are null. A byte order mark is let pass in a single file."""
     options = {"nullValue": "", "escape": escape}
     first = spark.read.text(path).where("value <> ''").first()
     names = [] if first is None else list(spark.read.options(**options).csv(spark.sparkContext.parallelize([first["value"].lstrip("\ufeff").strip("\r")])).first())
@@ -17,7 +17,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, escape: str =
     lines = spark.read.text(path)
     if lines.where(F.regexp_replace("value", "[,\\s]", "") == "").limit(1).count():
         raise ValueError("a blank row")
-    return spark.read.schema(schema).options(header=True, enforceSchema=True, mode="FAILFAST", **options).csv(path)
+    # (the reader itself holds each file's header against the schema, but for a mark before the first name)
+    marked = first["value"].startswith("\ufeff")
+    if marked and len(spark.read.text(path).inputFiles()) > 1:
+        raise ValueError("a byte order mark in one of several files")
+    return spark.read.schema(schema).options(header=True, enforceSchema=marked, mode="FAILFAST", **options).csv(path)
 
 
 def write_csv_verified(df: DataFrame, path: str) -> None:

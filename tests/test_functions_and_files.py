@@ -4,6 +4,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions import text
 from marlstone.operators import ingest, ordering, sphere
@@ -117,7 +118,6 @@ def test_vectors_lines_and_shards(spark, tmp_path):
 
 
 def test_blank_rows_and_quoted_headers(spark, tmp_path):
-    from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("a,b", T.StringType()), T.StructField("c", T.LongType())])
     (tmp_path / "q.csv").write_text('"a,b",c\nx,1\n')
@@ -125,3 +125,16 @@ def test_blank_rows_and_quoted_headers(spark, tmp_path):
     (tmp_path / "r.csv").write_text('"a,b",c\nx,1\n,\n')
     with pytest.raises(ValueError, match="blank"):
         strict.read_csv(spark, f"{tmp_path}/r.csv", schema)
+
+
+def test_every_files_header_is_checked(spark, tmp_path):
+    schema = T.StructType().add("a", "string").add("b", "string")
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        strict.read_csv(spark, str(tmp_path), schema).collect()
+    (tmp_path / "two.csv").write_text("a,b\n3,4\n")
+    assert sorted(map(tuple, strict.read_csv(spark, str(tmp_path), schema).collect())) == [("1", "2"), ("3", "4")]
+    (tmp_path / "two.csv").unlink()
+    (tmp_path / "one.csv").write_text("\ufeffa,b\n1,2\n", encoding="utf-8")
+    assert [tuple(r) for r in strict.read_csv(spark, str(tmp_path), schema).collect()] == [("1", "2")]
