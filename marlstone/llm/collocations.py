@@ -1,12 +1,14 @@
 """Phrase collocations by hierarchical pair naming.
 
 Texts become chunks of word numbers. A phrase of k words is the pair of the two phrases of k - 1 words
-that overlap in it. Each chunk lists its different pairs of neighbouring names; the pairs are counted over all chunks, the
-frequent ones get a name (a number) in a table that points to their two parents, and a join of
-the chunks' lists with that table brings the names back, where neighbours form the pairs of the next round.
-Frequencies of the first and last words of a phrase follow the parents' pointers, and so does the
-question whether a longer phrase takes a shorter one over. What a chunk holds is bounded; a phrase that no
-name stands for is a break, and runs of breaks shrink to one, so chunks get shorter with each round.
+that overlap in it. Each chunk lists its different pairs of neighbouring names with their counts. The lists are dealt out
+by a hash of the pair; where equal pairs of all chunks meet, they are counted, and the frequent ones get a
+name (a number) in a table that points to their two parents. The names go back to the chunks that
+list them, where neighbouring names form the pairs of the next round. Frequencies of the first and last words of a
+phrase follow the parents' pointers, and so does the question whether a longer phrase takes a shorter
+one over. What has no name is a break, and runs of breaks shrink to one, so chunks get shorter with each
+round. Lists and chunks travel as compressed columns: a row of a shuffle is the part of a chunk's list
+that falls into one bucket.
 """
 
 from __future__ import annotations
@@ -38,36 +40,96 @@ PARTS = 64
 _UPPER, _ENDS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"." * len(_ENDS) + b" ")
 _BREAK = b"."
-#: A row of a chunk has the chunk's number above so many bits, which hold its place in the chunk's list (over twice CHUNK).
-AT_BITS = 23
 #: Chunks of a task have the task's number above so many bits.
-CHUNK_BITS = 18
-_WORD_ROWS = pa.schema([("rid", pa.int64()), ("head", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
-_WORD_TYPES = "rid long, head binary, lang string, phrase string, c long"
-_PAIR_ROWS = pa.schema([("rid", pa.int64()), ("head", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64())])
-_PAIR_TYPES = "rid long, head binary, left long, right long, c long"
-#: Rows of a list that leave a task at once.
-OUT = 1 << 17
+CHUNK_BITS = 20
+#: List rows that a task counts at a time, on average: the lists are dealt out by key in so many buckets as that takes.
+BUCKET_ROWS = 1 << 20
+MAX_BUCKETS = 100_000
+_PARTS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+_PART_TYPES = "chunk long, lang string, bucket int, n long, data binary"
+_FOUND = pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("lang", pa.string()), ("id", pa.int64()), ("f", pa.int64()), ("phrase", pa.string()), ("left", pa.int64()), ("right", pa.int64())])
+_FOUND_TYPES = "chunk long, data binary, lang string, id long, f long, phrase string, left long, right long"
 
 
-def _packed(codes: np.ndarray, skip: int, size: int) -> bytes:
-    """What a chunk is but for its list: two numbers and its codes."""
-    return zlib.compress(np.array([skip, size], np.int32).tobytes() + codes.astype(np.int32).tobytes(), 1)
+def _planes(values: np.ndarray, steps: bool = True) -> bytes:
+    """Whole numbers from 0 on, compressed: their differences (``steps``) or themselves, byte by byte: all first bytes, then all second, as many as the greatest needs."""
+    import zstandard
 
+    values = np.asarray(values, np.int64)
+    if steps:
+        values = np.diff(values, prepend=0)
+        values = (values << 1) ^ (values >> 63)
+    wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    return bytes([wide, steps]) + zstandard.ZstdCompressor(level=3).compress(raw.tobytes())
 
-def _unpacked(head: bytes) -> tuple[np.ndarray, int, int]:
-    numbers = np.frombuffer(zlib.decompress(head), np.int32)
-    return numbers[2:], int(numbers[0]), int(numbers[1])
 
+def _from_planes(data: bytes) -> np.ndarray:
+    import zstandard
 
-def _rows(chunk: int, head: bytes, schema: pa.Schema, *columns) -> Iterator[pa.RecordBatch]:
-    """The row of a chunk's head, then those of its list (columns of values, the last the counts)."""
-    n = len(columns[-1])
-    yield pa.RecordBatch.from_arrays([pa.array([chunk << AT_BITS]), pa.array([head], pa.binary()), *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
-    for at in range(0, n, OUT):
-        part = [c[at : at + OUT] for c in columns]
-        rids = pa.array((chunk << AT_BITS) + np.arange(at, at + len(part[-1])))
-        yield pa.RecordBatch.from_arrays([rids, pa.nulls(len(rids), pa.binary()), *(pa.array(c, f.type) for c, f in zip(part, list(schema)[2:], strict=True))], schema=schema)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : data[0]] = raw.T
+    values = out.reshape(-1).view(np.int64)
+    return np.cumsum((values >> 1) ^ -(values & 1)) if data[1] else values
+
+
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _head(codes: np.ndarray, skip: int, size: int) -> bytes:
+    """What a chunk is but for its list: two numbers and its codes. Codes come as they are, without differences."""
+    import zstandard
+
+    raw = np.ascontiguousarray((codes.astype(np.int64) + 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return _joined(np.array([skip, size], np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(raw.tobytes()))
+
+
+def _from_head(data: bytes) -> tuple[np.ndarray, int, int]:
+    import zstandard
+
+    numbers, codes = _split(data)
+    skip, size = np.frombuffer(numbers, np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(codes), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(np.uint32).astype(np.int64) - 1, int(skip), int(size)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the places that fall into each, ascending."""
+    own = (hashes % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(own, kind="stable")
+    edges = np.flatnonzero(np.diff(own[by], prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], len(by)], strict=True):
+        yield int(own[by[lo]]), by[lo:hi]
+
+
+def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _chunk_rows(chunk: int, lang: str | None, head: bytes, size: int, parts: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The row of a chunk's head (bucket -1), then a row for each bucket of its list."""
+    yield _rows(_PARTS, chunk=[chunk], lang=[lang], bucket=[-1], n=[size], data=[head])
+    for bucket, n, data in parts:
+        yield _rows(_PARTS, chunk=[chunk], lang=[lang], bucket=[bucket], n=[n], data=[data])
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
@@ -99,18 +161,26 @@ class _Open:
         words = list(self.codes)
         return [words[c] for c in np.concatenate(self.parts[-n - 1 :])[-n:]] if n else []
 
-    def rows(self, chunk: int, lang: str) -> Iterator[pa.RecordBatch]:
+    def rows(self, chunk: int, lang: str, buckets: int) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         codes, words = np.concatenate(self.parts), list(self.codes)
         breaks = self.codes.get(_BREAK, -1)
         counts = np.bincount(codes[self.skip :], minlength=len(words))
-        if breaks >= 0:  # the break's place in the list stays empty
-            counts[breaks] = 0
-            codes[codes == breaks] = -1
-        yield from _rows(chunk, _packed(codes, self.skip, len(words)), _WORD_ROWS, [lang] * len(words), [w.decode("utf-8") for w in words], counts)
+        codes[codes == breaks] = -1
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
+        def parts() -> Iterator[tuple[int, int, bytes]]:
+            for bucket, at in _dealt(hashes, buckets):
+                at = at[at != breaks]
+                if len(at):
+                    yield bucket, int(counts[at].sum()), _joined(_planes(at), _planes(counts[at], False), zlib.compress(b"\n".join(words[i] for i in at.tolist()), 1))
 
-def word_chunks(docs: DataFrame, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` (text, lang) to chunks of one language: a row with the texts as numbers (head; -1: a break), and the list of the different words with their counts (c)."""
+        yield from _chunk_rows(chunk, lang, _head(codes, self.skip, len(words)), len(words), parts())
+
+
+def word_chunks(docs: DataFrame, buckets: int, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` (text, lang) to chunks of one language: a row with the texts as numbers (bucket -1; a break is -1), and the list of the different words with their counts, by buckets of a hash (n: words counted)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = count(TaskContext.get().partitionId() << CHUNK_BITS)
@@ -129,64 +199,116 @@ def word_chunks(docs: DataFrame, longest: int = LONGEST, chunk: int = CHUNK) ->
                         if total >= chunk:
                             context = chunks[lang].tail(longest - 1)
                             for x, c in chunks.items():
-                                yield from c.rows(next(numbers), x)
+                                yield from c.rows(next(numbers), x, buckets)
                             chunks, total = {lang: _Open(context)}, 0
                 chunks[lang].add([_BREAK]) if lang in chunks else None
         for x, c in chunks.items():
             if c.n > c.skip:
-                yield from c.rows(next(numbers), x)
+                yield from c.rows(next(numbers), x, buckets)
 
-    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(read, _WORD_TYPES)
+    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(read, _PART_TYPES)
 
 
-def pair_chunks(heads: DataFrame, named: DataFrame, last: bool = False) -> DataFrame:
-    """Chunks (rid, head) with the names of what stands in their lists (rid, id; what has none is a break) to chunks of pairs of neighbouring names, with the list of the pairs and their counts."""
+def pair_chunks(heads: DataFrame, found: DataFrame, buckets: int, last: bool = False) -> DataFrame:
+    """Chunks (chunk, data) with the names of what stands in their lists (chunk, data; what has none is a break) to chunks of pairs of neighbouring names, with the list of the pairs and their counts by buckets."""
 
-    def finish(chunk: int, head: bytes, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes, skip, size = _unpacked(head)
+    def finish(chunk: int, data: bytes, named: list[bytes]) -> Iterator[pa.RecordBatch]:
+        codes, skip, size = _from_head(data)
+        names = np.full(size, -1, np.int64)
+        for part in named:
+            at, ids = map(_from_planes, _split(part))
+            names[at] = ids
         known = np.append(names >= 0, False)[codes]  # (a break has the code -1)
         both = known[:-1] & known[1:]
         if not both.any():
             return
-        pairs, own = np.unique(codes[:-1][both].astype(np.int64) * size + codes[1:][both], return_inverse=True)
+        pairs, own = np.unique(codes[:-1][both] * size + codes[1:][both], return_inverse=True)
         place = np.flatnonzero(both) + 1  # a pair stands where it ends
         counts = np.bincount(own[place >= skip], minlength=len(pairs))
+        left, right = names[pairs // size], names[pairs % size]
         kept = both | np.concatenate(([False], both[:-1]))
-        out = np.full(len(both), -1, np.int32)
+        out = np.full(len(both), -1, np.int64)
         out[both] = own
-        packed = _packed(out[kept][: 0 if last else None], int(kept[: max(0, skip - 1)].sum()), len(pairs))
-        yield from _rows(chunk, packed, _PAIR_ROWS, names[pairs // size], names[pairs % size], counts)
+        head = _head(out[kept][: 0 if last else None], int(kept[: max(0, skip - 1)].sum()), len(pairs))
+
+        def parts() -> Iterator[tuple[int, int, bytes]]:
+            for bucket, at in _dealt(_mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)), buckets):
+                yield bucket, int(counts[at].sum()), _joined(_planes(at), _planes(counts[at], False), _planes(left[at], False), _planes(right[at], False))
+
+        yield from _chunk_rows(chunk, None, head, len(pairs), parts())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        chunk, data, named = None, None, []
         for batch in batches:
-            rids, ids = batch.column("rid").to_numpy(), batch.column("id").to_numpy()
-            edges = [0, *np.flatnonzero(ids < 0), len(ids)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo < hi and ids[lo] < 0:
-                    if now:
-                        yield from finish(*now)
-                    head = batch.column("head")[int(lo)].as_py()
-                    now = int(rids[lo]) >> AT_BITS, head, np.full(_unpacked(head)[2], -1, np.int64)
-                    lo += 1
-                if lo < hi:
-                    now[2][rids[lo:hi] & ((1 << AT_BITS) - 1)] = ids[lo:hi]
-        if now:
-            yield from finish(*now)
-
-    rows = heads.select("rid", F.lit(-1).cast("long").alias("id"), "head").unionByName(named.select("rid", "id"), allowMissingColumns=True)
-    rows = rows.withColumn("chunk", F.shiftright("rid", AT_BITS)).repartition("chunk").sortWithinPartitions("chunk", "id")
-    return rows.select("rid", "id", "head").mapInArrow(pair, _PAIR_TYPES)
-
-
-def _frequent(flat: DataFrame, keys: list[str], minimum: int) -> DataFrame:
-    """The list rows of all chunks whose keys are frequent: (rid, id, f, keys). A name's id is the least rid of its rows; the keys stand in that row alone.
-
-    One shuffle both counts and names: a key has one row a chunk at most, so none is hot.
+            for own, part, head in zip(*batch.columns, strict=True):
+                if head.as_py():
+                    if data is not None:
+                        yield from finish(chunk, data, named)
+                    chunk, data, named = own.as_py(), part.as_py(), []
+                else:
+                    named.append(part.as_py())
+        if data is not None:
+            yield from finish(chunk, data, named)
+
+    rows = heads.select("chunk", "data", F.lit(True).alias("head")).unionByName(found.select("chunk", "data", F.lit(False).alias("head")))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("head")).select("chunk", "data", "head").mapInArrow(pair, _PART_TYPES)
+
+
+def _count(parts: DataFrame, minimum: int, words: bool, buckets: int) -> DataFrame:
+    """The lists of all chunks, bucket by bucket, to the names of the frequent keys (id, f and the key) and, for each chunk, the places of its list that have a name (data).
+
+    A key has one place in a chunk at most, so no bucket grows with how often a key occurs. Names are numbered
+    through the buckets in turn, so their numbers stay small.
     """
-    own = Window.partitionBy(*keys)
-    rows = flat.where("head is null").select(*keys, "c", "rid").withColumns({"f": F.sum("c").over(own), "id": F.min("rid").over(own)}).where(F.col("f") >= minimum)
-    return written(rows.select("rid", "id", "f", *[F.when(F.col("rid") == F.col("id"), F.col(k)).alias(k) for k in keys]), "phrases")
+
+    def finish(bucket: int, langs: list, chunks: list, datas: list) -> Iterator[pa.RecordBatch]:
+        lists = [_split(d) for d in datas]
+        ats, counts = [_from_planes(x[0]) for x in lists], np.concatenate([_from_planes(x[1]) for x in lists])
+        if words:
+            numbers: defaultdict[tuple, int] = defaultdict(count().__next__)
+            own = np.array([numbers[lang, w] for lang, x in zip(langs, lists, strict=True) for w in zlib.decompress(x[2]).split(b"\n")], np.int64)
+            keys = list(numbers)
+        else:
+            keys, own = np.unique(np.stack([np.concatenate([_from_planes(x[i]) for x in lists]) for i in (2, 3)], axis=1), axis=0, return_inverse=True)
+            own = own.reshape(-1)
+        f = np.zeros(len(keys), np.int64)
+        np.add.at(f, own, counts)
+        often = np.flatnonzero(f >= minimum)
+        if not len(often):
+            return
+        ids = np.full(len(keys), -1, np.int64)
+        ids[often] = np.arange(len(often)) * buckets + bucket
+        if words:
+            key = {"lang": [keys[i][0] for i in often], "phrase": [keys[i][1].decode("utf-8") for i in often]}
+        else:
+            key = {"left": keys[often, 0], "right": keys[often, 1]}
+        yield _rows(_FOUND, id=ids[often], f=f[often], **key)
+        begin = 0
+        for chunk, at in zip(chunks, ats, strict=True):
+            named = ids[own[begin : begin + len(at)]]
+            begin += len(at)
+            if (named >= 0).any():
+                yield _rows(_FOUND, chunk=[chunk], data=[_joined(_planes(at[named >= 0]), _planes(named[named >= 0], False))])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, langs, chunks, datas = None, [], [], []
+        for batch in batches:
+            for bucket, *rest in zip(*batch.columns, strict=True):
+                if bucket.as_py() != now:
+                    if datas:
+                        yield from finish(now, langs, chunks, datas)
+                    now, langs, chunks, datas = bucket.as_py(), [], [], []
+                for to, x in zip((chunks, langs, datas), rest, strict=True):
+                    to.append(x.as_py())
+        if datas:
+            yield from finish(now, langs, chunks, datas)
+
+    rows = parts.where("bucket >= 0").select("bucket", "chunk", "lang", "data")
+    return written(rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tally, _FOUND_TYPES), "phrases")
+
+
+def _buckets(rows: int) -> int:
+    return max(8, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MINIMUM, chunk: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
@@ -194,23 +316,27 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MIN
 
     A name has id, lang, phrase, f, its parents' ids (left, right) and the frequencies of its first and last 1, 2, ... words (firsts, lasts).
     """
-    flat = written(word_chunks(docs, longest, chunk), "words")
-    words = flat.where("head is null").groupBy("lang").agg(F.sum("c").alias("n"))
-    found = _frequent(flat, ["lang", "phrase"], minimum)
-    own = found.where("rid = id")
-    tables = [cut(own.select("id", "lang", "phrase", "f", F.col("phrase").alias("last"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("firsts"), F.array("f").alias("lasts")))]
-    for k in range(2, longest + 1):
-        names = tables[-1]
-        flat = written(pair_chunks(flat.where("head is not null").select("rid", "head"), found, last=k == longest), "pairs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = _buckets(size // 32)
+    parts = written(word_chunks(docs, buckets, longest, chunk), "words")
+    words = parts.where("bucket >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    tables = []
+    for k in range(1, longest + 1):
+        found = _count(parts, minimum, k == 1, buckets)
+        own = found.where("id is not null")
+        if k == 1:
+            names = own.select("id", "lang", "phrase", "f", F.col("phrase").alias("last"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))
+        else:
+            first = tables[-1].select(F.col("id").alias("left"), "lang", "phrase", "firsts")
+            second = tables[-1].select(F.col("id").alias("right"), "last", "lasts")
+            joined = own.select("id", "left", "right", "f").join(first, "left").join(second, "right")
+            names = joined.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "f", "last", "left", "right", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))
+        tables.append(cut(names))
         if k < longest:
-            found = _frequent(flat, ["left", "right"], minimum)
-            own = found.where("rid = id").select("id", "left", "right", "f")
-        else:  # (nothing is renamed any more)
-            own = flat.where("head is null").groupBy("left", "right").agg(F.sum("c").alias("f")).where(F.col("f") >= minimum).withColumn("id", F.monotonically_increasing_id())
-        first = names.select(F.col("id").alias("left"), "lang", "phrase", "firsts")
-        second = names.select(F.col("id").alias("right"), "last", "lasts")
-        joined = own.join(first, "left").join(second, "right")
-        tables.append(cut(joined.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "f", "last", "left", "right", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))))
+            listed = parts.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
+            heads, named = parts.where("bucket < 0").select("chunk", "data"), found.where("chunk is not null").select("chunk", "data")
+            buckets = _buckets(8 * listed if k == 1 else listed)
+            parts = written(pair_chunks(heads, named, buckets, last=k + 1 == longest), "pairs")
     return tables, words
 
 
