@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries of sums, quantiles and ranks over all pairs; their values are held against DuckDB in test_queries.
 FOLDED = [
     "borda_rank",
+    "ks_uniform_sphere",
 ]
 
 
