@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 FOLDED = [
     "borda_rank",
     "ks_uniform_sphere",
+    "nearest_compressed",
 ]
 
 
