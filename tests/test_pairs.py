@@ -11,6 +11,7 @@ FOLDED = [
     "borda_rank",
     "ks_uniform_sphere",
     "nearest_compressed",
+    "true_rank_summary",
 ]
 
 
