@@ -12,6 +12,7 @@ FOLDED = [
     "ks_uniform_sphere",
     "nearest_compressed",
     "true_rank_summary",
+    "dist_summary",
 ]
 
 
