@@ -13,6 +13,7 @@ FOLDED = [
     "nearest_compressed",
     "true_rank_summary",
     "dist_summary",
+    "stretch_deciles",
 ]
 
 
