@@ -14,6 +14,7 @@ FOLDED = [
     "true_rank_summary",
     "dist_summary",
     "stretch_deciles",
+    "false_close_all",
 ]
 
 
