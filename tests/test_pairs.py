@@ -15,6 +15,7 @@ FOLDED = [
     "dist_summary",
     "stretch_deciles",
     "false_close_all",
+    "false_close_graph",
 ]
 
 
