@@ -16,6 +16,7 @@ FOLDED = [
     "stretch_deciles",
     "false_close_all",
     "false_close_graph",
+    "inspection_table",
 ]
 
 
