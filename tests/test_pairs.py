@@ -17,6 +17,7 @@ FOLDED = [
     "false_close_all",
     "false_close_graph",
     "inspection_table",
+    "intruders",
 ]
 
 
