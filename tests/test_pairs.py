@@ -18,6 +18,7 @@ FOLDED = [
     "false_close_graph",
     "inspection_table",
     "intruders",
+    "within_cluster_sep",
 ]
 
 
