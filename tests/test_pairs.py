@@ -19,6 +19,7 @@ FOLDED = [
     "inspection_table",
     "intruders",
     "within_cluster_sep",
+    "within_cluster_recall",
 ]
 
 
