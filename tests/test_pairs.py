@@ -20,6 +20,7 @@ FOLDED = [
     "intruders",
     "within_cluster_sep",
     "within_cluster_recall",
+    "cluster_separation",
 ]
 
 
