@@ -21,6 +21,7 @@ FOLDED = [
     "within_cluster_sep",
     "within_cluster_recall",
     "cluster_separation",
+    "angle_corr",
 ]
 
 
