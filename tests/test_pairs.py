@@ -22,6 +22,7 @@ FOLDED = [
     "within_cluster_recall",
     "cluster_separation",
     "angle_corr",
+    "nn_angles",
 ]
 
 
