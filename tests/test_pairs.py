@@ -23,6 +23,7 @@ FOLDED = [
     "cluster_separation",
     "angle_corr",
     "nn_angles",
+    "normalized_stress",
 ]
 
 
