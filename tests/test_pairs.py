@@ -24,6 +24,7 @@ FOLDED = [
     "angle_corr",
     "nn_angles",
     "normalized_stress",
+    "angle_spearman",
 ]
 
 
