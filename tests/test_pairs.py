@@ -25,6 +25,7 @@ FOLDED = [
     "nn_angles",
     "normalized_stress",
     "angle_spearman",
+    "nonedge_sample",
 ]
 
 
