@@ -26,6 +26,7 @@ FOLDED = [
     "normalized_stress",
     "angle_spearman",
     "nonedge_sample",
+    "ranking_triples",
 ]
 
 
