@@ -87,3 +87,9 @@ def test_neighbours_within_a_label(spark):
     for i in range(300):
         others = [k for k in range(300) if k != i and label[k] == label[i] != 4]
         assert [got.get(ids[i], {})[q] for q in sorted(got.get(ids[i], {}))] == [ids[k] for k in sorted(others, key=lambda k: (-scores[i, k], k))[:4]]
+
+
+def test_zscores_of_every_pair(spark):
+    got = registry.QUERIES["zscore_offdiag"](spark, SF)
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert got.columns == ["src", "dst", "z"] and got.count() == n * (n - 1)
