@@ -27,6 +27,7 @@ FOLDED = [
     "angle_spearman",
     "nonedge_sample",
     "ranking_triples",
+    "silhouette",
 ]
 
 
