@@ -28,6 +28,7 @@ FOLDED = [
     "nonedge_sample",
     "ranking_triples",
     "silhouette",
+    "relation_recall",
 ]
 
 
