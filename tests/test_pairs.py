@@ -29,6 +29,7 @@ FOLDED = [
     "ranking_triples",
     "silhouette",
     "relation_recall",
+    "spot_check",
 ]
 
 
