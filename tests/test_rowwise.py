@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from marlstone.operators import rowwise, vectors
+from marlstone.operators import optimise, rowwise, vectors
 from marlstone.plans import registry
 from marlstone.plans.relations import RELATIONS
 
@@ -38,3 +38,16 @@ def test_rows_in_files(spark, monkeypatch):
     assert len(table.files) > 1 and table.ids().tolist() == [2**53 + i for i in range(50)]
     assert table.at(3, 44)[:, 0].tolist() == list(range(3, 44)) and [p for p, _ in table.between(0, 50)][0] == 0
     assert rowwise.stored(df.limit(0)).n == 0
+
+
+def test_gradients_are_added_up_in_the_task(spark, monkeypatch):
+    """400 strips of one source, but a row of each task alone leaves it."""
+    made = []
+    each = rowwise.each_with_all
+    monkeypatch.setattr(rowwise, "each_with_all", lambda *a: made.append(each(*a)) or made[-1])
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, v.tolist(), x.tolist()) for i, (v, x) in enumerate(zip(r.normal(size=(400, 5)), r.normal(size=(400, 3))))], "id long, v array<double>, x array<double>")
+    g, loss = optimise.evaluated(rows, optimise.rank_objective(optimise.RankConfig(), 0.3), 400, 24 * 400)
+    whole, again = optimise.evaluated(rows, optimise.rank_objective(optimise.RankConfig(), 0.3), 400)
+    assert made[0].count() == 4 * spark.sparkContext.defaultParallelism * 400
+    assert loss == pytest.approx(again) and np.allclose([x.g for x in g.orderBy("id").collect()], [x.g for x in whole.orderBy("id").collect()])
