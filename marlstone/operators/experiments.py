@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pairs as pair_folds
+
 #: Settings that one pass measures: each is a handful of sums.
 MOST_SETTINGS = 500
 #: Points at which a stretch is looked at between 0 and the greatest angle.
@@ -56,17 +59,14 @@ def _measures(angle: Column, placed: Column, a: float, b: float, gamma: float, s
     }
 
 
-def measured(pairs: DataFrame, settings: DataFrame, theta_max: float) -> DataFrame:
-    """(angle, placed) of pairs and settings to (label, family, metric, value, reason), all settings in one pass; a rejected setting has null values with its reason, and so has a metric that no pair gives."""
-    spark = pairs.sparkSession
+def _known(settings: DataFrame, theta_max: float) -> list:
     rows = with_contract(settings, theta_max).limit(MOST_SETTINGS + 1).collect()
     if len(rows) > MOST_SETTINGS:
         raise ValueError(f"more than {MOST_SETTINGS} settings in one pass")
-    columns, names = [], list(_measures(F.col("angle"), F.col("placed"), 1.0, 0.0, 1.0, 1.0))
-    for i, r in enumerate(rows):
-        if r["rejected"] is None:
-            columns += [c.alias(f"{i}_{n}") for n, c in _measures(F.col("angle"), F.col("placed"), r["a"], r["b"], r["gamma"], r["scale"]).items()]
-    found = pairs.agg(*columns).first() if columns else {}
+    return rows
+
+
+def _long(spark, rows: list, names: list[str], found: dict) -> DataFrame:
     out = []
     for i, r in enumerate(rows):
         for n in names:
@@ -75,6 +75,87 @@ def measured(pairs: DataFrame, settings: DataFrame, theta_max: float) -> DataFra
     return spark.createDataFrame(out, "label string, family string, metric string, value double, reason string")
 
 
+def measured(pairs: DataFrame, settings: DataFrame, theta_max: float) -> DataFrame:
+    """(angle, placed) of pairs and settings to (label, family, metric, value, reason), all settings in one pass; a rejected setting has null values with its reason, and so has a metric that no pair gives."""
+    rows = _known(settings, theta_max)
+    columns, names = [], list(_measures(F.col("angle"), F.col("placed"), 1.0, 0.0, 1.0, 1.0))
+    for i, r in enumerate(rows):
+        if r["rejected"] is None:
+            columns += [c.alias(f"{i}_{n}") for n, c in _measures(F.col("angle"), F.col("placed"), r["a"], r["b"], r["gamma"], r["scale"]).items()]
+    found = pairs.agg(*columns).first() if columns else {}
+    return _long(pairs.sparkSession, rows, names, found)
+
+
+def angles_of(cosines: np.ndarray) -> np.ndarray:
+    """Angles, rounded as the pairs' are; what has no cosine stands for 1, as in SQL."""
+    return np.round(np.arccos(np.where(np.isnan(cosines), 1.0, cosines)), 9)
+
+
+def greatest_angle(both: DataFrame, widths: list[int]) -> float | None:
+    """The greatest angle of all pairs in the first space; null without pairs."""
+
+    def fold() -> tuple:
+        least = [np.inf]
+
+        def meet(scores, one, other, above):
+            x = pair_folds.flat(scores[0], above)
+            least[0] = min(least[0], np.where(np.isnan(x), 1.0, x).min(initial=np.inf))
+
+        return meet, lambda: {"x": least if np.isfinite(least[0]) else np.zeros(0)}
+
+    x = pair_folds.folded(both, widths, fold, "x double").agg(F.min("x")).first()[0]
+    return None if x is None else float(angles_of(np.array([x]))[0])
+
+
+def measured_in_tiles(both: DataFrame, widths: list[int], settings: DataFrame, theta_max: float) -> DataFrame:
+    """As ``measured``, of all pairs of (id, v) with vectors in two spaces one after the other: the pairs are measured in the tiles where they meet, and only sums leave them."""
+    rows = _known(settings, theta_max)
+    kept = [(i, r["a"], r["b"], r["gamma"], r["scale"]) for i, r in enumerate(rows) if r["rejected"] is None]
+    sums, most, least = ["n", "clamped", "off", "stretch", "n_stretch"], ["high"], ["low"]
+
+    def fold() -> tuple:
+        total = {i: np.array([0.0] * len(sums) + [-np.inf, np.inf]) for i, *_ in kept}
+
+        def meet(scores, one, other, above):
+            angle, placed = (angles_of(pair_folds.flat(s, above)) for s in scores)
+            if not angle.size:
+                return
+            powers, bases, positive = {}, {}, angle > 0
+            every = positive.all()
+            for i, a, b, gamma, scale in kept:
+                if gamma not in powers:
+                    powers[gamma] = np.power(angle, gamma)
+                if (a, b, gamma) not in bases:
+                    bases[a, b, gamma] = np.minimum(a * angle + b * powers[gamma], math.pi)
+                raw = scale * bases[a, b, gamma]
+                target = np.minimum(raw, math.pi)
+                off = (placed - target).ravel()
+                there = target > 0
+                few = (lambda x: x) if every else (lambda x: x[positive])
+                stretch = np.abs(off / target.ravel()) if there.all() else np.abs(placed[there] / target[there] - 1)
+                t = total[i]
+                t[:5] += [angle.size, np.count_nonzero(raw > math.pi + 1e-15), off @ off, stretch.sum(), stretch.size]
+                t[5], t[6] = max(t[5], raw.max()), min(t[6], (few(target) / few(angle)).min(initial=np.inf))
+
+        def done() -> dict:
+            met = {i: t for i, t in total.items() if t[0]}
+            return {"i": list(met)} | {c: [t[k] for t in met.values()] for k, c in enumerate(sums + most + least)}
+
+        return meet, done
+
+    parts = pair_folds.folded(both, widths, fold, "i long, " + ", ".join(f"{c} double" for c in sums + most + least))
+    found = {}
+    for r in parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in sums], F.max("high").alias("high"), F.min("low").alias("low")).collect():  # (a row a setting)
+        n = r["n"]
+        values = {"pairs": n, "clamped_pair_fraction": r["clamped"] / n, "max_unclamped_target": r["high"], "min_expansion_ratio": r["low"] if math.isfinite(r["low"]) else None, "target_rmse": math.sqrt(r["off"] / n), "mean_stretch_error": r["stretch"] / r["n_stretch"] if r["n_stretch"] else None}
+        found |= {f"{r['i']}_{m}": x for m, x in values.items()}
+    names = ["pairs", "clamped_pair_fraction", "max_unclamped_target", "min_expansion_ratio", "target_rmse", "mean_stretch_error"]
+    for i, *_ in kept:
+        for m in names:
+            found.setdefault(f"{i}_{m}", 0.0 if m == "pairs" else None)
+    return _long(both.sparkSession, rows, names, found)
+
+
 def gated(metrics: DataFrame, gates: DataFrame) -> DataFrame:
     """(label, metric, value, reason) against (metric, operator, bound) to a row for each label and gate: label, metric, value, operator, bound, passed, reason.
 

@@ -8,7 +8,7 @@ from marlstone.plans import registry
 from marlstone.plans.relations import RELATIONS
 
 SF = "/root/testdata/sf0.001"
-ROWWISE = ["monotone_violations", "rank_matrix"]
+ROWWISE = ["experiment_grid", "monotone_violations", "rank_matrix"]
 
 
 @pytest.mark.parametrize("name", ROWWISE)
