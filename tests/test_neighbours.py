@@ -52,3 +52,13 @@ def test_all_pairs_come_once(spark):
     got = {(r.src, r.dst): r.score for r in vectors.all_pairs(_table(spark, x), "dot", 50, 4000).collect()}
     assert got == {(i, j): scores[i, j] for i in range(N) for j in range(N) if i != j}
     assert vectors.all_pairs(_table(spark, x), "dot", 50, 4000).count() == N * (N - 1)
+
+
+def test_neighbours_of_some_sources(spark):
+    r = np.random.default_rng(4)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(300, 5)))], "id long, v array<double>")
+    some = points.where("id % 7 = 3")
+    got = vectors.knn(points, 20, block_rows=32, group_bytes=2048, sources=some)
+    want = vectors.knn(points, 20).where("src % 7 = 3")
+    assert sorted(map(tuple, got.select("src", "dst", "rank").collect())) == sorted(map(tuple, want.select("src", "dst", "rank").collect()))
+    assert vectors.knn(points, 5, sources=some.where("false")).count() == 0
