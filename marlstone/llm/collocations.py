@@ -8,7 +8,8 @@ list them, where neighbouring names form the pairs of the next round. Frequencie
 phrase follow the parents' pointers, and so does the question whether a longer phrase takes a shorter
 one over. What has no name is a break, and runs of breaks shrink to one, so chunks get shorter with each
 round. Lists and chunks travel as compressed columns: a row of a shuffle is the part of a chunk's list
-that falls into one bucket.
+that falls into one bucket. A chunk carries the names that form its pairs, not its list: that follows from them.
+Tables of a round go once the next one is written.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, dropped, written
 
 LONGEST = 4
 MINIMUM = 30
@@ -111,9 +112,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes % np.uint64(buckets)).astype(np.int64)
+
+
 def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Buckets and the places that fall into each, ascending."""
-    own = (hashes % np.uint64(buckets)).astype(np.int64)
+    own = _bucket(hashes, buckets)
     by = np.argsort(own, kind="stable")
     edges = np.flatnonzero(np.diff(own[by], prepend=-1))
     for lo, hi in zip(edges, [*edges[1:], len(by)], strict=True):
@@ -165,7 +170,11 @@ class _Open:
         import xxhash
 
         codes, words = np.concatenate(self.parts), list(self.codes)
-        breaks = self.codes.get(_BREAK, -1)
+        by = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # (frequent words get small numbers)
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by))
+        codes, words, breaks = place[codes], [words[i] for i in by.tolist()], self.codes.get(_BREAK, -1)
+        breaks = int(place[breaks]) if breaks >= 0 else -1
         counts = np.bincount(codes[self.skip :], minlength=len(words))
         codes[codes == breaks] = -1
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
@@ -174,7 +183,7 @@ class _Open:
             for bucket, at in _dealt(hashes, buckets):
                 at = at[at != breaks]
                 if len(at):
-                    yield bucket, int(counts[at].sum()), _joined(_planes(at), _planes(counts[at], False), zlib.compress(b"\n".join(words[i] for i in at.tolist()), 1))
+                    yield bucket, int(counts[at].sum()), _joined(_planes(at), _planes(counts[at]), zlib.compress(b"\n".join(words[i] for i in at.tolist()), 1))
 
         yield from _chunk_rows(chunk, lang, _head(codes, self.skip, len(words)), len(words), parts())
 
@@ -209,33 +218,67 @@ def word_chunks(docs: DataFrame, buckets: int, longest: int = LONGEST, chunk: in
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(read, _PART_TYPES)
 
 
-def pair_chunks(heads: DataFrame, found: DataFrame, buckets: int, last: bool = False) -> DataFrame:
-    """Chunks (chunk, data) with the names of what stands in their lists (chunk, data; what has none is a break) to chunks of pairs of neighbouring names, with the list of the pairs and their counts by buckets."""
+def _named(size: int, parts: list[bytes]) -> np.ndarray:
+    """The names of a list of so many places; -1 without one."""
+    names = np.full(size, -1, np.int64)
+    for part in parts:
+        numbers, at, ranks = _split(part)
+        step, first = np.frombuffer(numbers, np.int64)
+        names[_from_planes(at)] = _from_planes(ranks) * step + first
+    return names
+
+
+def _listed(seq: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of neighbouring names of a sequence (-1 is a break): where there is one, its place in the list, and the list (left, right, bucket), by bucket, then by name.
+
+    So a bucket has places without gaps, and its pairs ascend; and since the list follows from the sequence and the number of buckets, it need not travel with it.
+    """
+    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    a, b, high = seq[:-1][both], seq[1:][both], int(seq.max(initial=0)) + 1
+    if high < 1 << 31:
+        pairs, own = np.unique(a * high + b, return_inverse=True)
+        left, right = np.divmod(pairs, high)
+    else:
+        pairs, own = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+        left, right = pairs[:, 0], pairs[:, 1]
+    bucket = _bucket(_mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)), buckets)
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return both, place[own.reshape(-1)], left[by], right[by], bucket[by]
+
+
+def pair_chunks(heads: DataFrame, found: DataFrame, buckets: int, words: bool = True, last: bool = False) -> DataFrame:
+    """Chunks (chunk, data; of ``words`` or of pairs) with the names of what stands in their lists (chunk, data; what has none is a break) to chunks of pairs of neighbouring names: a row with the names that form pairs (bucket -1), and the list of the pairs and their counts by buckets."""
 
     def finish(chunk: int, data: bytes, named: list[bytes]) -> Iterator[pa.RecordBatch]:
-        codes, skip, size = _from_head(data)
-        names = np.full(size, -1, np.int64)
-        for part in named:
-            at, ids = map(_from_planes, _split(part))
-            names[at] = ids
-        known = np.append(names >= 0, False)[codes]  # (a break has the code -1)
-        both = known[:-1] & known[1:]
+        if words:
+            codes, skip, size = _from_head(data)
+            names = _named(size, named)
+            seq = np.append(names, -1)[codes]  # (a break has the code -1)
+        else:
+            numbers, below = _split(data)
+            skip, dealt = np.frombuffer(numbers, np.int64).tolist()
+            both, own, left, *_ = _listed(_from_planes(below) - 1, dealt)
+            seq = np.full(len(both), -1, np.int64)  # a pair stands where it ends
+            seq[both] = _named(len(left), named)[own]
+            skip = max(0, skip - 1)
+        both, own, left, right, bucket = _listed(seq, buckets)
         if not both.any():
             return
-        pairs, own = np.unique(codes[:-1][both] * size + codes[1:][both], return_inverse=True)
-        place = np.flatnonzero(both) + 1  # a pair stands where it ends
-        counts = np.bincount(own[place >= skip], minlength=len(pairs))
-        left, right = names[pairs // size], names[pairs % size]
-        kept = both | np.concatenate(([False], both[:-1]))
-        out = np.full(len(both), -1, np.int64)
-        out[both] = own
-        head = _head(out[kept][: 0 if last else None], int(kept[: max(0, skip - 1)].sum()), len(pairs))
+        counts = np.bincount(own[np.flatnonzero(both) + 1 >= skip], minlength=len(left))
+        paired = np.append(both, False) | np.insert(both, 0, False)
+        kept = paired | np.insert(paired[:-1], 0, False)  # (with one break after each run)
+        numbers = np.array([int(kept[:skip].sum()), buckets], np.int64).tobytes()
+        head = _joined(numbers, b"" if last else _planes(seq[kept] + 1, False))
 
         def parts() -> Iterator[tuple[int, int, bytes]]:
-            for bucket, at in _dealt(_mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)), buckets):
-                yield bucket, int(counts[at].sum()), _joined(_planes(at), _planes(counts[at], False), _planes(left[at], False), _planes(right[at], False))
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(bucket)], strict=True):
+                n = counts[lo:hi]
+                yield int(bucket[lo]), int(n.sum()), _joined(np.array([lo], np.int64).tobytes(), _planes(n, False), _planes(left[lo:hi]), _planes(right[lo:hi], False))
 
-        yield from _chunk_rows(chunk, None, head, len(pairs), parts())
+        yield from _chunk_rows(chunk, None, head, len(left), parts())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, data, named = None, None, []
@@ -263,7 +306,12 @@ def _count(parts: DataFrame, minimum: int, words: bool, buckets: int) -> DataFra
 
     def finish(bucket: int, langs: list, chunks: list, datas: list) -> Iterator[pa.RecordBatch]:
         lists = [_split(d) for d in datas]
-        ats, counts = [_from_planes(x[0]) for x in lists], np.concatenate([_from_planes(x[1]) for x in lists])
+        each = [_from_planes(x[1]) for x in lists]
+        if words:
+            ats = [_from_planes(x[0]) for x in lists]
+        else:
+            ats = [np.arange(len(n)) + int.from_bytes(x[0], "little") for x, n in zip(lists, each, strict=True)]
+        counts = np.concatenate(each)
         if words:
             numbers: defaultdict[tuple, int] = defaultdict(count().__next__)
             own = np.array([numbers[lang, w] for lang, x in zip(langs, lists, strict=True) for w in zlib.decompress(x[2]).split(b"\n")], np.int64)
@@ -276,19 +324,22 @@ def _count(parts: DataFrame, minimum: int, words: bool, buckets: int) -> DataFra
         often = np.flatnonzero(f >= minimum)
         if not len(often):
             return
-        ids = np.full(len(keys), -1, np.int64)
-        ids[often] = np.arange(len(often)) * buckets + bucket
+        if words:  # (frequent words get small numbers; pairs are numbered as they are sorted)
+            often = often[np.argsort(-f[often], kind="stable")]
+        ranks = np.full(len(keys), -1, np.int64)
+        ranks[often] = np.arange(len(often))
+        numbered = np.array([buckets, bucket], np.int64).tobytes()
         if words:
             key = {"lang": [keys[i][0] for i in often], "phrase": [keys[i][1].decode("utf-8") for i in often]}
         else:
             key = {"left": keys[often, 0], "right": keys[often, 1]}
-        yield _rows(_FOUND, id=ids[often], f=f[often], **key)
+        yield _rows(_FOUND, id=ranks[often] * buckets + bucket, f=f[often], **key)
         begin = 0
         for chunk, at in zip(chunks, ats, strict=True):
-            named = ids[own[begin : begin + len(at)]]
+            named = ranks[own[begin : begin + len(at)]]
             begin += len(at)
             if (named >= 0).any():
-                yield _rows(_FOUND, chunk=[chunk], data=[_joined(_planes(at[named >= 0]), _planes(named[named >= 0], False))])
+                yield _rows(_FOUND, chunk=[chunk], data=[_joined(numbered, _planes(at[named >= 0]), _planes(named[named >= 0], not words))])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, langs, chunks, datas = None, [], [], []
@@ -319,7 +370,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MIN
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(size // 32)
     parts = written(word_chunks(docs, buckets, longest, chunk), "words")
-    words = parts.where("bucket >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = cut(parts.where("bucket >= 0").groupBy("lang").agg(F.sum("n").alias("n")))
     tables = []
     for k in range(1, longest + 1):
         found = _count(parts, minimum, k == 1, buckets)
@@ -336,7 +387,11 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, minimum: int = MIN
             listed = parts.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
             heads, named = parts.where("bucket < 0").select("chunk", "data"), found.where("chunk is not null").select("chunk", "data")
             buckets = _buckets(8 * listed if k == 1 else listed)
-            parts = written(pair_chunks(heads, named, buckets, last=k + 1 == longest), "pairs")
+            before, parts = parts, written(pair_chunks(heads, named, buckets, words=k == 1, last=k + 1 == longest), "pairs")
+            dropped(before)
+        else:
+            dropped(parts)
+        dropped(found)  # (what is left of it is in the tables of names and in the next chunks)
     return tables, words
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "fresh_path", "map_pandas", "shared_dir", "written"]
+__all__ = ["cut", "dropped", "fresh_path", "map_pandas", "shared_dir", "written"]
 
 
 def map_pandas(df: DataFrame, of: Callable, types: str, *ids: str) -> DataFrame:
@@ -33,3 +33,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes the files of what ``written`` gave, once nothing will read them."""
+    files = table.inputFiles()
+    if files:
+        session = table.sparkSession
+        folder = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -1,6 +1,7 @@
 """Collocations and hard negatives against their DuckDB SQL and plain versions, piece encoding against the library."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -59,6 +60,21 @@ def test_collocations_against_counting(spark, chunk):
     assert co.collocations(docs.limit(0), minimum=1).count() == 0
 
 
+def test_rounds_leave_no_tables_and_lists_follow_from_names(spark):
+    from marlstone.session import shared_dir
+
+    left = lambda: {n for n in os.listdir(shared_dir(spark)) if n.split("-")[0] in ("words", "pairs", "phrases")}
+    before = left()
+    assert co.collocations(spark.createDataFrame([("a b c d " * 40, "en")], "text string, lang string"), minimum=4).count() > 0
+    assert left() == before
+    seq = np.random.default_rng(2).integers(-1, 9, 400)
+    for high in (1, 2**40):  # names of any size
+        both, own, left_name, right, bucket = co._listed(np.where(seq < 0, -1, seq * high), 5)
+        assert (np.diff(bucket) >= 0).all() and len(set(zip(left_name, right))) == len(left_name)
+        assert (left_name[own] == seq[:-1][both] * high).all() and (right[own] == seq[1:][both] * high).all()
+    assert not co._listed(seq[:0], 5)[0].any() and not co._listed(seq[:1], 5)[0].any()
+
+
 def plain_negatives(data):
     vs = []
     for key, (i, v, label) in enumerate(data):
