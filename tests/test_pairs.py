@@ -96,3 +96,41 @@ def test_zscores_of_every_pair(spark):
     got = registry.QUERIES["zscore_offdiag"](spark, SF)
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert got.columns == ["src", "dst", "z"] and got.count() == n * (n - 1)
+
+
+def _refused(*_, **__):
+    raise AssertionError("a pair is compared twice")
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = np.concatenate((np.random.default_rng(1).normal(size=2000) * 3, [0.5, 1.0000005, -1.0000005, 2.5e-7, -4e-7, 1.0000015, 8589.9345915, 123456789.1234565, -1e300, np.inf, -np.inf, np.nan], np.arange(-40, 40) / 2e6 + 0.25))
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").selectExpr("i", "round(x, 6) as r").toPandas().sort_values("i")["r"].to_numpy()
+    mine = pairs.rounded(x, 6)
+    assert np.array_equal(mine, got, equal_nan=True) and not np.signbit(mine[mine == 0]).any()
+    assert len(pairs.rounded(np.array([]), 6)) == 0
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_each_pair_is_compared_once(spark, both):
+    ids, v, df = _copies(spark)
+    scores = _cosines(v)
+    compared = spark.sparkContext.accumulator(0)
+
+    def value(x):
+        compared.add(len(x))
+        return x
+
+    got = {}
+    for r in pairs.each(df, 6, "score", value, both, group_bytes=4096).collect():
+        assert (r.src, r.dst) not in got
+        got[r.src, r.dst] = r.score
+    want = {(ids[i], ids[j]): scores[i, j] for i in range(300) for j in range(300) if (ids[i] != ids[j] if both else ids[i] < ids[j])}
+    assert got.keys() == want.keys() and compared.value == 300 * 299 // 2
+    assert all(got[k] == pytest.approx(want[k], abs=1e-11, nan_ok=True) for k in want)
+
+
+def test_all_pairs_of_the_query_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "all_pairs", _refused)
+    got = registry.QUERIES["all_pairs"](spark, SF)
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert got.columns == ["a_id", "b_id", "score"] and got.where("a_id < b_id").count() == got.count() == n * (n - 1) // 2
