@@ -134,3 +134,11 @@ def test_all_pairs_of_the_query_are_compared_once(spark, monkeypatch):
     got = registry.QUERIES["all_pairs"](spark, SF)
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert got.columns == ["a_id", "b_id", "score"] and got.where("a_id < b_id").count() == got.count() == n * (n - 1) // 2
+
+
+def test_zscores_are_made_where_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "all_pairs", _refused)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "id long, v array<double>")
+    monkeypatch.setattr("marlstone.operators.domain.vectors", lambda *_: same)
+    got = registry.QUERIES["zscore_offdiag"](spark, SF)  # (no deviation, no z-score)
+    assert got.count() == 20 and got.where("z is not null").count() == 0
