@@ -225,3 +225,29 @@ def test_angle_objective(spark, cloud):
     p = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = sum((math.acos(p[i] @ p[j]) - min(2 * math.acos(np.clip(v[i] @ v[j], -1, 1)), math.pi)) ** 2 for i in range(12) for j in range(12) if i != j) / 2
     assert abs(loss - want) < 1e-8
+
+
+def test_starts_go_down_side_by_side(spark, cloud):
+    """In rounds over strips of three sources, or each in a task of its own: the same way down, in a job a round for all starts."""
+    config = optimise.RankConfig(starts=3, schedule=(20.0, 1.0))
+    points = table(spark, cloud)
+    starts = [optimise.spectral_start(points), *[optimise.random_start(points, s) for s in (1, 2)]]
+    stages = [optimise.rank_objective(config, 0.3), optimise.rank_objective(config, 0.1)]
+    whole, losses = optimise.descend(points, starts, stages, 4)
+    strips, again = optimise.descend(points, starts, stages, 4, strip_bytes=24 * 60 * 3)
+    assert [len(x) for x in losses] == [2, 2, 2] and all(len(y) == 5 and y == sorted(y, reverse=True) for x in losses for y in x)
+    for s in range(3):
+        assert np.allclose(losses[s], again[s], rtol=1e-9)
+        one, other = (np.array([r.x for r in f(s).orderBy("id").collect()]) for f in (whole, strips))
+        assert np.allclose(one, other, atol=1e-6) and np.allclose(np.linalg.norm(one, axis=1), 1)
+
+
+def test_the_layouts_query_runs_all_starts(spark, monkeypatch):
+    """The query's job is that of the operator's own settings, no shorter one."""
+    from marlstone.plans import registry
+
+    made = []
+    monkeypatch.setattr(optimise, "rank_layout", lambda points, config=None: made.append(config) or (optimise.spectral_start(points), None))
+    assert registry.QUERIES["rank_layout"](spark, "/root/testdata/sf0.001").count() > 0
+    config = made[0] or optimise.RankConfig()
+    assert (config.starts, config.schedule, config.iterations) == (8, (20.0, 5.0, 1.0), 3000)
