@@ -142,3 +142,21 @@ def test_zscores_are_made_where_pairs_meet(spark, monkeypatch):
     monkeypatch.setattr("marlstone.operators.domain.vectors", lambda *_: same)
     got = registry.QUERIES["zscore_offdiag"](spark, SF)  # (no deviation, no z-score)
     assert got.count() == 20 and got.where("z is not null").count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 26, 500, 1])
+def test_crowded_cells_are_cut_up(spark, monkeypatch, most):
+    """No more than ``MOST`` pairs are looked at one by one, unless they are of one cosine; the results stay exact."""
+    monkeypatch.setattr(pairs, "MOST", 16 * most)
+    looked = []
+    within = pairs.within_cells
+    monkeypatch.setattr(pairs, "within_cells", lambda rows, widths, cells: looked.append((cells.n.sum(), cells.bits)) or within(rows, widths, cells))
+    v = np.random.default_rng(4).normal(size=(500, 3))
+    v[250:300] = v[:50]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    x = np.sort(_cosines(v)[np.triu_indices(500, 1)])
+    cdf, r = (1 - x[::-1]) / 2, np.arange(1, len(x) + 1)
+    assert pairs.ks_uniform(df, [3]).first()["ks"] == pytest.approx(np.max(np.maximum(r / len(x) - cdf, cdf - (r - 1) / len(x))), abs=1e-11)
+    n, found = pairs.order_statistics(df, [3], lambda n: [0, n // 3, n - 1])
+    assert n == len(x) and [found[p] for p in (0, n // 3, n - 1)] == pytest.approx([x[0], x[n // 3], x[-1]], abs=2e-12)
+    assert all(held <= 16 * most or bits == pairs.FINEST for held, bits in looked)
