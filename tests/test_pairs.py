@@ -160,3 +160,15 @@ def test_crowded_cells_are_cut_up(spark, monkeypatch, most):
     n, found = pairs.order_statistics(df, [3], lambda n: [0, n // 3, n - 1])
     assert n == len(x) and [found[p] for p in (0, n // 3, n - 1)] == pytest.approx([x[0], x[n // 3], x[-1]], abs=2e-12)
     assert all(held <= 16 * most or bits == pairs.FINEST for held, bits in looked)
+
+
+def test_one_pass_for_both_spaces(spark, monkeypatch):
+    """Ranks in two spaces need one histogram pass and one of sums; a histogram of one space compares no other."""
+    made, widths = [], []
+    folded = pairs.folded
+    monkeypatch.setattr(pairs, "folded", lambda rows, w, *a: made.append(1) or widths.append(w) or folded(rows, w, *a))
+    registry.QUERIES["angle_spearman"](spark, SF).collect()
+    assert len(made) == 2
+    widths.clear()
+    registry.QUERIES["stretch_deciles"](spark, SF).collect()
+    assert [len(w) for w in widths] == [1, 1, 2]
