@@ -172,3 +172,15 @@ def test_one_pass_for_both_spaces(spark, monkeypatch):
     widths.clear()
     registry.QUERIES["stretch_deciles"](spark, SF).collect()
     assert [len(w) for w in widths] == [1, 1, 2]
+
+
+def test_deciles_of_cells_are_those_of_the_angles():
+    from marlstone.plans import layout
+
+    edges = np.array([0.3, 0.3, 0.8, 1.2, 1.5, 1.6, 2.0, 2.5, 3.0])
+    table = layout._deciles(edges)
+    x = np.concatenate((np.random.default_rng(1).uniform(-1, 1, 5000), np.cos(edges), [-1.0, 1.0, np.nan]))
+    got = table[pairs.cell(x)]
+    want = np.searchsorted(edges, np.arccos(x), side="right")
+    assert len(table) == pairs.CELLS + 2 and np.all((got == want) | (got == layout._NEAR))
+    assert np.all(got[5000:5009] == layout._NEAR) and np.count_nonzero(table == layout._NEAR) <= 2 * len(edges) + 1
