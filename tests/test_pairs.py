@@ -184,3 +184,21 @@ def test_deciles_of_cells_are_those_of_the_angles():
     want = np.searchsorted(edges, np.arccos(x), side="right")
     assert len(table) == pairs.CELLS + 2 and np.all((got == want) | (got == layout._NEAR))
     assert np.all(got[5000:5009] == layout._NEAR) and np.count_nonzero(table == layout._NEAR) <= 2 * len(edges) + 1
+
+
+def test_digests_are_dealt_out_evenly(spark, monkeypatch):
+    """Many groups of about as many sources, so that no core waits for another that has a block more; the digests are the least."""
+    import hashlib
+
+    made, tiles = [], vectors._tiles
+    monkeypatch.setattr(vectors, "MIN_ROWS", 10)
+    monkeypatch.setattr(vectors, "_tiles", lambda *a: made.append(tiles(*a)) or made[-1])
+    ids, _, df = _copies(spark)
+    found = vectors.least_digests(df, 3, "7", block_rows=64)
+    dealt = [r["n"] for r in made[0][0].where("kind = 0").groupBy("tile").agg({"ids": "count"}).withColumnRenamed("count(ids)", "n").collect()]
+    assert len(dealt) > 2 * spark.sparkContext.defaultParallelism and max(dealt) == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["src"], []).append((bytes(r["digest"]), r["dst"]))
+    want = lambda i: sorted((hashlib.sha256(f"7\0{i}\0{j}".encode()).digest(), j) for j in ids.tolist() if j != i)[:3]
+    assert {i: sorted(x) for i, x in got.items()} == {i: want(i) for i in ids.tolist()}
